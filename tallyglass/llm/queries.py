@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyglass.llm import minhash
+from tallyglass.llm import minhash, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,15 @@ def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = repeats.without_repeats(docs, width=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
+    "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
 }
 
 #: A-Z in lower case, and nothing else.
@@ -42,4 +50,16 @@ SQL = {
         c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op8_cover_anchor_repeats": f"""
+        WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        p AS MATERIALIZED (
+            SELECT doc_id, i AS pos, array_to_string(ws[i:i + 19], ' ') AS win
+            FROM w, unnest(range(1, len(ws) - 18)) AS t(i) WHERE len(ws) >= 20),
+        later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS n FROM p) WHERE n > 1),
+        gone AS MATERIALIZED (SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(0, 20) AS t(k)),
+        lost AS (SELECT doc_id, list(pos) AS ats, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed,
+            sha256(CASE WHEN lost.n IS NULL THEN array_to_string(ws, ' ')
+                ELSE coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(ats, i)), ' '), '') END) AS kept_sha256
+        FROM w LEFT JOIN lost ON lost.doc_id = w.doc_id""",
 }
