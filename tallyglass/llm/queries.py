@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import minhash, repeats
+from tallyglass.llm import minhash, repeats, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op7_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.learn(docs, _table(spark, sf_dir, "labels"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.judged(docs, learned).select(*names, "rule")
+
+
 def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = repeats.without_repeats(docs, width=20)
@@ -24,6 +31,7 @@ def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
+    "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
 }
 
