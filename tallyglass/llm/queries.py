@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import minhash, repeats, rules
+from tallyglass.llm import html, minhash, repeats, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -30,6 +34,7 @@ def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mincut_main_text": op1_mincut_main_text,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
