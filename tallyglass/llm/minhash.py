@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     buckets = common.stage(spread.join(leaders, "key"))
     needed = buckets.select(F.col("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = common.stage(_sets(texts.filter("text is not null").join(needed, "rep"), width).dropDuplicates(["rep"]))
+    # the same join at every size: what is needed grows with the input
+    sets = common.stage(_sets(texts.filter("text is not null").join(needed.hint("merge"), "rep"), width).dropDuplicates(["rep"]))
     pairs = buckets.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = common.cut(_verified(pairs, sets, percent))
     with_bands = buckets.join(classes.select("rep", "bands"), "rep")
