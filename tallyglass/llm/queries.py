@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import html, minhash, repeats, rules
+from tallyglass.llm import html, minhash, repeats, rules, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
     "op1_mincut_main_text": op1_mincut_main_text,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
+    "op9_multi_index_near_vectors": op9_multi_index_near_vectors,
 }
 
 #: A-Z in lower case, and nothing else.
@@ -75,4 +80,15 @@ SQL = {
             sha256(CASE WHEN lost.n IS NULL THEN array_to_string(ws, ' ')
                 ELSE coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(ats, i)), ' '), '') END) AS kept_sha256
         FROM w LEFT JOIN lost ON lost.doc_id = w.doc_id""",
+    "op9_multi_index_near_vectors": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+        e AS MATERIALIZED (
+            SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND p.n > 0 AND q.n > 0
+            WHERE list_inner_product(p.x, q.x) / p.n / q.n >= 0.9),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
 }
