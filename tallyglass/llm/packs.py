@@ -24,16 +24,18 @@ BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24
 _U = np.uint64
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(pack, rows): rows in Arrow's stream format, each pack's sorted by doc_id; written to the shared folder.
 
+    A pack holds at most pack_bytes of text, or one longer text.
+
     Needs the columns doc_id (long) and text (string); all others are carried.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for piece in tokens.slices(batch, most=PACK_BYTES):
+            for piece in tokens.slices(batch, most=pack_bytes):
                 piece = piece.sort_by("doc_id") if piece.num_rows > 1 else piece
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:

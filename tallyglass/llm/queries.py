@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import html, minhash, repeats, rules, vectors
+from tallyglass.llm import html, lm, minhash, repeats, rules, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"), order=5)
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -39,6 +43,7 @@ def op9_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mincut_main_text": op1_mincut_main_text,
+    "op4_ppm_scores": op4_ppm_scores,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
