@@ -166,10 +166,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, precision
     )
     columns = feature_columns()
     rows = (
-        counts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).filter(~base_failed())
-        .select(F.when(F.col("_quality") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("fold"), *[c.alias(f) for f, c in columns.items()])
+        counts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+        .select(base_failed().alias("base_failed"), F.when(F.col("_quality") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("fold"), *[c.alias(f) for f, c in columns.items()])
     )
-    rows = common.stage(rows.coalesce(1))
+    # written before the filter, which would otherwise be moved below the join and count every text
+    rows = common.stage(rows.repartition(1)).filter(~F.col("base_failed"))
     cuts = rows.agg(*[F.percentile(f, F.array(*[F.lit(q) for q in QUANTILES])).alias(f) for f in FEATURES]).first()
     if cuts is None or cuts[0] is None:
         return []
