@@ -39,21 +39,24 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def gapless(df: DataFrame, keys: list[str], id_col: str, name: str, rows: int, group: int = 4096) -> DataFrame:
-    """Adds the column name: numbers from 0 without gaps among the rows of each combination of keys.
+def offsets(df: DataFrame, keys: list[str], id_col: str, value: str | None, name: str, rows: int, group: int = 4096) -> DataFrame:
+    """Adds the column name: the sum of value over the rows before, in an order of its own within each combination of keys.
 
-    Rows are dealt by a hash of their id into groups of about ``group`` rows; each group numbers its own and adds the
-    rows of the groups before it. No window holds more than one group, whatever the share of a key, and the table of
-    counts has one row for a key and group.
+    With no value, that is a number from 0 without gaps. Rows are dealt by a hash of their id into groups of about
+    ``group`` rows; each group adds up its own and starts from the sum of the groups before it. No window holds more than
+    one group, whatever the share of a key, and the table of sums has one row for a key and group.
     """
     n = max(1, rows // group)
-    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(n)))
-    counts = dealt.groupBy(*keys, "_deal").agg(F.count("*").alias("_n"))
+    amount = F.col(value).cast("long") if value else F.lit(1).cast("long")
+    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(n))).withColumn("_v", amount)
+    sums = dealt.groupBy(*keys, "_deal").agg(F.sum("_v").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_deal").orderBy(id_col)
-    ranked = dealt.withColumn("_at", F.row_number().over(within) - 1)
-    return ranked.join(starts, [*keys, "_deal"]).withColumn(name, F.col("_at") + F.col("_from")).drop("_at", "_from", "_deal")
+    starts = sums.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*keys, "_deal").orderBy(id_col, "_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("_at", F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_deal")]
+    joined = ranked.alias("a").join(starts.alias("b"), on)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._at") + F.col("b._from")).alias(name))
 
 
 def _edges_key(edges: DataFrame) -> tuple:

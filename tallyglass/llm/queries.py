@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import html, lm, minhash, repeats, rules, vectors
+from tallyglass.llm import html, lm, minhash, mixing, repeats, rules, sharding, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op3_multinomial_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents"), order=5)
 
@@ -41,13 +45,19 @@ def op9_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"), n_shards=8)
+
+
 QUERIES = {
     "op1_mincut_main_text": op1_mincut_main_text,
+    "op3_multinomial_mixture": op3_multinomial_mixture,
     "op4_ppm_scores": op4_ppm_scores,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
     "op9_multi_index_near_vectors": op9_multi_index_near_vectors,
+    "op10_label_propagation_shards": op10_label_propagation_shards,
 }
 
 #: A-Z in lower case, and nothing else.
