@@ -25,8 +25,6 @@ from tallyglass.llm import common, tokens
 
 PERMUTATIONS, ROWS = 32, 4
 _U = np.uint64
-_FACTORS = tokens.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) * _U(0x2545F4914F6CDD1D)) | _U(1)
-_EMPTY = (1 << 63) - 1
 
 
 def _shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +45,17 @@ def _shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*parts, np.zeros(0, _U)]), borders
 
 
-def _band_keys(shingles: np.ndarray, borders: np.ndarray) -> np.ndarray:
+def _band_keys(shingles: np.ndarray, borders: np.ndarray, permutations: int) -> np.ndarray:
     """Per non-empty text, one key for each band."""
     full = np.flatnonzero(np.diff(borders))
     at = borders[full]
-    low, high = np.empty((PERMUTATIONS, len(full)), _U), np.empty((PERMUTATIONS, len(full)), _U)
-    for k, factor in enumerate(_FACTORS):
-        permuted = tokens.mix(shingles * factor)
+    low, high = np.empty((permutations, len(full)), _U), np.empty((permutations, len(full)), _U)
+    for k in range(permutations):
+        permuted = tokens.mix(shingles * (tokens.mix(np.array([k + 1], _U) * _U(0x2545F4914F6CDD1D)) | _U(1)))
         low[k], high[k] = np.minimum.reduceat(permuted, at), np.maximum.reduceat(permuted, at)
     keys = []
     for side, values in enumerate((low, high)):
-        for band in range(PERMUTATIONS // ROWS):
+        for band in range(permutations // ROWS):
             key = np.full(len(full), side * 1000 + band + 1, _U)
             for row in range(ROWS):
                 key = tokens.mix(key * _U(31) + values[band * ROWS + row])
@@ -65,7 +63,7 @@ def _band_keys(shingles: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, n_shingles, set_sum, set_xor, bands) per row; bands is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +73,12 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 sizes = np.diff(borders)
                 full = sizes > 0
                 total, odd = np.zeros(len(sizes), _U), np.zeros(len(sizes), _U)
-                keys = np.zeros((0, 2 * PERMUTATIONS // ROWS), _U)
+                keys = np.zeros((0, 2 * permutations // ROWS), _U)
                 if full.any():
                     again = tokens.mix(shingles + _U(77))
                     total[full] = np.add.reduceat(again, borders[:-1][full])
                     odd[full] = np.bitwise_xor.reduceat(shingles, borders[:-1][full])
-                    keys = _band_keys(shingles, borders)
+                    keys = _band_keys(shingles, borders, permutations)
                 lengths = np.concatenate([[0], np.cumsum(full * keys.shape[1])])
                 bands = tokens.ragged(keys.ravel().view(np.int64), lengths, pa.int64())
                 columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), bands]
@@ -163,7 +161,7 @@ def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked when their shingle sets reach ``percent`` per cent of similarity; a component is everything reachable
@@ -172,7 +170,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     one doc_id share a component and stay repeated; a null doc_id with words takes part under the class's smallest
     doc_id. Other columns of docs are ignored. An empty table gives no rows.
     """
-    rows = common.stage(signatures(docs, width))
+    rows = common.stage(signatures(docs, width, permutations))
     fingerprint = ["n_shingles", "set_sum", "set_xor"]
     classes = common.stage(
         rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).filter("rep is not null")

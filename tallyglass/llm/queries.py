@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import html, lm, minhash, mixing, repeats, rules, sharding, vectors
+from tallyglass.llm import html, lm, minhash, mixing, packing, repeats, rules, sharding, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op3_multinomial_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents"), order=5)
 
 
+def op5_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), capacity=2048, per_source=3)
+
+
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -51,8 +60,10 @@ def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_mincut_main_text": op1_mincut_main_text,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_multinomial_mixture": op3_multinomial_mixture,
     "op4_ppm_scores": op4_ppm_scores,
+    "op5_conflict_best_fit": op5_conflict_best_fit,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_decision_list_quality": op7_decision_list_quality,
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
