@@ -185,7 +185,9 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     sizes = word_counts.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_train, n_kinds = (sizes[0] or 0, sizes[1] or 0) if sizes else (0, 0)
 
+    # asked twice, for the counts and for the probabilities
     grams = packed.mapInArrow(ask(False), "pack long, bucket int, more0 binary, more1 binary").withColumnsRenamed({"more0": "keys", "more1": "counts"})
+    grams = common.stage(grams)
 
     def total_grams(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in table.column("keys")])
