@@ -1,7 +1,7 @@
 """Registered queries by family."""
 
-from tallyglass.plans import ledger, text
+from tallyglass.plans import ledger, text, trust
 
-MODULES = [ledger, text]
+MODULES = [ledger, text, trust]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
