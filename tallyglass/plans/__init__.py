@@ -1,7 +1,7 @@
 """Registered queries by family."""
 
-from tallyglass.plans import ledger, live, text, trust
+from tallyglass.plans import detail, ledger, live, text, trust
 
-MODULES = [ledger, text, trust, live]
+MODULES = [ledger, text, trust, live, detail]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
