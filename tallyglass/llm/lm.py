@@ -4,8 +4,13 @@ The trie's deepest nodes are contexts of ``order`` bytes; their symbol counts co
 contexts are the sums of the longer ones that end in them. A symbol's probability starts at the longest context seen in
 training; one that the context hasn't seen escapes to the next shorter context, at a chance of half the
 distinct symbols over the total (each seen symbol gives half a count), and symbols seen in the longer context are excluded there from counts and escape alike. Below order 0, unseen
-bytes are equally likely. Byte 0xFF, which UTF-8 never has, stands before a text and ends it, so the probabilities of all
-texts sum to 1.
+bytes are equally likely. What is coded is the text's words in lower case, each with a space behind it, and an end, the
+same events that the base score covers. Byte 0xFF, which UTF-8 never has, stands before a text and ends it.
+
+Paths from the start of a word are kept whole: a word seen in training can be coded along its own path, whose branch counts
+telescope to its count over all, and one that wasn't escapes at its start and is spelled in the contexts above. A text's
+probability is the mean of both ways of coding it, with and without whole paths, so the probabilities of all texts sum to 1
+at most.
 
 Texts stay in packs (see packs). A pack sends its distinct symbols-in-context with their training counts to buckets, and
 gets back the log-probability of each; words for the base score go the same way. Contexts of two bytes and more are
@@ -25,20 +30,33 @@ from tallyglass.llm import common, packs, tokens
 
 _U = np.uint64
 _END = _U(0xE0D0F0E0D0F00001)
+_LOG = np.log2(10)
 _PAD = 0xFF
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of every byte and every end, as one integer each, and the borders between texts."""
-    n, sizes = len(offsets) - 1, np.diff(offsets)
-    lead = np.full(len(data) + n * (order + 1), _PAD, np.uint8)
-    lead[np.arange(len(data)) + np.repeat(np.arange(n), sizes) * (order + 1) + order] = data
-    keys = np.zeros(max(len(lead) - order, 0), _U)
-    for k in range(order + 1):
-        keys = (keys << _U(8)) | lead[k : k + len(keys)]
-    borders = offsets + np.arange(n + 1)  # a text and its end
-    at = np.arange(borders[-1]) + np.repeat(np.arange(n), sizes + 1) * order
-    return keys[at], borders
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of every byte and every end, as one integer each, and the borders between texts.
+
+    A text is coded as its words in lower case, each followed by a space, and its end; marks stand before it.
+    """
+    sizes, n = ends - starts, len(first) - 1
+    upto = np.concatenate([[0], np.cumsum(sizes + 1)])
+    borders = upto[first] + np.arange(n + 1)  # words with their spaces, and an end for each text
+    doc = np.repeat(np.arange(n), np.diff(first))
+    stream = np.full(borders[-1] + n, 0x20, np.uint8)  # with the mark before each text
+    begin = upto[:-1] + 2 * doc + 1
+    at = np.repeat(begin - upto[:-1] + np.arange(len(sizes)), sizes) + np.arange(int(sizes.sum()))
+    stream[at] = tokens.LOWER[data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]]
+    marks = borders[:-1] + np.arange(n)
+    stream[marks] = stream[borders[1:] + np.arange(n)] = _PAD
+    reach = np.arange(len(stream)) - np.repeat(marks, np.diff(borders) + 1)  # bytes since the text's mark
+    keys = np.zeros(len(stream), _U)
+    for k in range(order, 0, -1):
+        seen = np.full(len(stream), _PAD, np.uint8)
+        seen[k:] = np.where(reach[k:] >= k, stream[:-k], _PAD)
+        keys = (keys << _U(8)) | seen
+    keys = (keys << _U(8)) | stream
+    return np.delete(keys, marks), borders
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +127,13 @@ class _Slice:
         self.data, self.offsets = tokens.text_buffer(column("text"))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return _grams(self.data, self.offsets, self.order)
+        return _grams(self.data, *tokens.word_spans(self.data, self.offsets), self.order)
+
+    def token_borders(self) -> np.ndarray:
+        """Where each token begins among the grams: words with their spaces, and ends."""
+        starts, ends, first = tokens.word_spans(self.data, self.offsets)
+        sizes = np.insert(ends - starts + 1, first[1:], 1)
+        return np.cumsum(sizes) - sizes
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, an end after each text's, and the borders between texts."""
@@ -235,11 +259,17 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
                 kind = np.int64 if any(x["wide"] for x in of_word.as_py() or ()) else np.uint32
                 counts = _flat(of_word, "counts", kind, words_, n_buckets).astype(np.float64)
                 of_token = np.log10((counts + 1) / (n_train + n_kinds + 1))
+                # a path's count less half, over all; half of the distinct words is the escape, as in other contexts
+                of_path = np.log10(np.maximum(counts - 0.5, 0.5) / max(1, n_train))
+                escape = np.log10(n_kinds / 2 / n_train) if n_train else 0.0
                 for part in slices:
-                    keys, borders = part.grams()
-                    score_ = np.add.reduceat(logs[np.searchsorted(grams_, keys)], borders[:-1])
+                    keys, _ = part.grams()
+                    spelled = logs[np.searchsorted(grams_, keys)]
                     hashed, first = part.words()
                     at = np.searchsorted(words_, hashed)
+                    by_token = np.add.reduceat(spelled, part.token_borders())
+                    by_path = np.where(counts[at] > 0, of_path[at], escape + by_token)
+                    score_ = np.logaddexp2(np.add.reduceat(by_token, first[:-1]) * _LOG, np.add.reduceat(by_path, first[:-1]) * _LOG) / _LOG - 1 / _LOG
                     base = np.add.reduceat(of_token[at], first[:-1])
                     known = np.add.reduceat((counts > 0).astype(np.int64)[at], first[:-1])
                     columns = [part.ids, pa.array(~part.train), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(part.ids), n_train)), pa.array(base), pa.array(score_), pa.array(np.diff(part.offsets))]

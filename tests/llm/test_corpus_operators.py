@@ -159,12 +159,19 @@ def test_scores(spark, docs, empty):
     counts = Counter(w for i in train for w in tokens_of[i])
     total, kinds = sum(counts.values()), len(counts)
     trie = defaultdict(Counter)
-    for i, t, *_ in rows():
-        if i in train:
-            data = b"\xff" * 3 + (t or "").encode() + b"\xff"
-            for at in range(3, len(data)):
-                for k in range(4):
-                    trie[data[at - k : at]][data[at]] += 1
+
+    def coded(t):
+        """Contexts and symbols of each token: words with a space behind them, and the end."""
+        pieces = [w.encode() + b" " for w in WORD.findall(t)] + [b"\xff"]
+        data, at = b"\xff" * 3 + b"".join(pieces), 3
+        for piece in pieces:
+            yield [(data[k - 3 : k], data[k]) for k in range(at, at + len(piece))]
+            at += len(piece)
+
+    for i in train:
+        for context, symbol in (x for piece in coded(lowered[i]) for x in piece):
+            for k in range(4):
+                trie[context[3 - k :]][symbol] += 1
 
     def log_p(context, symbol):
         out, gone = 0.0, set()
@@ -180,11 +187,14 @@ def test_scores(spark, docs, empty):
         return out - math.log10(max(1, 256 - len(gone)))
 
     for i, t, *_ in rows():
-        r, data = got[i], b"\xff" * 3 + (t or "").encode() + b"\xff"
+        r = got[i]
         assert r["held_out"] == (i not in train) and r["train_tokens"] == total and r["n_tokens"] == len(tokens_of[i]) and r["n_known"] == sum(w in counts for w in tokens_of[i])
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens_of[i]))
-        assert r["score"] == pytest.approx(sum(log_p(data[at - 3 : at], data[at]) for at in range(3, len(data))), rel=1e-5)
-    assert sum(10 ** log_p(b"abc", s) for s in range(256)) == pytest.approx(1)
+        spelled = [sum(log_p(c, x) for c, x in piece) for piece in coded(lowered[i])]
+        path = sum(math.log10((counts[w] - 0.5) / total) if w in counts else math.log10(kinds / 2 / total) + p for w, p in zip(tokens_of[i], spelled))
+        top = max(path, sum(spelled))
+        assert r["score"] == pytest.approx(top + math.log10(10 ** (path - top) + 10 ** (sum(spelled) - top)) - math.log10(2), rel=1e-5)
+    assert sum(10 ** log_p(b" ab", s) for s in range(256)) == pytest.approx(1)
     assert lm.scored(empty).count() == 0
 
 
