@@ -116,7 +116,7 @@ def _flat(lists: pa.Scalar, field: str, kind: type, keys: np.ndarray, n_buckets:
 
 
 #: Distinct contexts grow slower than texts, so large packs ask less; inside, they are worked on in slices.
-PACK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+PACK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 
 
 class _Slice:
