@@ -241,18 +241,18 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stakes(spark, sf_dir).select("request_id", "impact_inr", "reversibility", probs.alias("probs"), (F.col("request_id") % 4 == 0).alias("emitted"), (F.col("p_ungrounded") < 0.9).alias("feasible_pass"))
 
 
-@query(views.sql(f"WITH {_STAKES}, {_priced_sql()} SELECT request_id, action, round(total, 3) AS total, available FROM v_priced", "v_requests"))
+@query(views.sql(f"WITH {_STAKES}, {_priced_sql()} SELECT request_id, action, round(total, 6) AS total, available FROM v_priced", "v_requests"))
 def price_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.priced_actions(_items(spark, sf_dir), "request_id").select("request_id", "action", F.round("total", 3).alias("total"), "available")
+    return decide.priced_actions(_items(spark, sf_dir), "request_id").select("request_id", "action", F.round("total", 6).alias("total"), "available")
 
 
 _CHOSEN = "x AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY total, ladder) AS n FROM v_priced WHERE available), v_chosen AS (SELECT a.request_id, a.action, a.total AS chosen_loss, b.action AS runner_up, b.total - a.total AS margin FROM x a JOIN x b ON b.request_id = a.request_id AND b.n = 2 WHERE a.n = 1)"
 
 
-@query(views.sql(f"WITH {_STAKES}, {_priced_sql()}, {_CHOSEN} SELECT request_id, action, round(chosen_loss, 3) AS chosen_loss, runner_up, round(margin, 3) AS margin FROM v_chosen", "v_requests"))
+@query(views.sql(f"WITH {_STAKES}, {_priced_sql()}, {_CHOSEN} SELECT request_id, action, round(chosen_loss, 6) AS chosen_loss, runner_up, round(margin, 6) AS margin FROM v_chosen", "v_requests"))
 def choose_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = decide.chosen(decide.priced_actions(_items(spark, sf_dir), "request_id"), "request_id")
-    return c.select("request_id", "action", F.round("chosen_loss", 3).alias("chosen_loss"), "runner_up", F.round("margin", 3).alias("margin"))
+    return c.select("request_id", "action", F.round("chosen_loss", 6).alias("chosen_loss"), "runner_up", F.round("margin", 6).alias("margin"))
 
 
 @query(views.sql(f"WITH {_STAKES}, {_priced_sql()}, {_CHOSEN} SELECT action, count(*) AS n, round(avg(margin), 2) AS mean_margin FROM v_chosen GROUP BY 1", "v_requests"))
@@ -267,12 +267,12 @@ def unavailable_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(views.sql(f"""WITH {_STAKES}, {_priced_sql()}, {_CHOSEN}, h AS (SELECT request_id, CASE WHEN k % 10 = 0 THEN 'canary' WHEN k % 5 = 0 THEN 'injection' END AS rule, CASE WHEN k % 10 = 0 THEN 'L5_block' WHEN k % 5 = 0 THEN 'L4_hold' END AS act FROM v_requests)
-    SELECT c.request_id, coalesce(h.act, c.action) AS action, round(coalesce(p.total, c.chosen_loss), 3) AS chosen_loss, h.rule AS hard_rule FROM v_chosen c JOIN h ON h.request_id = c.request_id LEFT JOIN v_priced p ON p.request_id = c.request_id AND p.action = h.act""", "v_requests"))
+    SELECT c.request_id, coalesce(h.act, c.action) AS action, round(coalesce(p.total, c.chosen_loss), 6) AS chosen_loss, h.rule AS hard_rule FROM v_chosen c JOIN h ON h.request_id = c.request_id LEFT JOIN v_priced p ON p.request_id = c.request_id AND p.action = h.act""", "v_requests"))
 def hard_rule_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requests(spark, sf_dir).select("request_id", "k")
     rules = r.filter("k % 5 = 0").select("request_id", F.lit("injection").alias("rule"), F.lit("L4_hold").alias("rule_action")).unionByName(r.filter("k % 10 = 0").select("request_id", F.lit("canary").alias("rule"), F.lit("L5_block").alias("rule_action")))
     c = decide.chosen(decide.priced_actions(_items(spark, sf_dir), "request_id"), "request_id", rules)
-    return c.select("request_id", "action", F.round("chosen_loss", 3).alias("chosen_loss"), "hard_rule")
+    return c.select("request_id", "action", F.round("chosen_loss", 6).alias("chosen_loss"), "hard_rule")
 
 
 @query(views.sql("SELECT request_id, NOT (1 - (1 - p_ungrounded) * (1 - p_contradicted) * (1 - p_overconfident) >= 0.5) AS pass_feasible FROM v_requests", "v_requests"))

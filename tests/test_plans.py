@@ -30,7 +30,7 @@ def _rows(rows):
 def test_query_matches_sql(spark, con, name):
     df = plans.QUERIES[name](spark, SF)
     names = sorted(df.columns)
-    expected = con.sql(f"SELECT {', '.join(names)} FROM ({plans.SQL[name]})").fetchall()
+    expected = con.sql(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM ({plans.SQL[name]})").fetchall()
     got = _rows(map(tuple, df.select(*names).collect()))
     assert got == _rows(expected)
     assert got or name in ("rework_edges", "escalation_edges")
