@@ -5,8 +5,10 @@ the cell of its nearest codewords. For a query, the distance to the border betwe
 is a lower bound of what separates it from anything there; the two sorted lists of squared bounds are merged as in
 multi-sequence search, and cells are visited in that order until the sum passes a stopping bound. At the squared distance
 of the threshold itself nothing can be missed; the bound used is the smallest that finds the target share of true links of
-sample queries, measured by brute force against all vectors, with a margin. What is visited is verified by cosine in double
-precision. Equal vectors are one node with a weight, so copies cost nothing.
+sample queries, measured by brute force against all vectors, with a margin. Links count there so that every group of the
+sample weighs the same, and where the sample has too few groups the exact bound is used. What is visited is verified by
+cosine in double precision, and a link counts for both ends whichever query found it. Equal vectors are one node with a
+weight, so copies cost nothing.
 
 Queries and cells meet in blocks of bounded size: the members of a large cell are cut into blocks, and so are its queries.
 A block returns link counts and a spanning forest of its links, never the pairs.
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm import common, tokens
 
-#: Vectors that the codebooks are fitted on at most, sample queries for the stopping bound, and rows of a block.
-FIT_VECTORS, PROBES, MEMBERS, QUERIES = 8192, 256, 2048, 4096
+#: Vectors that the codebooks are fitted on at most, which are the sample queries for the stopping bound, and rows of a block.
+FIT_VECTORS, MEMBERS, QUERIES = 8192, 2048, 4096
 #: Share of true links that the stopping bound must reach, the factor on it, and its least share of the exact bound.
 TARGET, MARGIN, LEAST = 0.9995, 1.5, 0.1
+#: Groups of linked sample queries below which nothing is concluded from them.
+ENOUGH = 128
 _BINS = 400
 
 
@@ -112,18 +116,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.view(np.float64).reshape(len(column), -1)
 
 
+def _share(probes: np.ndarray, seen: np.ndarray, threshold: float) -> float:
+    """The stopping bound as a share of the exact one; seen has each probe's links with others by how far off they lie.
+
+    A probe's links weigh one together, divided by the linked probes that it meets, so a group of many weighs as one of two.
+    """
+    linked = seen.sum(1) > 0
+    own = probes[linked]
+    met = np.concatenate([(own[at : at + 512] @ own.T >= threshold).sum(1) for at in range(0, len(own), 512)] or [np.zeros(0)])
+    weight = 1 / np.maximum(met, 1)
+    if weight.sum() < ENOUGH:
+        return 1.0
+    found = np.cumsum(weight @ (seen[linked] / seen[linked].sum(1)[:, None])) / weight.sum()
+    return float(min(1.0, max(LEAST, MARGIN * (int(np.searchsorted(found, TARGET)) + 1) / _BINS)))
+
+
 def _met(queries: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
-    """Counts and a spanning forest of the links between the queries and the members of one block."""
+    """Counts and a spanning forest of the links between the queries and the members of one block.
+
+    A link counts for the query, and for the member too unless the member's own query visits the cell of the first.
+    """
     q, m = (np.asarray(t.column("rep")) for t in (queries, members))
     x, y = (_matrix(t.column("unit").combine_chunks()) for t in (queries, members))
-    sizes = np.asarray(members.column("size"))
-    counts, label_q, label_m = np.zeros(len(q), np.int64), q.copy(), m.copy()
+    sizes, asking = np.asarray(members.column("size")), np.asarray(queries.column("size"))
+    homes, home = np.unique(np.asarray(queries.column("home")), return_inverse=True)
+    lists = members.column("cells").combine_chunks()
+    visited, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(m)), lists.value_lengths().to_numpy())
+    at = np.minimum(np.searchsorted(homes, visited), max(0, len(homes) - 1))
+    known = np.isin(visited, homes)
+    returns = np.zeros((len(homes), len(m)), bool)
+    returns[at[known], of[known]] = True
+    counts, back, label_q, label_m = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64), q.copy(), m.copy()
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 512):
         hit = x[at : at + 512] @ y.T >= threshold
         hit &= q[at : at + 512, None] != m[None]
-        counts[at : at + 512] = hit @ sizes
         i, j = np.nonzero(hit)
+        counts[at : at + 512] = hit @ sizes
+        alone = ~returns[home[i + at], j]
+        np.add.at(back, j[alone], asking[i[alone] + at])
         pairs.append((i + at, j))
     i, j = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
     while len(i):  # least labels spread over the links until they stand; then every node points to its component's
@@ -133,9 +164,9 @@ def _met(queries: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
         if label_q.sum() + label_m.sum() == before:
             break
     linked_q, linked_m = np.unique(i), np.unique(j)
-    rep = np.concatenate([q, q[linked_q], m[linked_m]])
-    other = np.concatenate([q, label_q[linked_q], label_m[linked_m]])
-    n = np.concatenate([counts, np.zeros(len(linked_q) + len(linked_m), np.int64)])
+    rep = np.concatenate([q, m, q[linked_q], m[linked_m]])
+    other = np.concatenate([q, m, label_q[linked_q], label_m[linked_m]])
+    n = np.concatenate([counts, back, np.zeros(len(linked_q) + len(linked_m), np.int64)])
     keep = (n > 0) | (rep != other)
     return pa.table({"rep": rep[keep], "other": other[keep], "n": n[keep]})
 
@@ -180,7 +211,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     """(rep, other, n): link counts of vectors of one width, and edges that span their components."""
-    sample = np.array([np.frombuffer(r[0], np.float64) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("unit").collect()])
+    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("unit", "rep").collect()
+    sample, names = np.array([np.frombuffer(r[0], np.float64) for r in chosen]), np.array([r[1] for r in chosen], np.int64)
     total = classes.count()
     dims = width // 8
     if dims < 2:
@@ -201,37 +233,38 @@ def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     for r in placed.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
 
-    probes, exact = sample[:PROBES], 2 - 2 * threshold
-    _, left, right = index.look(probes)
+    exact = 2 - 2 * threshold
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(_BINS, np.int64)
+        seen = np.zeros(len(sample) * _BINS, np.int64)
+        _, left, right = index.look(sample)
         for batch in batches:
-            if batch.num_rows:
-                hit = probes @ widen(_matrix(batch.column(0))).T >= threshold
-                i, j = np.nonzero(hit)
-                cell = batch.column(1).to_numpy()[j]
-                passed = left[i, cell // index.width] + right[i, cell % index.width]
-                seen += np.bincount(np.minimum((passed / exact * _BINS).astype(int), _BINS - 1), minlength=_BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BINS)), pa.array(seen)], names=["bin", "n"])
-
-    seen = np.zeros(_BINS)
-    for r in placed.select("unit", "cell").mapInArrow(bound, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            rep, cell, units = batch.column(0).to_numpy(), batch.column(2).to_numpy(), widen(_matrix(batch.column(1))) if batch.num_rows else None
+            for at in range(0, len(sample) if batch.num_rows else 0, 512):
+                i, j = np.nonzero(sample[at : at + 512] @ units.T >= threshold)
+                others = names[i + at] != rep[j]
+                i, j = i[others] + at, j[others]
+                passed = left[i, cell[j] // index.width] + right[i, cell[j] % index.width]
+                np.add.at(seen, i * _BINS + np.minimum((passed / exact * _BINS).astype(int), _BINS - 1), 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bin", "n"])
+
+    seen = np.zeros(len(sample) * _BINS, np.int64)
+    for r in placed.select("rep", "unit", "cell").mapInArrow(bound, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         seen[r["bin"]] = r["n"]
-    share = np.cumsum(seen) / max(1, seen.sum())
-    first = int(np.searchsorted(share, TARGET)) + 1 if seen.sum() else _BINS
-    stop = exact * min(1.0, max(LEAST, MARGIN * first / _BINS)) * (1 + 1e-9)
+    stop = exact * _share(sample, seen.reshape(-1, _BINS), threshold) * (1 + 1e-9)
     full = held > 0
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                found = index.visits(widen(_matrix(piece.column(1))), stop, full)
+                found = index.visits(widen(_matrix(piece.column(2))), stop, full)
                 borders = np.concatenate([[0], np.cumsum([len(c) for c in found])])
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), tokens.ragged(np.concatenate(found).astype(np.int32), borders, pa.int32())], names=["rep", "unit", "cells"])
+                cells = tokens.ragged(np.concatenate(found).astype(np.int32), borders, pa.int32())
+                yield pa.RecordBatch.from_arrays([*piece.columns, cells], names=["rep", "size", "unit", "cell", "cells"])
 
-    queries = common.stage(placed.select("rep", "unit").mapInArrow(visit, "rep long, unit binary, cells array<int>"))
+    queries = common.stage(placed.mapInArrow(visit, "rep long, size long, unit binary, cell int, cells array<int>"))
     asked = np.zeros(cells, np.int64)
     for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
         asked[r["cell"]] = r["count"]
@@ -249,22 +282,24 @@ def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
 
     def dealt_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cell, m, q = deal(1, batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64))
-            yield _dealt(batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), cell, m, q, True)
+            for at in range(0, batch.num_rows, 200):
+                piece = batch.slice(at, 200)
+                row, cell, m, q = deal(1, piece.column(0).to_numpy(), piece.column(3).to_numpy().astype(np.int64))
+                yield _dealt(piece, row, piece.column(4).take(pa.array(row)), cell, m, q, True)
 
     def dealt_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
-                lists = piece.column(2)
+                lists = piece.column(4)
                 of_row = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
                 cell = lists.flatten().to_numpy().astype(np.int64)
                 row, cell, m, q = deal(0, piece.column(0).to_numpy()[of_row], cell)
                 row = of_row[row]
-                yield _dealt(piece.column(0).take(pa.array(row)), pa.array(np.ones(len(row), np.int64)), piece.column(1).take(pa.array(row)), cell, m, q, False)
+                yield _dealt(piece, row, pa.nulls(len(row), pa.list_(pa.int32())), cell, m, q, False)
 
-    schema = "rep long, size long, unit binary, cell long, m long, q long, member boolean"
-    meeting = placed.mapInArrow(dealt_members, schema).unionByName(queries.mapInArrow(dealt_queries, schema))
+    schema = "rep long, size long, unit binary, home int, cells array<int>, cell long, m long, q long, member boolean"
+    meeting = queries.mapInArrow(dealt_members, schema).unionByName(queries.mapInArrow(dealt_queries, schema))
 
     def meet(table: pa.Table) -> pa.Table:
         member = table.column("member")
@@ -273,6 +308,6 @@ def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     return meeting.groupBy("cell", "m", "q").applyInArrow(meet, "rep long, other long, n long")
 
 
-def _dealt(rep: pa.Array, size: pa.Array, unit: pa.Array, cell: np.ndarray, m: np.ndarray, q: np.ndarray, member: bool) -> pa.RecordBatch:
-    columns = [rep, size, unit, pa.array(cell), pa.array(m), pa.array(q), pa.array(np.full(len(cell), member))]
-    return pa.RecordBatch.from_arrays(columns, names=["rep", "size", "unit", "cell", "m", "q", "member"])
+def _dealt(piece: pa.RecordBatch, row: np.ndarray, cells: pa.Array, cell: np.ndarray, m: np.ndarray, q: np.ndarray, member: bool) -> pa.RecordBatch:
+    columns = [*(piece.column(i).take(pa.array(row)) for i in range(4)), cells, pa.array(cell), pa.array(m), pa.array(q), pa.array(np.full(len(cell), member))]
+    return pa.RecordBatch.from_arrays(columns, names=["rep", "size", "unit", "home", "cells", "cell", "m", "q", "member"])

@@ -327,6 +327,35 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def _pairs_at(n, pairs, seed, dims=32, cosine=0.9001):
+    """n vectors in random directions, and as many as ``pairs`` of them with one more vector at the cosine."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aside = rng.normal(size=(pairs, dims))
+    aside -= (aside * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    return np.vstack([x, cosine * x[:pairs] + math.sqrt(1 - cosine**2) * aside])
+
+
+def _link_counts(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    return np.array([r["n_links"] for r in vectors.near_vectors(df).sort("vec_id").collect()])
+
+
+def test_rare_links_are_all_found(spark):
+    x = _pairs_at(3000, 110, 2, dims=16)
+    assert _link_counts(spark, x).tolist() == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+
+
+def test_links_count_for_both_ends(spark):
+    # so many copies that the bound can be measured, and pairs that only one end's query may find
+    x = _pairs_at(3000, 1200, 4, cosine=0.99)
+    x = np.vstack([x, _pairs_at(300, 300, 5)])
+    got = _link_counts(spark, x)
+    assert (got[4200:4500] == got[4500:]).all() and got[4200:].sum() > 0 and (got <= (x @ x.T >= 0.9).sum(1) - 1).all()
+
+
 def test_shards(spark, docs, empty):
     many = docs.unionByName(spark.createDataFrame([(1000 + i, "the same", "en", "s", 0) for i in range(30)], SCHEMA))
     got = sharding.sharded(many, 4).collect()
