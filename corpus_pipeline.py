@@ -17,10 +17,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones; copies under one id become one row."""
+    """The document with the smallest id of each group of similar ones; copies under one id become one row.
+
+    Different texts under one id are documents of their own.
+    """
+    numbered = common.stage(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()))
     # at 0.8, 24 bands of four meet with probability 1 - 3e-6
-    kept = minhash.near_duplicates(docs, percent=80, width=5, permutations=48).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = minhash.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5, permutations=48)
+    found = found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    ids = numbered.select("_row", "doc_id", F.xxhash64("text").alias("_text"))
+    # texts without words have a component each: there only copies under one id are similar
+    some = F.col("n_shingles") > 0
+    group = [some, F.when(some, F.col("component_id")), *[F.when(~some, F.col(c)) for c in ("doc_id", "_text")]]
+    least = found.join(ids.hint("merge"), "_row").groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("doc_id", "_text", "_row")).alias("_least"))
+    named = numbered.join(least.select(F.col("_least._row").alias("_row")).hint("merge"), "_row", "left_semi")
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -39,12 +39,13 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def offsets(df: DataFrame, keys: list[str], id_col: str, value: str | None, name: str, rows: int, group: int = 4096) -> DataFrame:
+def offsets(df: DataFrame, keys: list[str], id_col: str, value: str | None, name: str, rows: int, group: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds the column name: the sum of value over the rows before, in an order of its own within each combination of keys.
 
     With no value, that is a number from 0 without gaps. Rows are dealt by a hash of their id into groups of about
     ``group`` rows; each group adds up its own and starts from the sum of the groups before it. No window holds more than
-    one group, whatever the share of a key, and the table of sums has one row for a key and group.
+    one group, whatever the share of a key, and the table of sums has one row for a key and group. Rows of one id and value
+    follow the columns of ``ties``.
     """
     n = max(1, rows // group)
     amount = F.col(value).cast("long") if value else F.lit(1).cast("long")
@@ -52,7 +53,7 @@ def offsets(df: DataFrame, keys: list[str], id_col: str, value: str | None, name
     sums = dealt.groupBy(*keys, "_deal").agg(F.sum("_v").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_deal").orderBy(id_col, "_v").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_deal").orderBy(id_col, "_v", *ties).rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("_at", F.coalesce(F.sum("_v").over(within), F.lit(0)))
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_deal")]
     joined = ranked.alias("a").join(starts.alias("b"), on)

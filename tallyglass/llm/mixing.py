@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,10 +25,10 @@ _U = np.uint64
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) for every row."""
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, size) for every row, and what is asked for besides."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -118,11 +118,16 @@ def drawn_blocks(plan: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFra
     return spark.range(0, n_shards, 1, max(1, n_shards // 8)).mapInArrow(run, "shard long, slot long, rank long, block long")
 
 
-def _pieces(docs: DataFrame, weights: tuple[float, ...], repeats: int, block: int, seed: int) -> DataFrame:
-    """For every row its sizes and target, its place in the source's stream, and how often each of its pieces is taken."""
-    sizes = common.stage(sized(docs))
+def _pieces(docs: DataFrame, weights: tuple[float, ...], repeats: int, block: int, seed: int, row: tuple[str, ...] = ()) -> DataFrame:
+    """For every row its sizes and target, its place in the source's stream, and how often each of its pieces is taken.
+
+    Columns of ``row`` are kept; they tell rows of one doc_id and size apart.
+    """
+    # rows without a doc_id are dealt by their texts, or all of them would be one group
+    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place")
+    sizes = common.stage(sized(docs, place, *row))
     plan = common.stage(targets(sizes, weights, repeats))
-    placed = common.offsets(sizes, ["source"], "doc_id", "size", "start", sizes.count())
+    placed = common.offsets(sizes, ["source"], "place", "size", "start", sizes.count(), ties=row)
     known = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.rank", "p.source_size", "p.target")
     end = F.col("start") + F.col("size")
     covers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
@@ -152,13 +157,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
 
 def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """The mix as rows like those of docs: a text as often as all its blocks are taken, and once the words of blocks taken
-    once more, joined by one space. A row of which nothing is taken goes; n_chars, if there, follows the text."""
-    pieces = _pieces(docs, weights, repeats, block, seed).filter("size > 0")
+    once more, joined by one space. A row of which nothing is taken goes; n_chars, if there, follows the text. Rows with no
+    doc_id or a repeated one are mixed each."""
+    numbered = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    pieces = _pieces(numbered, weights, repeats, block, seed, ("_row",)).filter("size > 0")
     lists = (
-        pieces.groupBy("doc_id", "start", "source").agg(F.min("uses").alias("whole"), F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
-        .groupBy("doc_id").agg(F.first("whole").alias("whole"), F.first("parts").alias("parts")).filter("whole > 0 or exists(parts, p -> p.uses > 0)")
+        pieces.groupBy("_row").agg(F.min("uses").alias("whole"), F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
+        .filter("whole > 0 or exists(parts, p -> p.uses > 0)")
     )
-    joined = docs.join(lists, "doc_id")
+    joined = numbered.join(lists, "_row")
     some = F.filter("parts", lambda p: p["uses"] > F.col("whole"))
     # the words are bound once a row; a column of them would be split again for every part
     parts = lambda w: F.flatten(F.transform(some, lambda p: F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int"))))

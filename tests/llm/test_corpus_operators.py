@@ -146,6 +146,32 @@ def test_mixture(docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixed_texts(empty).count() == 0
 
 
+def test_mixed_texts_keep_rows_without_an_id_of_their_own(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    data = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, words(k, 10 + 3 * k), "en", f"s{k % 2}", 0) for k in range(60)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    taken, got = Counter(), Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+    texts = {tuple(t.split()) for _, t, *_ in data}
+    known = {t[0]: t for t in texts} | {w: t for t in texts for w in t}
+    for r in mixing.mixed_texts(docs).collect():
+        found = r["text"].split()
+        got[r["doc_id"]] += len(found)
+        assert set(found) <= set(known[found[0]])
+    assert got == {k: n for k, n in taken.items() if n}
+
+
+def test_pipeline_keeps_different_texts_under_one_id(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    data = [(1, one), (2, two), (5, one), (5, three), (5, three), (6, ""), (6, ""), (6, None), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert Counter(got) == Counter([(1, one), (2, two), (5, three), (6, ""), (6, None), (None, two)])
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing._permuted(np.arange(n), n, 5).tolist()) == list(range(n))
