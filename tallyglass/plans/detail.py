@@ -66,10 +66,10 @@ def canary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def argument_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments that quote a document of their request, and the taint that follows."""
+    """Arguments that quote a document of their request, a call for every document, and the taint that follows."""
     d = views.fragments(spark, sf_dir).withColumn("request_id", F.expr("doc_id div 5"))
     quoted = F.array_join(F.slice(F.split("text", r"\s+"), 2, 4), " ")
-    calls = d.filter("doc_id % 5 = 1").select("request_id", F.col("doc_id").alias("call_id"), F.to_json(F.struct(quoted.alias("body"), F.lit(5).alias("n"))).alias("args"))
+    calls = d.select("request_id", F.col("doc_id").alias("call_id"), F.to_json(F.struct(quoted.alias("body"), F.lit(5).alias("n"))).alias("args"))
     values = detail.argument_strings(calls).join(calls.select("call_id", "request_id"), "call_id")
     f = d.select("request_id", "doc_id", "text", "provenance")
     return detail.influence(calls.select("call_id", "request_id"), detail.traced(values, f), f)

@@ -42,6 +42,15 @@ def test_query_without_sql_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_every_document_is_a_call(spark, con):
+    got = {r["call_id"]: (r["taint"], r["tier"]) for r in plans.QUERIES["argument_influence"](spark, SF).collect()}
+    assert sorted(got) == [i for (i,) in con.sql("SELECT doc_id FROM documents ORDER BY doc_id").fetchall()]
+    # four plain words cannot miss the document that they are quoted from
+    plain = {i for i, t in con.sql("SELECT doc_id, text FROM documents").fetchall() if all(w.isascii() and w.isalpha() for w in t.split()[1:5]) and len(t.split()) > 5}
+    assert len({i % 5 for i in plain}) == 5 and {got[i][1] for i in plain} == {"traced"}
+    assert {got[i][0] for i in plain if i % 20 == 0} <= {"retrieved_untrusted"}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
