@@ -1,19 +1,25 @@
 """Main text of web pages by a minimum cut over their text blocks.
 
-A page becomes a sequence of blocks, the texts between borders of block-level elements. A linear classifier of a block's
-ancestors, class names, links and sentences gives each block the cost of calling it content and that of calling it
-boilerplate; these are its capacities to the sink and the source. Neighbours in page order and next blocks of one
-container are tied by capacities that fall with their distance in the DOM. The source side of a minimum cut is the content.
-Before the flow, blocks whose terminal outweighs all their ties are merged into that terminal, which keeps the cut minimal
-and leaves most pages with nothing to augment.
+A page becomes a sequence of blocks, the texts between borders of block-level elements. A logistic classifier of a block's
+length, links, punctuation, element, place, wording and ancestors gives it the odds of being content; the negative log
+likelihoods of both labels are its capacities to the sink and the source. Neighbours in page order and next blocks of one
+container are tied by the log odds that they share a label, which fall with their distance in the DOM and where the kind of
+container changes. Both are in one unit, so a block with weak evidence follows its neighbours. The source side of a minimum
+cut is the content. Before the flow, blocks whose terminal outweighs all their ties are merged into that terminal, which
+keeps the cut minimal and leaves most pages with little to augment; the rest is solved by blocking flows.
+
+Parsing is linear in the page: elements know their parent and depth, open elements are found by name, and each scan of the
+page goes on where the one before it ended.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,163 +49,311 @@ BOILER_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("nav navbar navigation menu menus header masthead footer foot sidebar sidebars side aside topbar bottombar rail".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text prose".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?-->|<!--.*|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: What notices, forms and lists of links say.
+NOTICES = (
+    "cookies? subscribe newsletter sign.up sign.in log.in register privacy.policy terms.of.use terms.of.service all.rights.reserved copyright share.this share.on "
+    "tweet follow.us advertisement sponsored read.more related.articles related.posts related.stories leave.a.comment leave.a.reply post.a.comment comments? "
+    "reply replies skip.to.content back.to.top contact.us about.us"
+).split()
+
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|/([^a-zA-Z])|(/?)([a-zA-Z][^\s/>]*))")
+#: Attributes up to the end of a tag; a quote counts after an equals sign only, and one that is never closed is a character.
+_INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CAMEL, _WORDS = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[a-z]+")
-_SENTENCE = re.compile(r"[.!?…。]")
+_NOTICE = re.compile(r"\b(?:" + "|".join(n.replace(".", r"\s+") for n in NOTICES) + r")\b|©|\(c\)\s*\d{4}", re.I)
+_CLAIMED = re.compile(r"^\W*(?:©|\(c\)\s*\d{4}|copyright\b)", re.I)
+_ENDS = re.compile(r"[.!?…。:][\"'”’)\]]*$")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _PLAIN, _MAIN, _LAYOUT, _BOILER = 0, 1, 2, 3
-#: Capacities: what an ancestor, a word, a sentence or a link is worth, and a tie between blocks in one container.
-MAIN_COST, BOILER_COST, WORD_COST, SENTENCE_COST, LINK_COST, TIE = 4.0, 9.0, 0.05, 0.5, 4.0, 1.0
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Log odds of content for what a block shows, and for the containers it is in.
+BIAS, PER_DOUBLING, LINKED, SENTENCE, COMMA, NOTICE, REPEATED, UNDER_NOTICE, BEFORE_TITLE, CLAIMED, ODD = -1.0, 0.55, -4.5, 0.8, 0.4, -12.0, -1.0, -3.0, -0.7, -4.0, -1.5
+ELEMENT = {"p": 0.7, "h1": 1.5, "h2": 0.6, "h3": 0.6, "h4": 0.6, "h5": 0.6, "h6": 0.6, "pre": 0.7, "blockquote": 0.7, "li": -0.3, "td": -0.2, "th": -0.2, "address": -1.0}
+CONTAINER = {_PLAIN: 0.0, _MAIN: 2.5, _LAYOUT: -4.0, _BOILER: -5.0}
+#: Words from which on a block is too long to be a notice.
+BRIEF = 40
+#: Log odds that siblings side by side share a label, what each further step in the DOM leaves of it, what a change of the
+#: kind of container leaves, and the same for next blocks of one container with others in between.
+TIE, STEP, CHANGE, NEXT = 3.0, 0.5, 0.15, 1.5
 
 
 @lru_cache(20_000)
-def _kind(tag: str, attributes: str) -> tuple[int, bool]:
-    """What an element says about the texts in it, and whether it is hidden."""
+def _kind(tag: str, attributes: str) -> tuple[int, bool, bool]:
+    """What an element says about the texts in it, whether it is hidden, and whether it is named as the main part."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     style = found.get("style", "").replace(" ", "").lower()
     hidden = tag in HIDDEN or "hidden" in found or "display:none" in style or "visibility:hidden" in style
     names = set(_WORDS.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower())) if tag not in ("html", "body") else set()
-    role, main = found.get("role", "").lower(), MAIN_WORDS & names or found.get("itemprop", "").lower() == "articlebody"
+    role, main = found.get("role", "").lower(), bool(MAIN_WORDS & names) or found.get("itemprop", "").lower() == "articlebody"
     if tag in BOILER_TAGS or role in BOILER_ROLES or BOILER_WORDS & names:
-        return _BOILER, hidden
+        return _BOILER, hidden, main
     if tag in ("article", "main") or role in ("main", "article"):
-        return _MAIN, hidden
+        return _MAIN, hidden, main
     if tag == "header" or LAYOUT_WORDS & names:
-        return _LAYOUT, hidden
-    return (_MAIN if main else _PLAIN), hidden
-
-
-class _Block:
-    __slots__ = ("linked", "parts", "path", "state")
-
-    def __init__(self, path: tuple, state: int):
-        self.parts, self.linked, self.path, self.state = [], 0, path, state
-
-
-def blocks(page: str) -> list[tuple[str, float, tuple, int]]:
-    """(text, share of its characters in links, containers from the root, what they say) for each block with text."""
-    out: list[tuple[str, float, tuple, int]] = []
-    stack: list[tuple[str, int, bool, int, tuple]] = [("", _PLAIN, False, 0, ())]  # tag, state, hidden, links open, containers
-    block, serial, at = _Block((), _PLAIN), 0, 0
-
-    def flush() -> None:
-        nonlocal block
-        text = " ".join(html.unescape("".join(block.parts)).split()) if block.parts else ""
-        if text:
-            out.append((text, min(1.0, block.linked / max(1, len(text))), block.path, block.state))
-        block = _Block(stack[-1][4], stack[-1][1])
-
-    def add(text: str) -> None:
-        _, state, hidden, links, path = stack[-1]
-        if not hidden and text:
-            if not block.parts:
-                block.path, block.state = path, state
-            elif state > block.state and text.strip():
-                block.state = state
-            block.parts.append(text)
-            if links:
-                block.linked += len(text.strip())
-
-    def close(to: int) -> None:
-        if any(e[0] in BLOCK for e in stack[to:]):
-            flush()
-        del stack[to:]
-
-    def last_open(names: tuple[str, ...], scopes: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in scopes:
-                break
-        return 0
-
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
-            continue
-        add(page[at : token.start()])
-        at = token.end()
-        tag = token[2] or token[5]
-        if not tag:
-            if token[0].startswith("<![CDATA["):
-                add(token[0][9:-3])
-            continue
-        tag, attributes = tag.lower(), token[3] or token[6] or ""
-        if token[1] or token[4]:
-            if i := last_open((tag,)):
-                close(i)
-            continue
-        if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.start() if end else len(page)
-            continue
+        return _LAYOUT, hidden, main
+    return (_MAIN if main else _PLAIN), hidden, main
+
+
+def _within(state: int, tag: str, attributes: str) -> tuple[int, bool]:
+    """What an element's texts are taken for, given what those around it are, and whether it hides them."""
+    kind, hides, main = _kind(tag, attributes)
+    if _BOILER in (kind, state):
+        return _BOILER, hides
+    if kind == _MAIN:
+        return (_MAIN if tag in ("article", "main") or state != _LAYOUT else state), hides
+    if kind == _LAYOUT and (state != _MAIN or (tag != "header" and not main)):
+        return _LAYOUT, hides
+    return state, hides
+
+
+@dataclass
+class Block:
+    """A text with its element's number and name, the kind of its container, and the characters of it in links."""
+
+    node: int
+    tag: str
+    state: int
+    parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    text: str = ""
+
+
+@dataclass
+class Page:
+    """Blocks in page order, and for each block-level element its parent's number and its depth."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])
+    depths: list[int] = field(default_factory=lambda: [0])
+
+
+class _Open:
+    """An open element: its name, the block-level element it belongs to, and what its texts are."""
+
+    __slots__ = ("hidden", "home", "home_tag", "links", "state", "tag")
+
+    def __init__(self, tag: str, state: int, hidden: bool, links: int, home: int, home_tag: str):
+        self.tag, self.state, self.hidden, self.links, self.home, self.home_tag = tag, state, hidden, links, home, home_tag
+
+
+class _Builder:
+    """Takes a page's tags and texts in order and makes its blocks."""
+
+    def __init__(self) -> None:
+        self.page, self.stack, self.places = Page(), [_Open("", _PLAIN, False, 0, 0, "")], defaultdict(list)
+        self.block = Block(0, "", _PLAIN)
+
+    def flush(self) -> None:
+        block, top = self.block, self.stack[-1]
+        if block.parts:
+            block.text = " ".join("".join(block.parts).split())
+            block.parts = []
+            if block.text:
+                self.page.blocks.append(block)
+        self.block = Block(top.home, top.home_tag, top.state)
+
+    def text(self, raw: str) -> None:
+        top, block = self.stack[-1], self.block
+        if not raw or top.hidden:
+            return
+        text = html.unescape(raw) if "&" in raw else raw
+        if not block.parts:
+            block.node, block.tag, block.state = top.home, top.home_tag, top.state
+        elif top.state > block.state and text.strip():
+            block.state = top.state
+        block.parts.append(text)
+        if top.links:
+            block.linked += len(text.strip())
+
+    def _last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def _close(self, to: int) -> None:
+        if any(e.tag in BLOCK for e in self.stack[to:]):
+            self.flush()
+        for e in self.stack[to:]:
+            self.places[e.tag].pop()
+        del self.stack[to:]
+
+    def _close_within(self, names: tuple[str, ...], scopes: tuple[str, ...]) -> None:
+        at = self._last(names)
+        if at > self._last(scopes):
+            self._close(at)
+
+    def end(self, tag: str) -> None:
+        if at := self._last((tag,)):
+            self._close(at)
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag == "hr":
-                flush()
+                self.flush()
             elif tag in ("br", "img"):
-                add(" ")
-            continue
-        if tag in ENDS_P and (i := last_open(("p",), ("td", "th", "button", "table", "object", "caption"))):
-            close(i)
+                self.text(" ")
+            return
+        if tag in ENDS_P:
+            self._close_within(("p",), ("td", "th", "button", "table", "object", "caption"))
         if tag in CLOSES:
             other, scopes = CLOSES[tag]
-            if i := last_open((tag, other), scopes):
-                close(i)
+            self._close_within((tag, other), scopes)
         if tag in BLOCK:
-            flush()
-        if attributes.endswith("/") and tag not in BLOCK:
-            continue
-        _, state, hidden, links, path = stack[-1]
-        kind, hides = _kind(tag, attributes)
-        if kind == _BOILER or state == _BOILER:
-            state = _BOILER
-        elif kind == _MAIN:
-            state = _MAIN if tag in ("article", "main") or state != _LAYOUT else state
-        elif kind == _LAYOUT and state != _MAIN:
-            state = _LAYOUT
-        elif kind == _LAYOUT and tag not in ("header",) and not MAIN_WORDS & set(_WORDS.findall(attributes.lower())):
-            state = _LAYOUT
+            self.flush()
+        elif attributes.endswith("/"):
+            return
+        top = self.stack[-1]
+        state, hides = _within(top.state, tag, attributes)
+        home, home_tag = top.home, top.home_tag
         if tag in BLOCK:
-            serial += 1
-            path = (*path, serial)
-        stack.append((tag, state, hidden or hides, links + (tag == "a"), path))
-    add(page[at:])
-    flush()
+            home, home_tag = len(self.page.parents), tag
+            self.page.parents.append(top.home)
+            self.page.depths.append(self.page.depths[top.home] + 1)
+        self.places[tag].append(len(self.stack))
+        self.stack.append(_Open(tag, state, top.hidden or hides, top.links + (tag == "a"), home, home_tag))
+
+
+def parsed(page: str) -> Page:
+    """The text blocks of a page, in one pass over its characters."""
+    made, at, scanned, strict = _Builder(), 0, 0, True
+    while found := _MARKUP.search(page, scanned):
+        comment, bogus, odd_end, closing, tag = found.groups()
+        if comment:
+            done = page.startswith((">", "->"), found.end())
+            end = _COMMENT_END.search(page, found.end()) if not done else None
+            stop = page.index(">", found.end()) + 1 if done else end.end() if end else len(page)
+        elif bogus or odd_end:
+            stop = page.find(">", found.end() - bool(odd_end)) + 1 or len(page)
+        else:
+            inside = _INSIDE.match(page, found.end()) if strict else None
+            if not inside:  # from the first tag that no quote or bracket ends, tags end at the first bracket
+                strict = False
+                stop = page.find(">", found.end()) + 1
+                if not stop:
+                    break
+            else:
+                stop = inside.end()
+        made.text(page[at : found.start()])
+        at = scanned = stop
+        if tag:
+            name = tag.lower()
+            if closing:
+                made.end(name)
+            elif name in RAW:
+                end = _RAW_END[name].search(page, at)
+                at = scanned = end.start() if end else len(page)
+            else:
+                made.start(name, page[found.end() : stop - 1])
+    made.text(page[at:])
+    made.flush()
+    return made.page
+
+
+def log_odds(page: Page) -> list[float]:
+    """The log odds of content for each block, from itself and the headings before it."""
+    texts = Counter(b.text for b in page.blocks)
+    by_tag = Counter[str]()
+    for b in page.blocks:
+        by_tag[b.tag] += max(0, len(b.text) - b.linked)
+    whole = by_tag.total()
+    title = next((i for i, b in enumerate(page.blocks) if b.tag == "h1"), 0)
+    out, under = [], False
+    for i, b in enumerate(page.blocks):
+        linked = min(1.0, b.linked / len(b.text))
+        n = b.text.count(" ") + 1
+        notices = len(_NOTICE.findall(b.text)) if n < BRIEF else 0
+        if b.tag in _HEADINGS:
+            under = notices > 0 and n <= 6 and b.tag != "h1"
+        z = BIAS + PER_DOUBLING * math.log2(1 + n * (1 - linked)) + LINKED * linked + ELEMENT.get(b.tag, 0.0) + CONTAINER[b.state]
+        z += SENTENCE * bool(_ENDS.search(b.text)) + COMMA * ("," in b.text) + max(-4.0, NOTICE * notices / (n + 2)) * (0.5 if b.state == _MAIN else 1.0)
+        z += REPEATED * (texts[b.text] > 1 and n < 20) + UNDER_NOTICE * under + BEFORE_TITLE * (i < title)
+        z += CLAIMED * bool(_CLAIMED.match(b.text)) + ODD * (b.tag not in ELEMENT and 10 * by_tag[b.tag] < whole)
+        out.append(z)
     return out
 
 
-def _terminals(block: tuple[str, float, tuple, int]) -> tuple[float, float]:
-    """The costs of calling a block boilerplate and of calling it content."""
-    text, linked, _, state = block
-    content = WORD_COST * min(text.count(" ") + 1, 40) * (1 - linked) + SENTENCE_COST * bool(_SENTENCE.search(text))
-    boiler = LINK_COST * linked
-    if state == _MAIN:
-        content += MAIN_COST
-    elif state != _PLAIN:
-        boiler += BOILER_COST
-    return content, boiler
+def _terminals(page: Page) -> list[tuple[float, float]]:
+    """The costs of calling each block boilerplate and of calling it content: negative log likelihoods."""
+    cost = lambda z: max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+    return [(cost(z), cost(-z)) for z in log_odds(page)]
+
+
+def _apart(page: Page, a: int, b: int) -> int:
+    """Steps between two elements in the tree; along a page's blocks these add up to its number of elements at most twice."""
+    steps = 0
+    while a != b:
+        if page.depths[a] < page.depths[b]:
+            a, b = b, a
+        a, steps = page.parents[a], steps + 1
+    return steps
 
 
-def _ties(found: list[tuple[str, float, tuple, int]]) -> dict[tuple[int, int], float]:
+def _ties(page: Page) -> dict[tuple[int, int], float]:
     """Capacities between neighbours in page order, and between a block and the next one of its container."""
     ties: dict[tuple[int, int], float] = {}
-    last: dict[tuple, int] = {}
-    for i, (_, _, path, _) in enumerate(found):
+    last: dict[int, int] = {}
+    for i, b in enumerate(page.blocks):
         if i:
-            before = found[i - 1][2]
-            common = next((k for k, (a, b) in enumerate(zip(before, path)) if a != b), min(len(before), len(path)))
-            ties[i - 1, i] = TIE / max(1, len(before) + len(path) - 2 * common - 1)
-        home = path[:-1]
+            before = page.blocks[i - 1]
+            change = CHANGE if before.state != b.state else 1.0
+            ties[i - 1, i] = TIE * change * STEP ** max(0, _apart(page, before.node, b.node) - 2)
+        home = page.parents[b.node]
         if home in last and last[home] != i - 1:
-            ties[last[home], i] = TIE / 2
+            ties[last[home], i] = NEXT * (CHANGE if page.blocks[last[home]].state != b.state else 1.0)
         last[home] = i
     return ties
 
 
+class _Flow:
+    """Maximum flow by blocking flows over level graphs (Dinic); nothing recurs, so depth is no limit."""
+
+    def __init__(self, n: int):
+        self.n, self.out, self.to, self.left = n, [[] for _ in range(n)], [], []
+
+    def edge(self, a: int, b: int, forth: float, back: float) -> None:
+        for x, y, c in ((a, b, forth), (b, a, back)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.left.append(c)
+
+    def _levels(self, source: int) -> list[int]:
+        level, queue = [-1] * self.n, deque([source])
+        level[source] = 0
+        while queue:
+            v = queue.popleft()
+            for e in self.out[v]:
+                if self.left[e] > 1e-9 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[v] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def source_side(self, source: int, sink: int) -> list[bool]:
+        while (level := self._levels(source))[sink] >= 0:
+            arc, path, v = [0] * self.n, [], source
+            while True:
+                if v == sink:
+                    least = min(self.left[e] for e in path)
+                    for e in path:
+                        self.left[e] -= least
+                        self.left[e ^ 1] += least
+                    cut = next(i for i, e in enumerate(path) if self.left[e] <= 1e-9)
+                    v = self.to[path[cut] ^ 1]
+                    del path[cut:]
+                elif arc[v] < len(self.out[v]):
+                    e = self.out[v][arc[v]]
+                    if self.left[e] > 1e-9 and level[self.to[e]] == level[v] + 1:
+                        path.append(e)
+                        v = self.to[e]
+                    else:
+                        arc[v] += 1
+                elif v == source:
+                    break
+                else:
+                    v = self.to[path.pop() ^ 1]
+                    arc[v] += 1
+        return [x >= 0 for x in level]
+
+
 def source_side(terminals: list[tuple[float, float]], ties: dict[tuple[int, int], float]) -> list[bool]:
     """Which nodes a minimum cut leaves with the source; (from the source, to the sink) for each node, ties both ways."""
     n = len(terminals)
@@ -221,45 +375,31 @@ def source_side(terminals: list[tuple[float, float]], ties: dict[tuple[int, int]
             near[v] = {}
     rest = [v for v in range(n) if decided[v] is None]
     if rest:
-        source, sink = n, n + 1
-        left: list[dict[int, float]] = [dict(x) for x in near] + [{}, {}]
+        number, flow = {v: i for i, v in enumerate(rest)}, _Flow(len(rest) + 2)
+        source, sink = len(rest), len(rest) + 1
         for v in rest:
-            left[source][v], left[v][source] = max(balance[v], 0.0), 0.0
-            left[v][sink], left[sink][v] = max(-balance[v], 0.0), 0.0
-        while True:
-            came, queue = {source: source}, deque([source])
-            while queue and sink not in came:
-                v = queue.popleft()
-                for u, c in left[v].items():
-                    if c > 1e-12 and u not in came:
-                        came[u] = v
-                        queue.append(u)
-            if sink not in came:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            push = min(left[a][b] for a, b in path)
-            for a, b in path:
-                left[a][b] -= push
-                left[b][a] += push
+            flow.edge(source, number[v], max(balance[v], 0.0), 0.0)
+            flow.edge(number[v], sink, max(-balance[v], 0.0), 0.0)
+            for u, c in near[v].items():
+                if u > v:
+                    flow.edge(number[v], number[u], c, c)
+        side = flow.source_side(source, sink)
         for v in rest:
-            decided[v] = v in came
+            decided[v] = side[number[v]]
     return [bool(x) for x in decided]
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    keep = source_side([_terminals(b) for b in found], _ties(found))
-    return "\n".join(b[0] for b, k in zip(found, keep) if k)
+    found = parsed(page or "")
+    keep = source_side(_terminals(found), _ties(found))
+    return "\n".join(b.text for b, k in zip(found.blocks, keep) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html); n_chars counts code points.
 
     A null or empty html gives an empty text. Rows are neither merged nor dropped, whatever their page_id; other columns
-    are ignored. A page is parsed whole, in one pass over its characters.
+    are ignored. A page is parsed whole, in one pass over its characters; tags that never end are text to the end of the page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
