@@ -49,6 +49,8 @@ BOILER_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("nav navbar navigation menu menus header masthead footer foot sidebar sidebars side aside topbar bottombar rail".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text prose".split())
 
+#: Elements that name other resources, and the attribute that does.
+LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
 #: What notices, forms and lists of links say.
 NOTICES = (
     "cookies? subscribe newsletter sign.up sign.in log.in register privacy.policy terms.of.use terms.of.service all.rights.reserved copyright share.this share.on "
@@ -122,9 +124,14 @@ class Block:
 
 @dataclass
 class Page:
-    """Blocks in page order, and for each block-level element its parent's number and its depth."""
+    """Blocks in page order, and for each block-level element its parent's number and its depth.
+
+    Besides, the start tags that can name other resources, and what the first title element holds.
+    """
 
     blocks: list[Block] = field(default_factory=list)
+    links: list[tuple[str, str]] = field(default_factory=list)
+    title: str | None = None
     parents: list[int] = field(default_factory=lambda: [0])
     depths: list[int] = field(default_factory=lambda: [0])
 
@@ -236,19 +243,32 @@ def parsed(page: str) -> Page:
         made.text(page[at : found.start()])
         at = scanned = stop
         if tag:
-            name = tag.lower()
+            name, attributes = tag.lower(), page[found.end() : stop - 1]
+            if not closing and name in LINKS:
+                made.page.links.append((name, attributes))
             if closing:
                 made.end(name)
             elif name in RAW:
                 end = _RAW_END[name].search(page, at)
-                at = scanned = end.start() if end else len(page)
+                scanned = end.start() if end else len(page)
+                if name == "title" and made.page.title is None:
+                    made.page.title = " ".join(html.unescape(page[at:scanned]).split())
+                at = scanned
             else:
-                made.start(name, page[found.end() : stop - 1])
+                made.start(name, attributes)
     made.text(page[at:])
     made.flush()
     return made.page
 
 
+def attribute(attributes: str, name: str) -> str | None:
+    """The decoded value of an attribute in the inside of a tag, if it is there."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == name:
+            return html.unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
 def log_odds(page: Page) -> list[float]:
     """The log odds of content for each block, from itself and the headings before it."""
     texts = Counter(b.text for b in page.blocks)
