@@ -106,7 +106,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter(r["record_type"] for r in out) == {"metadata": 2, "conversion": 2} and all(r["source_digest_ok"] for r in out)
     sources = {r["page_id"]: next(warc.parse(bytes(r["record"])))[0] for r in made.collect()}
     for r in out:
-        headers, block = next(warc.parse(bytes(r["record"])))
+        headers, block, _ = next(warc.parse(bytes(r["record"])))
         assert headers["WARC-Refers-To"] == sources[r["page_id"]]["WARC-Record-ID"] == r["refers_to"]
         assert headers["WARC-Block-Digest"] == warc.digest(block) == r["block_digest"] and int(headers["Content-Length"]) == len(block)
     text = next(r for r in out if r["page_id"] == 1 and r["record_type"] == "conversion")
