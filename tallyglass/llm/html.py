@@ -175,9 +175,20 @@ class _Builder:
             block.linked += len(text.strip())
 
     def _last(self, names: tuple[str, ...]) -> int:
-        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+        at = 0
+        for name in names:
+            if (open_ := self.places.get(name)) and open_[-1] > at:
+                at = open_[-1]
+        return at
 
     def _close(self, to: int) -> None:
+        if to == len(self.stack) - 1:
+            tag = self.stack[to].tag
+            if tag in BLOCK:
+                self.flush()
+            self.stack.pop()
+            self.places[tag].pop()
+            return
         if any(e.tag in BLOCK for e in self.stack[to:]):
             self.flush()
         for e in self.stack[to:]:
@@ -190,8 +201,8 @@ class _Builder:
             self._close(at)
 
     def end(self, tag: str) -> None:
-        if at := self._last((tag,)):
-            self._close(at)
+        if open_ := self.places.get(tag):
+            self._close(open_[-1])
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
@@ -200,7 +211,7 @@ class _Builder:
             elif tag in ("br", "img"):
                 self.text(" ")
             return
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.places.get("p"):
             self._close_within(("p",), ("td", "th", "button", "table", "object", "caption"))
         if tag in CLOSES:
             other, scopes = CLOSES[tag]

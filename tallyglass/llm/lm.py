@@ -1,20 +1,18 @@
 """Prediction by partial matching: code lengths of texts under a byte-context trie trained on part of the corpus.
 
-The trie's deepest nodes are contexts of ``order`` bytes; their symbol counts come from all training texts, and shorter
-contexts are the sums of the longer ones that end in them. A symbol's probability starts at the longest context seen in
-training; one that the context hasn't seen escapes to the next shorter context, at a chance of half the
-distinct symbols over the total (each seen symbol gives half a count), and symbols seen in the longer context are excluded there from counts and escape alike. Below order 0, unseen
-bytes are equally likely. What is coded is the text's words in lower case, each with a space behind it, and an end, the
-same events that the base score covers. Byte 0xFF, which UTF-8 never has, stands before a text and ends it.
-
-Paths from the start of a word are kept whole: a word seen in training can be coded along its own path, whose branch counts
-telescope to its count over all, and one that wasn't escapes at its start and is spelled in the contexts above. A text's
-probability is the mean of both ways of coding it, with and without whole paths, so the probabilities of all texts sum to 1
-at most.
+The trie's deepest nodes are contexts of ``order`` bytes; their symbol counts come from all training texts. In a shorter
+context a symbol counts once for each longer one that it was seen in (update exclusion). A symbol's probability starts at the
+longest context seen in training; one that the context hasn't seen escapes to the next shorter context, at a chance of
+``DISCOUNT`` times the distinct symbols over the total, which the seen symbols give up; symbols seen in the longer context
+are excluded there from counts and escape alike. Below order 0, unseen bytes are equally likely. So the probabilities of
+all texts sum to 1. What is coded is the whole text, byte by byte as it stands, and its end. Byte 0xFF, which UTF-8 never
+has, stands before a text and ends it.
 
 Texts stay in packs (see packs). A pack sends its distinct symbols-in-context with their training counts to buckets, and
-gets back the log-probability of each; words for the base score go the same way. Contexts of two bytes and more are
-resolved where all that end in the same two bytes meet; the counts of one-byte contexts are a table of at most 256 x 256.
+gets back the log-probability of each; words for the base score go the same way. A pack has a row for each bucket that it
+has keys for, so rows never outnumber keys. Contexts of three bytes and more are resolved where all that end in the same
+three bytes meet: at order 5 such a group has at most 2**24 symbols-in-context, whatever the corpus. Counts in contexts of
+up to two bytes are at most 256 each, and are one table of at most 2**24 entries (6 bytes each) that all tasks get.
 """
 
 from __future__ import annotations
@@ -30,33 +28,27 @@ from tallyglass.llm import common, packs, tokens
 
 _U = np.uint64
 _END = _U(0xE0D0F0E0D0F00001)
-_LOG = np.log2(10)
 _PAD = 0xFF
+#: What each seen symbol gives up for the escape; of 0.3, 0.5 and 0.7 the one with the shortest codes on held-back training texts.
+DISCOUNT = 0.3
+#: Distinct contexts grow slower than texts, so large packs ask less; inside, they are worked on in slices.
+PACK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 
 
-def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of every byte and every end, as one integer each, and the borders between texts.
-
-    A text is coded as its words in lower case, each followed by a space, and its end; marks stand before it.
-    """
-    sizes, n = ends - starts, len(first) - 1
-    upto = np.concatenate([[0], np.cumsum(sizes + 1)])
-    borders = upto[first] + np.arange(n + 1)  # words with their spaces, and an end for each text
-    doc = np.repeat(np.arange(n), np.diff(first))
-    stream = np.full(borders[-1] + n, 0x20, np.uint8)  # with the mark before each text
-    begin = upto[:-1] + 2 * doc + 1
-    at = np.repeat(begin - upto[:-1] + np.arange(len(sizes)), sizes) + np.arange(int(sizes.sum()))
-    stream[at] = tokens.LOWER[data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]]
-    marks = borders[:-1] + np.arange(n)
-    stream[marks] = stream[borders[1:] + np.arange(n)] = _PAD
-    reach = np.arange(len(stream)) - np.repeat(marks, np.diff(borders) + 1)  # bytes since the text's mark
+def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of every byte and every end, as one integer each, and the borders between texts."""
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    marks = offsets[:-1] + 2 * np.arange(n)
+    stream = np.full(len(data) + 2 * n, _PAD, np.uint8)
+    stream[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, sizes)] = data
+    reach = np.arange(len(stream)) - np.repeat(marks, sizes + 2)  # bytes since the text's mark
     keys = np.zeros(len(stream), _U)
     for k in range(order, 0, -1):
         seen = np.full(len(stream), _PAD, np.uint8)
         seen[k:] = np.where(reach[k:] >= k, stream[:-k], _PAD)
         keys = (keys << _U(8)) | seen
     keys = (keys << _U(8)) | stream
-    return np.delete(keys, marks), borders
+    return np.delete(keys, marks), offsets + np.arange(n + 1)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,43 +57,72 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, np.bincount(inverse, values, len(distinct)), inverse
 
 
-def resolve(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
-    """log10 of the probability of each symbol in its context.
+def _mask(k: int) -> np.uint64:
+    """The bits of a symbol and k bytes before it."""
+    return _U((1 << 8 * (k + 1)) - 1)
+
+
+class _Level:
+    """Counts of symbols in contexts of one length; keys are distinct and sorted."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.contexts, self.of = np.unique(keys >> _U(8), return_inverse=True)
+        self.totals = np.bincount(self.of, counts, len(self.contexts))
+        self.kinds = np.bincount(self.of, counts > 0, len(self.contexts))
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+
+    def _of_contexts(self, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.contexts):
+            return np.zeros(len(keys))
+        contexts = keys >> _U(8)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return np.where(self.contexts[at] == contexts, values[at], 0.0)
+
+    def shorter(self, k: int) -> _Level:
+        """The level of contexts of k bytes: a symbol counts once for each longer context that has it."""
+        keys, counts, _ = _sums(self.keys & _mask(k), (self.counts > 0).astype(float))
+        return _Level(keys, counts)
+
+    def steps(self, keys: np.ndarray, longer: _Level | None, longer_keys: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, mass and kinds for each key, less what the longer context excludes."""
+        mass, kinds = self._of_contexts(self.totals, keys), self._of_contexts(self.kinds, keys)
+        if longer is not None:
+            here = np.where(longer.counts > 0, self.count(longer.keys & _mask(k)), 0.0)
+            mass = mass - longer._of_contexts(np.bincount(longer.of, here, len(longer.contexts)), longer_keys)
+            kinds = kinds - longer._of_contexts(longer.kinds, longer_keys)
+        return self.count(keys), mass, kinds
+
+
+def resolve(grams: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 of the probability of each symbol in its context of ``order`` bytes, 3 at least.
 
-    grams must hold, for every two-byte context in it, all that ends in it; pairs[a, s] counts s after the byte a.
+    grams are distinct and sorted and hold, for every three-byte context in them, all that ends in it; short has the
+    distinct symbols in contexts of two bytes of the whole corpus, sorted, and their counts.
     """
-    symbol = (grams & _U(255)).astype(np.int64)
-    last = ((grams >> _U(8)) & _U(255)).astype(np.int64)
-    singles = pairs.sum(0)
-    # for each order: own count, total, distinct symbols, and what the longer context excludes here
-    seen, total, distinct = {0: singles[symbol], 1: pairs[last, symbol]}, {0: singles.sum(), 1: pairs.sum(1)[last]}, {0: (singles > 0).sum(), 1: (pairs > 0).sum(1)[last]}
-    excluded = {0: ((pairs > 0) @ singles)[last]}
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for k in range(2, order + 1):
-        keys = grams & _U((1 << 8 * (k + 1)) - 1)
-        own, sums, at = _sums(keys, counts)
-        contexts, totals, of = _sums(own >> _U(8), sums)
-        kinds = np.bincount(of, sums > 0, len(contexts))
-        seen[k], total[k], distinct[k] = sums[at], totals[of][at], kinds[of][at]
-        if below is None:
-            shorter = pairs[((own >> _U(8)) & _U(255)).astype(np.int64), (own & _U(255)).astype(np.int64)]
-        else:
-            shorter = below[1][np.searchsorted(below[0], own & _U((1 << 8 * k) - 1))]
-        excluded[k - 1] = np.bincount(of, np.where(sums > 0, shorter, 0), len(contexts))[of][at]
-        below = own, sums
-    out, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    levels = {order: _Level(grams, counts)}
+    for k in range(order - 1, 2, -1):
+        levels[k] = levels[k + 1].shorter(k)
+    levels[2] = _Level(short[0].astype(_U), short[1].astype(float))
+    for k in (1, 0):
+        levels[k] = levels[k + 1].shorter(k)
+    out, done, longer, longer_keys = np.zeros(len(grams)), np.zeros(len(grams), bool), None, None
     for k in range(order, -1, -1):
-        mass, kinds = np.broadcast_to(total[k], len(grams)).astype(float), np.broadcast_to(distinct[k], len(grams)).astype(float)
-        if k < order:
-            mass, kinds = mass - excluded[k], kinds - distinct[k + 1]
+        keys = grams & _mask(k)
+        seen, mass, kinds = levels[k].steps(keys, longer, longer_keys, k)
         live = ~done & (mass > 0)
-        hit = live & (seen[k] > 0)
-        out[hit] += np.log10((seen[k][hit] - 0.5) / mass[hit])
+        hit = live & (seen > 0)
+        out[hit] += np.log10((seen[hit] - DISCOUNT) / mass[hit])
         escape = live & ~hit
-        out[escape] += np.log10((kinds / 2 / np.maximum(mass, 1))[escape])
+        out[escape] += np.log10(kinds[escape] * DISCOUNT / mass[escape])
         done |= hit
-    rest = 256 - int((singles > 0).sum())
-    out[~done] -= np.log10(max(rest, 1))
+        longer, longer_keys = levels[k], keys
+    out[~done] -= np.log10(max(256 - len(levels[0].keys), 1))
     return out
 
 
@@ -115,10 +136,6 @@ def _flat(lists: pa.Scalar, field: str, kind: type, keys: np.ndarray, n_buckets:
     return out
 
 
-#: Distinct contexts grow slower than texts, so large packs ask less; inside, they are worked on in slices.
-PACK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
-
-
 class _Slice:
     def __init__(self, rows: pa.RecordBatch, order: int):
         column = lambda name: rows.column(rows.schema.get_field_index(name))
@@ -127,13 +144,7 @@ class _Slice:
         self.data, self.offsets = tokens.text_buffer(column("text"))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return _grams(self.data, *tokens.word_spans(self.data, self.offsets), self.order)
-
-    def token_borders(self) -> np.ndarray:
-        """Where each token begins among the grams: words with their spaces, and ends."""
-        starts, ends, first = tokens.word_spans(self.data, self.offsets)
-        sizes = np.insert(ends - starts + 1, first[1:], 1)
-        return np.cumsum(sizes) - sizes
+        return _grams(self.data, self.offsets, self.order)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, an end after each text's, and the borders between texts."""
@@ -141,14 +152,12 @@ class _Slice:
         hashed = tokens.hash_words(self.data, starts, ends, lower=True)
         return np.insert(hashed, first[1:], _END), first + np.arange(len(first))
 
-    def counted(self, keys: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys and how often each stands in training texts."""
-        train = np.repeat(self.train, np.diff(borders))
-        known, n = np.unique(keys[train], return_counts=True)
-        every = np.union1d(known, keys[~train])
-        out = np.zeros(len(every), np.int64)
-        out[np.searchsorted(every, known)] = n
-        return every, out
+    def distinct(self, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, how often each stands in training texts, the place of each key among them, and the texts' borders."""
+        keys, borders = self.words() if words else self.grams()
+        every, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at, np.repeat(self.train, np.diff(borders)), len(every)).astype(np.int64)
+        return every, counts, at.astype(np.int32), borders
 
 
 def _slices(rows: pa.Scalar, order: int) -> list[_Slice]:
@@ -156,44 +165,45 @@ def _slices(rows: pa.Scalar, order: int) -> list[_Slice]:
 
 
 def _asked(slices: list[_Slice], words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words or grams of a pack, and how often each stands in training texts."""
-    parts = [s.counted(*(s.words() if words else s.grams())) for s in slices]
+    """Distinct words or grams of a pack, sorted, and how often each stands in training texts."""
+    parts = [s.distinct(words)[:2] for s in slices]
     keys, counts, _ = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return keys, counts
+    return keys, counts.astype(np.int64)
 
 
-def _spread(keys: np.ndarray) -> np.ndarray:
-    return tokens.mix(keys)
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences, which compress well."""
+    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_steps(raw: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
 
 
 def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     """Scores every row of docs (doc_id, text) under a model of those whose crc32(doc_id as text) mod 7 is not 2.
 
     Columns: doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens, base_score
-    (log10, add-one over single tokens), score (log10 of the text's probability by partial matching) and n_bytes. A null
-    text is empty: one token, its end. A null doc_id counts as the empty text, which trains. Repeated rows train and are
+    (log10, add-one over single tokens), score (log10 of the whole text's probability by partial matching) and n_bytes. A
+    null text is empty: one token, its end. A null doc_id counts as the empty text, which trains. Repeated rows train and are
     scored each. Other columns are ignored; an empty table gives no rows, and without training rows bytes are equally likely.
+    ``order`` is from 3 to 6.
     """
+    if not 3 <= order <= 6:
+        raise ValueError("contexts have from 3 to 6 bytes")
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     packed = packs.packed(docs, PACK_BYTES)
     n_buckets = packs.buckets_for(common.text_bytes(docs))
 
-    def ask(words: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    keys, counts = _asked(_slices(rows, order), words)
-                    if not words:
-                        spread = _spread(keys)
-                        at = np.argsort(spread)
-                        yield packs.questions(name, spread[at], n_buckets, 8, keys[at], counts[at].astype(np.uint32)).select([0, 1, 3, 4])
-                    else:
-                        yield packs.questions(name, keys, n_buckets, 8, counts.astype(np.uint32))
-
-        return run
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, counts = _asked(_slices(rows, order), True)
+                yield packs.questions(name, keys, n_buckets, 8, counts.astype(np.uint32))
 
-    asked = packed.mapInArrow(ask(True), "pack long, bucket int, keys binary, more0 binary")
+    asked = packed.mapInArrow(ask_words, "pack long, bucket int, keys binary, more0 binary")
 
     def total_words(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_buffer(), _U) for x in table.column("keys")]
@@ -209,37 +219,47 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     sizes = word_counts.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_train, n_kinds = (sizes[0] or 0, sizes[1] or 0) if sizes else (0, 0)
 
+    def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, counts = _asked(_slices(rows, order), False)
+                places = [(b, at) for b, at in enumerate(packs.by_bucket(tokens.mix(keys), n_buckets)) if len(at)]
+                columns = [pa.array([name] * len(places), pa.int64()), pa.array([b for b, _ in places], pa.int32())]
+                columns += [tokens.blobs([_steps(keys[at]) for _, at in places]), tokens.blobs([counts[at].astype(np.uint32).tobytes() for _, at in places])]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack", "bucket", "keys", "counts"])
+
     # asked twice, for the counts and for the probabilities
-    grams = packed.mapInArrow(ask(False), "pack long, bucket int, more0 binary, more1 binary").withColumnsRenamed({"more0": "keys", "more1": "counts"})
-    grams = common.stage(grams)
+    grams = common.stage(packed.mapInArrow(ask_grams, "pack long, bucket int, keys binary, counts binary"))
 
     def total_grams(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in table.column("keys")])
+        keys = np.concatenate([_from_steps(x) for x in table.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
         distinct, sums, _ = _sums(keys, counts)
         return pa.table({"gram": distinct.view(np.int64), "n": sums.astype(np.int64)})
 
     model = common.stage(grams.groupBy("bucket").applyInArrow(total_grams, "gram long, n long"))
-    pairs = np.zeros((256, 256))
-    short = (F.col("gram") % 65536).alias("pair")  # a gram has at most seven bytes and is not negative
-    for row in model.groupBy(short).agg(F.sum("n").alias("n")).filter("n > 0").collect():
-        pairs[row["pair"] >> 8, row["pair"] & 255] = row["n"]
+    # a gram has at most seven bytes and is not negative; each row counts one context of three bytes
+    threes = model.filter("n > 0").select((F.col("gram") % (1 << 32)).alias("gram")).distinct()
+    twos = threes.groupBy((F.col("gram") % (1 << 24)).cast("int").alias("gram")).agg(F.count("*").cast("short").alias("n")).toArrow()
+    sorted_ = np.argsort(twos.column("gram").to_numpy())
+    short = twos.column("gram").to_numpy()[sorted_].astype(np.uint32), twos.column("n").to_numpy()[sorted_]
 
     def resolved(table: pa.Table) -> pa.Table:
-        keys = table.column("gram").to_numpy().view(_U)
-        logs = resolve(keys, table.column("n").to_numpy().astype(float), pairs, order)
-        bucket = ((_spread(keys) >> _U(32)) % _U(n_buckets)).astype(np.int32)
+        keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        at = np.argsort(keys)
+        keys = keys[at].view(_U)
+        logs = resolve(keys, n[at].astype(float), short, order)
+        bucket = ((tokens.mix(keys) >> _U(32)) % _U(n_buckets)).astype(np.int32)
         return pa.table({"bucket": bucket, "gram": keys.view(np.int64), "log": logs})
 
-    tail = F.shiftright("gram", 8) % 65536
+    tail = F.shiftright("gram", 8) % (1 << 24)
     probabilities = model.withColumn("tail", F.pmod(F.xxhash64(tail), F.lit(n_buckets))).groupBy("tail").applyInArrow(resolved, "bucket int, gram long, log double")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, logs = right.column("gram").to_numpy().view(_U), right.column("log").to_numpy()
         order_ = np.argsort(keys)
         keys, logs = keys[order_], logs[order_]
-        logs = logs.astype(np.float32)
-        given = [logs[np.searchsorted(keys, np.frombuffer(x.as_buffer(), _U))].tobytes() for x in left.column("keys")]
+        given = [logs[np.searchsorted(keys, _from_steps(x))].tobytes() for x in left.column("keys")]
         return pa.table([left.column("pack"), left.column("bucket"), tokens.blobs(given)], names=["pack", "bucket", "logs"])
 
     answers = grams.select("pack", "bucket", "keys").groupBy("bucket").cogroup(probabilities.groupBy("bucket")).applyInArrow(answer, "pack long, bucket int, logs binary")
@@ -250,26 +270,17 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
         for batch in batches:
             for rows, of_word, of_gram in zip(batch.column(1), batch.column(2), batch.column(3)):
                 slices = _slices(rows, order)
-                grams_, _ = _asked(slices, False)
-                spread = _spread(grams_)
-                at = np.argsort(spread)
-                logs = np.zeros(len(grams_))
-                logs[at] = _flat(of_gram, "logs", np.float32, spread[at], n_buckets)
+                grams_of = [s.distinct(False) for s in slices]
+                keys = np.unique(np.concatenate([k for k, *_ in grams_of]))
+                logs = _flat(of_gram, "logs", np.float64, tokens.mix(keys), n_buckets)
                 words_, _ = _asked(slices, True)
                 kind = np.int64 if any(x["wide"] for x in of_word.as_py() or ()) else np.uint32
                 counts = _flat(of_word, "counts", kind, words_, n_buckets).astype(np.float64)
                 of_token = np.log10((counts + 1) / (n_train + n_kinds + 1))
-                # a path's count less half, over all; half of the distinct words is the escape, as in other contexts
-                of_path = np.log10(np.maximum(counts - 0.5, 0.5) / max(1, n_train))
-                escape = np.log10(n_kinds / 2 / n_train) if n_train else 0.0
-                for part in slices:
-                    keys, _ = part.grams()
-                    spelled = logs[np.searchsorted(grams_, keys)]
+                for part, (own, _, at, borders) in zip(slices, grams_of):
+                    score_ = np.add.reduceat(logs[np.searchsorted(keys, own)][at], borders[:-1])
                     hashed, first = part.words()
                     at = np.searchsorted(words_, hashed)
-                    by_token = np.add.reduceat(spelled, part.token_borders())
-                    by_path = np.where(counts[at] > 0, of_path[at], escape + by_token)
-                    score_ = np.logaddexp2(np.add.reduceat(by_token, first[:-1]) * _LOG, np.add.reduceat(by_path, first[:-1]) * _LOG) / _LOG - 1 / _LOG
                     base = np.add.reduceat(of_token[at], first[:-1])
                     known = np.add.reduceat((counts > 0).astype(np.int64)[at], first[:-1])
                     columns = [part.ids, pa.array(~part.train), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(part.ids), n_train)), pa.array(base), pa.array(score_), pa.array(np.diff(part.offsets))]

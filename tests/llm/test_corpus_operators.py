@@ -177,9 +177,11 @@ def test_permutation_is_one():
         assert sorted(mixing._permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
-def test_scores(spark, docs, empty):
-    got = {r["doc_id"]: r for r in lm.scored(docs, 3).collect()}
-    lowered = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for i, t, *_ in rows()}
+@pytest.mark.parametrize("order", [3, 5])
+def test_scores(spark, docs, empty, order):
+    got = {r["doc_id"]: r for r in lm.scored(docs, order).collect()}
+    texts = {i: t or "" for i, t, *_ in rows()}
+    lowered = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t) for i, t in texts.items()}
     train = {i for i in lowered if zlib.crc32(str(i).encode()) % 7 != 2}
     tokens_of = {i: [*WORD.findall(t), None] for i, t in lowered.items()}
     counts = Counter(w for i in train for w in tokens_of[i])
@@ -187,17 +189,17 @@ def test_scores(spark, docs, empty):
     trie = defaultdict(Counter)
 
     def coded(t):
-        """Contexts and symbols of each token: words with a space behind them, and the end."""
-        pieces = [w.encode() + b" " for w in WORD.findall(t)] + [b"\xff"]
-        data, at = b"\xff" * 3 + b"".join(pieces), 3
-        for piece in pieces:
-            yield [(data[k - 3 : k], data[k]) for k in range(at, at + len(piece))]
-            at += len(piece)
+        """Contexts and symbols of each byte and the end."""
+        data = b"\xff" * order + t.encode() + b"\xff"
+        return [(data[k - order : k], data[k]) for k in range(order, len(data))]
 
     for i in train:
-        for context, symbol in (x for piece in coded(lowered[i]) for x in piece):
-            for k in range(4):
-                trie[context[3 - k :]][symbol] += 1
+        for context, symbol in coded(texts[i]):
+            trie[context][symbol] += 1
+    for k in range(order, 0, -1):
+        for context, symbols in [x for x in trie.items() if len(x[0]) == k]:
+            for symbol in symbols:
+                trie[context[1:]][symbol] += 1
 
     def log_p(context, symbol):
         out, gone = 0.0, set()
@@ -207,23 +209,31 @@ def test_scores(spark, docs, empty):
                 continue
             mass = sum(seen.values())
             if symbol in seen:
-                return out + math.log10((seen[symbol] - 0.5) / mass)
-            out += math.log10(len(seen) / 2 / mass)
+                return out + math.log10((seen[symbol] - lm.DISCOUNT) / mass)
+            out += math.log10(len(seen) * lm.DISCOUNT / mass)
             gone |= set(seen)
         return out - math.log10(max(1, 256 - len(gone)))
 
-    for i, t, *_ in rows():
+    for i, t in texts.items():
         r = got[i]
         assert r["held_out"] == (i not in train) and r["train_tokens"] == total and r["n_tokens"] == len(tokens_of[i]) and r["n_known"] == sum(w in counts for w in tokens_of[i])
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens_of[i]))
-        spelled = [sum(log_p(c, x) for c, x in piece) for piece in coded(lowered[i])]
-        path = sum(math.log10((counts[w] - 0.5) / total) if w in counts else math.log10(kinds / 2 / total) + p for w, p in zip(tokens_of[i], spelled))
-        top = max(path, sum(spelled))
-        assert r["score"] == pytest.approx(top + math.log10(10 ** (path - top) + 10 ** (sum(spelled) - top)) - math.log10(2), rel=1e-5)
-    assert sum(10 ** log_p(b" ab", s) for s in range(256)) == pytest.approx(1)
+        assert r["score"] == pytest.approx(sum(log_p(c, x) for c, x in coded(t)), rel=1e-11) and r["n_bytes"] == len(t.encode())
+    assert sum(10 ** log_p(b" ab" + b"c" * (order - 3), s) for s in range(256)) == pytest.approx(1)
     assert lm.scored(empty).count() == 0
 
 
+def test_scores_of_odd_rows(spark):
+    """Repeated rows and rows without an id train and are scored each; case and white space count."""
+    some = [(1, "A b  c", 9), (1, "A b  c", 9), (None, "a b c", 9), (None, None, 9), (2, "a b c", 9), (3, "\u00ff\U0001F600", 9)]
+    got = lm.scored(spark.createDataFrame(some, "doc_id long, text string, score int"), 3).collect()
+    assert len(got) == len(some) and Counter(r["doc_id"] for r in got) == {1: 2, None: 2, 2: 1, 3: 1}
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and {r["n_bytes"] for r in got if r["doc_id"] is None} == {0, 5}
+    assert len({r["base_score"] for r in got if r["n_tokens"] == 4}) == 1 and len({r["score"] for r in got if r["n_tokens"] == 4}) == 2
+    with pytest.raises(ValueError):
+        lm.scored(spark.createDataFrame(some, "doc_id long, text string, score int"), 2)
+
+
 def test_packing(docs, empty):
     got = packing.packed(docs, capacity=300, per_source=2, with_text=True).collect()
     size, bins = {i: len(WORD.findall(t or "")) for i, t, *_ in rows()}, defaultdict(list)
