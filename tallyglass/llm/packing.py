@@ -1,6 +1,6 @@
 """Best-fit packing of documents into fixed-size training sequences, with conflicts.
 
-Rows are dealt by a hash into groups of bounded size, and each group is packed on its own, longest first. Open bins stand
+Pieces are dealt by a hash of their row into groups of bounded size, and each group is packed on its own, longest first. Open bins stand
 in the order of their residual space; the search starts at the first that the piece fits in and goes on to successors
 until one has no conflict, so the tightest compatible bin takes it. A bin carries bitmaps: which duplicate clusters it
 holds (a second member never joins) and, plane by plane, which sources it holds once, twice and so on.
@@ -12,7 +12,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import common
@@ -54,33 +54,43 @@ def _codes(values: pa.ChunkedArray) -> list[int]:
     return values.combine_chunks().dictionary_encode("encode").indices.to_pylist() if len(values) else []
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = False, cluster: Column | None = None, clusters: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, source, piece, start_word, n_words, bin_id, position) for every row of docs, in pieces.
 
     A text of more than ``capacity`` words is cut: its full pieces are bins of their own, and the rest is packed. In a bin
-    are at most ``per_source`` pieces of one source (null is one) and one of each distinct text. position orders a bin's
-    pieces from 0. A null or empty text is one piece of no words, in no bin. Repeated rows are packed each, in different
-    bins. ``with_text`` adds the words of the piece. Other columns are ignored; an empty table gives no rows.
+    are at most ``per_source`` pieces of one source (null is one) and one of each duplicate cluster. A row's cluster is that
+    of its doc_id in ``clusters`` (doc_id, component_id: what near-duplicate detection returns), else the value of the
+    column ``cluster``, else a hash of its text. position orders a bin's pieces from 0. A null or empty text is one piece of
+    no words, in no bin. Repeated rows are packed each, in different bins. ``with_text`` adds the words of the piece. Other
+    columns are ignored; an empty table gives no rows. Groups have about GROUP_ROWS pieces, whatever ids, texts or clusters
+    repeat; which rows meet in one follows from the order of the input.
     """
-    words = common.words("text")
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("cluster"), *([words.alias("words")] if with_text else []),
+        (F.xxhash64("text") if cluster is None else cluster.cast("long")).alias("cluster"), F.monotonically_increasing_id().alias("_row"),
+        *([F.col("text").cast("string").alias("text")] if with_text else []),
     )
-    base = base if with_text else common.stage(base)
-    n_groups = max(1, docs.count() // GROUP_ROWS)
-    last = F.when(F.col("size") > 0, F.ceil(F.col("size") / capacity) - 1).otherwise(F.lit(0))
-    pieces = base.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    base = common.stage(base)  # row numbers are fixed from here on
+    number = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("long")
+    n_groups = max(1, (base.agg(F.sum(number)).first()[0] or 0) // GROUP_ROWS)
+    if clusters is not None:
+        # rows of one doc_id count as one cluster here; its components are hashed apart from other clusters' values
+        known = clusters.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_known"))
+        base = base.join(known.hint("merge"), "doc_id", "left").withColumn("cluster", F.coalesce(F.xxhash64("_known", F.lit(1)), "cluster")).drop("_known")
+    if with_text:  # split once a row, before it becomes pieces
+        base = base.withColumn("words", common.words("text")).drop("text")
+    pieces = base.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)))
     pieces = pieces.withColumn("start_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("size") - F.col("start_word")))
     if with_text:
         part = F.slice("words", (F.col("start_word") + 1).cast("int"), F.greatest(F.col("n_words"), F.lit(0)).cast("int"))
         pieces = pieces.withColumn("text", F.array_join(part, " ")).drop("words")
-    dealt = F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(n_groups))
-    pieces = pieces.withColumn("group", dealt).drop("size")
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("_row", "piece"), F.lit(n_groups))).drop("size")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
+        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("_row", "ascending")])
         n = np.asarray(table.column("n_words"))
         some = int((n > 0).sum())
         clusters = np.array(_codes(table.column("cluster").slice(0, some)), np.int64)
@@ -96,9 +106,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOUR
         base_id = table.column("group")[0].as_py() * _BINS if len(table) else 0
         none = [None] * (len(table) - some)
         ids = pa.array([base_id + b for b in bins] + none, pa.int64())
-        keep = table.drop_columns(["group", "cluster"])
+        keep = table.drop_columns(["group", "cluster", "_row"])
         return keep.append_column("bin_id", ids).append_column("position", pa.array(position + none, pa.int64()))
 
     names = "doc_id long, source string, piece long, start_word long, n_words long" + (", text string" if with_text else "")
-    ordered = pieces.select("doc_id", "source", "piece", "start_word", "n_words", *(["text"] if with_text else []), "cluster", "group")
+    ordered = pieces.select("doc_id", "source", "piece", "start_word", "n_words", *(["text"] if with_text else []), "cluster", "_row", "group")
     return ordered.groupBy("group").applyInArrow(run, f"{names}, bin_id long, position long")

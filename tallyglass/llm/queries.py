@@ -30,7 +30,8 @@ def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), capacity=2048, per_source=3)
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed(docs, capacity=2048, per_source=3, clusters=minhash.near_duplicates(docs, percent=80, width=5, permutations=48))
 
 
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

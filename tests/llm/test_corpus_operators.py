@@ -258,6 +258,41 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack_group([5, 5, 5], [0, 1, 2], [0, 0, -1], 10, 3) == [0, 1, 0]
 
 
+def test_best_fit_against_every_bin():
+    rng = random.Random(11)
+    for _ in range(60):
+        n, capacity, per_source = rng.randint(1, 60), rng.randint(5, 40), rng.randint(1, 3)
+        sizes = [rng.randint(1, capacity) for _ in range(n)]
+        sources, clusters = [rng.randint(0, 4) for _ in range(n)], [rng.choice((-1, 0, 1, 2)) for _ in range(n)]
+        bins, chosen = [], []
+        for size, source, cluster in zip(sizes, sources, clusters):
+            fits = [
+                (capacity - sum(x[0] for x in b), i) for i, b in enumerate(bins)
+                if capacity - sum(x[0] for x in b) >= size and sum(x[1] == source for x in b) < per_source and (cluster < 0 or all(x[2] != cluster for x in b))
+            ]
+            i = min(fits)[1] if fits else len(bins)
+            bins.extend([[]] if i == len(bins) else [])
+            bins[i].append((size, source, cluster))
+            chosen.append(i)
+        assert packing.pack_group(sizes, sources, clusters, capacity, per_source) == chosen
+
+
+def test_packing_keeps_clusters_and_repeated_rows_apart(spark):
+    some = [(7, "a b c", "s", 1)] * 30 + [(None, "a b c", "s", 1)] * 30 + [(i, f"w{i} x", f"s{i}", 2) for i in range(100, 140)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, source string, piece int")
+    clusters = spark.createDataFrame([(7, 7)] + [(i, 100 + i % 2) for i in range(100, 140)], "doc_id long, component_id long")
+    got = packing.packed(docs, capacity=50, per_source=2, clusters=clusters).collect()
+    assert len(got) == 100 and all(r["bin_id"] is not None for r in got)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["bin_id"]].append(r)
+    for b in bins.values():
+        ids = [r["doc_id"] for r in b]
+        assert ids.count(7) <= 1 and ids.count(None) <= 1 and all(sum(i is not None and i >= 100 and i % 2 == k for i in ids) <= 1 for k in (0, 1))
+    by_column = packing.packed(docs, capacity=50, per_source=9, cluster=F.col("piece")).collect()
+    assert len({r["bin_id"] for r in by_column}) == 60
+
+
 def _near(text_rows, percent=85, width=5):
     sets = {}
     for i, t, *_ in text_rows:
