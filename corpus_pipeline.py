@@ -47,8 +47,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of texts with the training sequence that each is packed into."""
-    return packing.packed(docs, with_text=True)
+    """Pieces of texts with the training sequence that each is packed into; no sequence holds two of one document."""
+    return packing.packed(docs, with_text=True, cluster=F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
 
 
 STAGES = [
