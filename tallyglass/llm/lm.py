@@ -270,14 +270,14 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
         for batch in batches:
             for rows, of_word, of_gram in zip(batch.column(1), batch.column(2), batch.column(3)):
                 slices = _slices(rows, order)
-                grams_of = [s.distinct(False) for s in slices]
-                keys = np.unique(np.concatenate([k for k, *_ in grams_of]))
+                keys = np.unique(np.concatenate([np.unique(s.grams()[0]) for s in slices]))
                 logs = _flat(of_gram, "logs", np.float64, tokens.mix(keys), n_buckets)
                 words_, _ = _asked(slices, True)
                 kind = np.int64 if any(x["wide"] for x in of_word.as_py() or ()) else np.uint32
                 counts = _flat(of_word, "counts", kind, words_, n_buckets).astype(np.float64)
                 of_token = np.log10((counts + 1) / (n_train + n_kinds + 1))
-                for part, (own, _, at, borders) in zip(slices, grams_of):
+                for part in slices:
+                    own, _, at, borders = part.distinct(False)  # again rather than kept: a pack's places are four bytes a character
                     score_ = np.add.reduceat(logs[np.searchsorted(keys, own)][at], borders[:-1])
                     hashed, first = part.words()
                     at = np.searchsorted(words_, hashed)
