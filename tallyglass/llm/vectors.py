@@ -10,14 +10,18 @@ sample weighs the same, and where the sample has too few groups the exact bound
 cosine in double precision, and a link counts for both ends whichever query found it. Equal vectors are one node with a
 weight, so copies cost nothing.
 
-Queries and cells meet in blocks of bounded size: the members of a large cell are cut into blocks, and so are its queries.
-A block returns link counts and a spanning forest of its links, never the pairs.
+Queries and members meet in blocks of bounded size. A block holds members of one row of the grid (one codeword of the first
+half), and a query goes to each row once with the list of its cells there; rows with many members or queries are cut into
+several blocks. A block returns link counts and a spanning forest of its links, never the pairs.
+
+Vectors of several lengths share the codebooks: these see the first components, as many as the most frequent length has
+(zeros behind shorter ones), where distances are never larger, so the bounds hold. Lengths never meet in a block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +32,33 @@ from pyspark.sql import functions as F
 from tallyglass.llm import common, tokens
 
 #: Vectors that the codebooks are fitted on at most, which are the sample queries for the stopping bound, and rows of a block.
-FIT_VECTORS, MEMBERS, QUERIES = 8192, 2048, 4096
+FIT_VECTORS, MEMBERS, QUERIES = 8192, 4096, 4096
 #: Share of true links that the stopping bound must reach, the factor on it, and its least share of the exact bound.
-TARGET, MARGIN, LEAST = 0.9995, 1.5, 0.1
+TARGET, MARGIN, LEAST = 0.9995, 1.5, 0.03
+#: Vectors of a cell that the size of the codebooks aims at, and codewords of a half at least and at most.
+PER_CELL, CODEWORDS = 50, (4, 512)
 #: Groups of linked sample queries below which nothing is concluded from them.
 ENOUGH = 128
 _BINS = 400
 
 
-def _units(column: pa.Array) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
-    for x in column:
-        values = x.values
-        if values is None or not len(values) or values.null_count:
-            out.append(None)
-            continue
-        v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        top = np.abs(v).max()
-        if not np.isfinite(top) or top == 0:
-            out.append(None)
-            continue
-        v = v / top
-        out.append(v / np.sqrt(v @ v))
+def _units(column: pa.Array) -> list[bytes | None]:
+    """Each vector at length 1 as bytes; nothing for one that is null, empty or zero or has a part that isn't finite."""
+    sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    values = column.flatten().cast(pa.float64())
+    values = np.array(values.fill_null(float("nan")), np.float64)
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(sizes)
+    out: list[bytes | None] = [None] * len(sizes)
+    if len(some):
+        starts = (ends - sizes)[some]
+        top = np.maximum.reduceat(np.abs(values), starts)
+        good = np.isfinite(top) & (top > 0)
+        with np.errstate(all="ignore"):
+            values = values / np.repeat(top, sizes[some])
+            values = values / np.repeat(np.sqrt(np.add.reduceat(values * values, starts)), sizes[some])
+        for i, start, ok in zip(some.tolist(), starts.tolist(), good.tolist()):
+            out[i] = values[start : start + sizes[i]].tobytes() if ok else None
     return out
 
 
@@ -99,7 +108,7 @@ class _Index:
         return a * self.width + b, left, right
 
     def visits(self, x: np.ndarray, stop: float, full: np.ndarray) -> list[np.ndarray]:
-        """For each query the cells of a multi-sequence search up to the stopping bound that hold vectors."""
+        """For each query the cells of a multi-sequence search up to the stopping bound that are full, sorted."""
         _, left, right = self.look(x)
         out = []
         for a, b in zip(left, right):
@@ -107,7 +116,7 @@ class _Index:
             reach = np.searchsorted(b[columns], stop - a[rows], "right")
             n = int(np.searchsorted(a[rows], stop, "right"))
             cells = np.concatenate([rows[i] * self.width + columns[: reach[i]] for i in range(n)])
-            out.append(cells[full[cells]])
+            out.append(np.sort(cells[full[cells]]))
         return out
 
 
@@ -116,47 +125,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.view(np.float64).reshape(len(column), -1)
 
 
-def _share(probes: np.ndarray, seen: np.ndarray, threshold: float) -> float:
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length its rows' places and vectors."""
+    sizes = np.asarray(pc.binary_length(column)) // 8
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield int(size), at, _matrix(column.take(pa.array(at)))
+
+
+def _view(column: pa.Array, dims: int) -> np.ndarray:
+    """The first components of each vector, zeros behind shorter ones."""
+    out = np.zeros((len(column), dims))
+    for size, at, x in _by_length(column):
+        out[at, : min(size, dims)] = x[:, :dims]
+    return out
+
+
+def _share(met: np.ndarray, seen: np.ndarray) -> float:
     """The stopping bound as a share of the exact one; seen has each probe's links with others by how far off they lie.
 
     A probe's links weigh one together, divided by the linked probes that it meets, so a group of many weighs as one of two.
     """
     linked = seen.sum(1) > 0
-    own = probes[linked]
-    met = np.concatenate([(own[at : at + 512] @ own.T >= threshold).sum(1) for at in range(0, len(own), 512)] or [np.zeros(0)])
-    weight = 1 / np.maximum(met, 1)
+    weight = 1 / np.maximum(met[linked], 1)
     if weight.sum() < ENOUGH:
         return 1.0
     found = np.cumsum(weight @ (seen[linked] / seen[linked].sum(1)[:, None])) / weight.sum()
     return float(min(1.0, max(LEAST, MARGIN * (int(np.searchsorted(found, TARGET)) + 1) / _BINS)))
 
 
+def _pairs_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of each entry of a list column."""
+    return np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), lists.flatten().to_numpy().astype(np.int64)
+
+
 def _met(queries: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
     """Counts and a spanning forest of the links between the queries and the members of one block.
 
-    A link counts for the query, and for the member too unless the member's own query visits the cell of the first.
+    A query meets the members in the cells that it visits. A link counts for the query, and for the member too unless the
+    member's own query visits the cell of the first.
     """
     q, m = (np.asarray(t.column("rep")) for t in (queries, members))
     x, y = (_matrix(t.column("unit").combine_chunks()) for t in (queries, members))
     sizes, asking = np.asarray(members.column("size")), np.asarray(queries.column("size"))
-    homes, home = np.unique(np.asarray(queries.column("home")), return_inverse=True)
-    lists = members.column("cells").combine_chunks()
-    visited, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(m)), lists.value_lengths().to_numpy())
-    at = np.minimum(np.searchsorted(homes, visited), max(0, len(homes) - 1))
-    known = np.isin(visited, homes)
-    returns = np.zeros((len(homes), len(m)), bool)
-    returns[at[known], of[known]] = True
+    home, own = np.asarray(queries.column("home")).astype(np.int64), np.asarray(members.column("home")).astype(np.int64)
+    span = int(max(home.max(initial=0), own.max(initial=0))) + 1
+    row, cell = _pairs_of(members.column("cells").combine_chunks())
+    known = cell < span  # cells of the members' own queries, as one sorted number each with the member
+    returns = row[known] * span + cell[known]
+    row, cell = _pairs_of(queries.column("cells").combine_chunks())
+    order = np.argsort(cell, kind="stable")
+    row, cell = row[order], cell[order]
+    by_home = np.argsort(own, kind="stable")
     counts, back, label_q, label_m = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64), q.copy(), m.copy()
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(q), 512):
-        hit = x[at : at + 512] @ y.T >= threshold
-        hit &= q[at : at + 512, None] != m[None]
-        i, j = np.nonzero(hit)
-        counts[at : at + 512] = hit @ sizes
-        alone = ~returns[home[i + at], j]
-        np.add.at(back, j[alone], asking[i[alone] + at])
-        pairs.append((i + at, j))
-    i, j = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
+    cells, first = np.unique(own[by_home], return_index=True)
+    for c, here in zip(cells.tolist(), np.split(by_home, first[1:])):
+        asks = row[np.searchsorted(cell, c) : np.searchsorted(cell, c, "right")]
+        for at in range(0, len(asks), 512):
+            part = asks[at : at + 512]
+            hit = x[part] @ y[here].T >= threshold
+            hit &= q[part, None] != m[here][None]
+            i, j = np.nonzero(hit)
+            i, j = part[i], here[j]
+            counts[part] += hit @ sizes[here]
+            sought = j * span + home[i]
+            found = np.minimum(np.searchsorted(returns, sought), max(0, len(returns) - 1))
+            alone = returns[found] != sought if len(returns) else np.ones(len(i), bool)
+            np.add.at(back, j[alone], asking[i[alone]])
+            pairs.append((i.astype(np.int32), j.astype(np.int32)))
+    i, j = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, np.int32),) * 2
     while len(i):  # least labels spread over the links until they stand; then every node points to its component's
         before = label_q.sum() + label_m.sum()
         np.minimum.at(label_m, j, label_q[i])
@@ -176,13 +214,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Vectors with a cosine of at least ``threshold`` are linked; a component is everything reachable and named by its
     smallest vec_id, whose row is kept. A vector that is null, empty or zero, or holds a null or a component that isn't
-    finite, links with nothing and is kept. Vectors of different lengths are not compared. Repeated rows are vectors of
-    their own, also under one vec_id. Other columns are ignored; an empty table gives no rows.
+    finite, or whose vec_id is null, links with nothing and is kept. Vectors of different lengths are not compared, however
+    many lengths there are. Repeated rows are vectors of their own, also under one vec_id. Other columns are ignored; an
+    empty table gives no rows.
     """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [None if u is None else u.tobytes() for u in _units(batch.column(1))]
+            units = _units(batch.column(1))
             keys = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens.blobs(keys), tokens.blobs(units)], names=["vec_id", "key", "unit"])
 
@@ -191,47 +230,56 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     classes = common.stage(
         rows.filter("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("unit").alias("unit"))
     )
-    widths = [r[0] for r in classes.select(F.octet_length("unit").alias("w")).distinct().sort("w").limit(64).collect()]
-    found = None
-    for width in widths:
-        part = _links(classes.filter(F.octet_length("unit") == width), width, threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = common.stage(found)
+    found = common.stage(_links(classes, threshold))
     labels = common.components(found.filter("rep <> other"), "rep", "other")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = (
         classes.select("key", "rep", "size").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     )
-    out = rows.select("vec_id", "key").join(named, "key", "left").withColumn("component_id", F.coalesce("component", "vec_id"))
+    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left").withColumn("component_id", F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(rep, other, n): link counts of vectors of one width, and edges that span their components."""
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("unit", "rep").collect()
-    sample, names = np.array([np.frombuffer(r[0], np.float64) for r in chosen]), np.array([r[1] for r in chosen], np.int64)
+def _counted(rows: DataFrame, per_row: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], int]:
+    """How often each pair of numbers stands in the rows; counted within batches before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = per_row(batch)
+            (a, b), n = np.unique(np.stack([a, b]).astype(np.int64), axis=1, return_counts=True) if len(a) else ((a, b), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, n)], names=["a", "b", "n"])
+
+    return {(r["a"], r["b"]): r["n"] for r in rows.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+
+
+def _links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(rep, other, n): link counts of distinct vectors, and edges that span their components.
+
+    What reaches the driver is the sample, counts by length and cell, and counts by length and row of the grid.
+    """
+    lengths = classes.groupBy(F.octet_length("unit").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    dims = max(2, lengths[0]["w"] // 8) if lengths else 2
     total = classes.count()
-    dims = width // 8
-    if dims < 2:
-        sample = np.hstack([sample, np.zeros_like(sample)])
-    pad = sample.shape[1] - dims
-    index = _Index(sample, int(np.clip(np.sqrt(total / 50), 4, 256)))
-    widen = lambda x: np.hstack([x, np.zeros((len(x), pad))]) if pad else x
+    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("unit", "rep").collect()
+    raw, names = pa.array([bytes(r[0]) for r in chosen], pa.binary()), np.array([r[1] for r in chosen], np.int64)
+    sample, probes = _view(raw, dims), {size: (at, x) for size, at, x in _by_length(raw)}
+    index = _Index(sample if len(sample) else np.zeros((1, dims)), int(np.clip(np.sqrt(total / PER_CELL), *CODEWORDS)))
+    cells = len(index.books[0]) * index.width
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, _, _ = index.look(widen(_matrix(batch.column(2))))
+                cell, _, _ = index.look(_view(batch.column(2), dims))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["rep", "size", "unit", "cell"])
 
     placed = common.stage(classes.select("rep", "size", "unit").mapInArrow(assign, "rep long, size long, unit binary, cell int"))
-    cells = len(index.books[0]) * index.width
-    held = np.zeros(cells, np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        held[r["cell"]] = r["count"]
+    held = _counted(placed.select("unit", "cell"), lambda batch: (np.asarray(pc.binary_length(batch.column(0))), np.asarray(batch.column(1))))
+    of_row: dict[tuple[int, int], int] = {}
+    full: dict[int, np.ndarray] = {}
+    for (size, cell), n in held.items():
+        of_row[size, cell // index.width] = of_row.get((size, cell // index.width), 0) + n
+        full.setdefault(size, np.zeros(cells, bool))[cell] = True
 
     exact = 2 - 2 * threshold
 
@@ -239,75 +287,88 @@ def _links(classes: DataFrame, width: int, threshold: float) -> DataFrame:
         seen = np.zeros(len(sample) * _BINS, np.int64)
         _, left, right = index.look(sample)
         for batch in batches:
-            rep, cell, units = batch.column(0).to_numpy(), batch.column(2).to_numpy(), widen(_matrix(batch.column(1))) if batch.num_rows else None
-            for at in range(0, len(sample) if batch.num_rows else 0, 512):
-                i, j = np.nonzero(sample[at : at + 512] @ units.T >= threshold)
-                others = names[i + at] != rep[j]
-                i, j = i[others] + at, j[others]
-                passed = left[i, cell[j] // index.width] + right[i, cell[j] % index.width]
-                np.add.at(seen, i * _BINS + np.minimum((passed / exact * _BINS).astype(int), _BINS - 1), 1)
+            rep, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for size, of, units in _by_length(batch.column(1)):
+                asking, x = probes.get(size, (np.zeros(0, int), np.zeros((0, size))))
+                for at in range(0, len(asking), 512):
+                    i, j = np.nonzero(x[at : at + 512] @ units.T >= threshold)
+                    i, j = asking[i + at], of[j]
+                    others = names[i] != rep[j]
+                    i, j = i[others], j[others]
+                    passed = left[i, cell[j] // index.width] + right[i, cell[j] % index.width]
+                    np.add.at(seen, i * _BINS + np.minimum((passed / exact * _BINS).astype(int), _BINS - 1), 1)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bin", "n"])
 
     seen = np.zeros(len(sample) * _BINS, np.int64)
     for r in placed.select("rep", "unit", "cell").mapInArrow(bound, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         seen[r["bin"]] = r["n"]
-    stop = exact * _share(sample, seen.reshape(-1, _BINS), threshold) * (1 + 1e-9)
-    full = held > 0
+    seen = seen.reshape(-1, _BINS)
+    met = np.ones(len(sample))
+    for at, x in probes.values():
+        linked = seen[at].sum(1) > 0
+        own = x[linked]
+        met[at[linked]] = np.concatenate([(own[k : k + 512] @ own.T >= threshold).sum(1) for k in range(0, len(own), 512)] or [np.zeros(0)])
+    stop = exact * _share(met, seen) * (1 + 1e-9)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                found = index.visits(widen(_matrix(piece.column(2))), stop, full)
+                found: list[np.ndarray] = [np.zeros(0, np.int64)] * piece.num_rows
+                for size, of, _ in _by_length(piece.column(2)):
+                    for i, seen_ in zip(of.tolist(), index.visits(_view(piece.column(2).take(pa.array(of)), dims), stop, full[8 * size])):
+                        found[i] = seen_
                 borders = np.concatenate([[0], np.cumsum([len(c) for c in found])])
-                cells = tokens.ragged(np.concatenate(found).astype(np.int32), borders, pa.int32())
-                yield pa.RecordBatch.from_arrays([*piece.columns, cells], names=["rep", "size", "unit", "cell", "cells"])
+                lists = tokens.ragged(np.concatenate(found).astype(np.int32), borders, pa.int32())
+                yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=["rep", "size", "unit", "cell", "cells"])
 
     queries = common.stage(placed.mapInArrow(visit, "rep long, size long, unit binary, cell int, cells array<int>"))
-    asked = np.zeros(cells, np.int64)
-    for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
-        asked[r["cell"]] = r["count"]
-    # each cell's members and queries in so many blocks; a block of members meets every block of queries
-    of_members, of_queries = -(-held // MEMBERS), -(-asked // QUERIES)
-    spread = lambda rep, n: (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
 
-    def deal(role: int, rep: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, cells and both blocks for everything that meets something."""
-        other = (of_queries if role else of_members)[cell]
-        own = spread(rep, np.maximum((of_members if role else of_queries)[cell], 1))
-        row = np.repeat(np.arange(len(rep)), other)
-        each = np.arange(len(row)) - np.repeat(np.cumsum(other) - other, other)
-        return row, cell[row], (own[row] if role else each), (each if role else own[row])
+    def rows_asked(units: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The query, the row of the grid and the first of its cells there, for each row that a query visits; cells are sorted."""
+        of, cell = _pairs_of(lists)
+        key = of * (len(index.books[0]) + 1) + cell // index.width
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return of[first], cell[first] // index.width, first
 
-    def dealt_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                row, cell, m, q = deal(1, piece.column(0).to_numpy(), piece.column(3).to_numpy().astype(np.int64))
-                yield _dealt(piece, row, piece.column(4).take(pa.array(row)), cell, m, q, True)
+    def asked_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        of, row, _ = rows_asked(batch.column(0), batch.column(1))
+        return np.asarray(pc.binary_length(batch.column(0)))[of], row
+
+    asked = _counted(queries.select("unit", "cells"), asked_of)
+    # each row's members and queries in so many blocks; a block of members meets every block of queries
+    blocks = {k: (-(-n // MEMBERS), -(-asked.get(k, 0) // QUERIES)) for k, n in of_row.items()}
+    spread = lambda rep, n: (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
 
-    def dealt_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batch: pa.RecordBatch, at: np.ndarray, row: np.ndarray, cells_: pa.Array, member: bool) -> pa.RecordBatch:
+        """A copy of what is at each place for each block of the other side."""
+        rep, sizes = batch.column(0).to_numpy()[at], np.asarray(pc.binary_length(batch.column(2)))[at]
+        counts = np.array([blocks[k] for k in zip(sizes.tolist(), row.tolist())], np.int64).reshape(-1, 2)
+        own = spread(rep, np.maximum(counts[:, 0 if member else 1], 1))
+        other = counts[:, 1 if member else 0]
+        copy = np.repeat(np.arange(len(at)), other)
+        each = np.arange(len(copy)) - np.repeat(np.cumsum(other) - other, other)
+        m, q = (own[copy], each) if member else (each, own[copy])
+        carried = [c.take(pa.array(at[copy])) for c in batch.columns[:4]]
+        columns = [*carried, cells_.take(pa.array(copy)), pa.array(sizes[copy].astype(np.int64)), pa.array(row[copy]), pa.array(m), pa.array(q), pa.array(np.full(len(copy), member))]
+        return pa.RecordBatch.from_arrays(columns, names=["rep", "size", "unit", "home", "cells", "bytes", "row", "m", "q", "member"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
-                lists = piece.column(4)
-                of_row = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
-                cell = lists.flatten().to_numpy().astype(np.int64)
-                row, cell, m, q = deal(0, piece.column(0).to_numpy()[of_row], cell)
-                row = of_row[row]
-                yield _dealt(piece, row, pa.nulls(len(row), pa.list_(pa.int32())), cell, m, q, False)
+                home = piece.column(3).to_numpy().astype(np.int64) // index.width
+                yield dealt(piece, np.arange(piece.num_rows), home, piece.column(4), True)
+                of, row, first = rows_asked(piece.column(2), piece.column(4))
+                values = piece.column(4).flatten().to_numpy()
+                yield dealt(piece, of, row, tokens.ragged(values, np.append(first, len(values)), pa.int32()), False)
 
-    schema = "rep long, size long, unit binary, home int, cells array<int>, cell long, m long, q long, member boolean"
-    meeting = queries.mapInArrow(dealt_members, schema).unionByName(queries.mapInArrow(dealt_queries, schema))
+    schema = "rep long, size long, unit binary, home int, cells array<int>, bytes long, row long, m long, q long, member boolean"
+    meeting = queries.mapInArrow(deal, schema)
 
     def meet(table: pa.Table) -> pa.Table:
         member = table.column("member")
         return _met(table.filter(pc.invert(member)), table.filter(member), threshold)
 
-    return meeting.groupBy("cell", "m", "q").applyInArrow(meet, "rep long, other long, n long")
-
-
-def _dealt(piece: pa.RecordBatch, row: np.ndarray, cells: pa.Array, cell: np.ndarray, m: np.ndarray, q: np.ndarray, member: bool) -> pa.RecordBatch:
-    columns = [*(piece.column(i).take(pa.array(row)) for i in range(4)), cells, pa.array(cell), pa.array(m), pa.array(q), pa.array(np.full(len(cell), member))]
-    return pa.RecordBatch.from_arrays(columns, names=["rep", "size", "unit", "home", "cells", "cell", "m", "q", "member"])
+    return meeting.groupBy("bytes", "row", "m", "q").applyInArrow(meet, "rep long, other long, n long")

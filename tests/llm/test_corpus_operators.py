@@ -419,6 +419,38 @@ def test_rare_links_are_all_found(spark):
     assert _link_counts(spark, x).tolist() == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
 
 
+def test_many_lengths_and_clashing_columns(spark):
+    """Pairs of almost parallel vectors of 70 lengths, with columns named like those that the operator adds."""
+    rng, data = np.random.default_rng(6), []
+    for w in range(1, 71):
+        v = rng.normal(size=w)
+        data += [(2 * w, v.tolist(), 1), (2 * w + 1, (v * 3 + 1e-3 * rng.normal(size=w)).tolist(), 1)]
+    data += [(i, rng.normal(size=33).tolist(), 1) for i in range(1000, 1100)] + [(None, [1.0] * 33, 1), (None, [1.0] * 33, 1)]
+    df = spark.createDataFrame([(*d, "x", 2, 3) for d in data], "vec_id long, embedding array<double>, size long, unit string, rep long, cell int")
+    got = vectors.near_vectors(df).collect()
+    assert len(got) == len(data) and all(r["n_links"] == 0 and r["kept"] for r in got if r["vec_id"] is None)
+    by_length = defaultdict(list)
+    for i, v, _ in data:
+        if i is not None:
+            by_length[len(v)].append((i, np.array(v)))
+    expected = {}
+    for members in by_length.values():
+        ids, x = [i for i, _ in members], np.array([v / np.linalg.norm(v) for _, v in members])
+        expected |= dict(zip(ids, ((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    assert {r["vec_id"]: r["n_links"] for r in got if r["vec_id"] is not None} == expected
+
+
+def test_recall_where_the_bound_is_measured(spark):
+    """More groups than the bound needs, some at the threshold itself: at least 0.9 of all links, and none that isn't one."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(600, 24))
+    noise = rng.uniform(0.02, 0.4, size=600)
+    x = np.vstack([c + n * rng.normal(size=(5, 24)) for c, n in zip(centers, noise)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got, true = _link_counts(spark, x), (x @ x.T >= 0.9).sum(1) - 1
+    assert (got <= true).all() and got.sum() >= 0.9 * true.sum()
+
+
 def test_links_count_for_both_ends(spark):
     # so many copies that the bound can be measured, and pairs that only one end's query may find
     x = _pairs_at(3000, 1200, 4, cosine=0.99)
