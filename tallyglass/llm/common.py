@@ -39,24 +39,31 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def offsets(df: DataFrame, keys: list[str], id_col: str, value: str | None, name: str, rows: int, group: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
+def offsets(df: DataFrame, keys: list[str], by: list[str], value: str | None, name: str, rows: int, group: int = 512) -> DataFrame:
     """Adds the column name: the sum of value over the rows before, in an order of its own within each combination of keys.
 
-    With no value, that is a number from 0 without gaps. Rows are dealt by a hash of their id into groups of about
-    ``group`` rows; each group adds up its own and starts from the sum of the groups before it. No window holds more than
-    one group, whatever the share of a key, and the table of sums has one row for a key and group. Rows of one id and value
-    follow the columns of ``ties``.
+    With no value, that is a number from 0 without gaps. Rows are dealt by a hash of the columns ``by``, which should tell
+    them apart, into groups of about ``group`` rows, and stand in their order there; each group adds up its own and starts
+    from the sum of the groups before it. These sums are added up the same way, 1,024 groups at a time, so no window holds
+    more than a group, 1,024 sums or a thousandth of them, whatever the share of a key. Rows equal in ``by`` and value are
+    interchangeable, so the result doesn't depend on how rows are partitioned.
     """
     n = max(1, rows // group)
     amount = F.col(value).cast("long") if value else F.lit(1).cast("long")
-    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(n))).withColumn("_v", amount)
+    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(n))).withColumn("_v", amount)
+    before = lambda over, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = lambda a, b, columns: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
     sums = dealt.groupBy(*keys, "_deal").agg(F.sum("_v").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_deal").orderBy(id_col, "_v", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    if n <= 1024:
+        starts = sums.withColumn("_from", before(keys, "_deal")).drop("_n")
+    else:
+        sums = sums.withColumn("_many", F.floor(F.col("_deal") / 1024))
+        large = sums.groupBy(*keys, "_many").agg(F.sum("_n").alias("_n")).withColumn("_first", before(keys, "_many")).drop("_n")
+        small = sums.withColumn("_from", before([*keys, "_many"], "_deal")).alias("s")
+        starts = small.join(large.alias("l"), same("s", "l", [*keys, "_many"])).select(*[f"s.{k}" for k in (*keys, "_deal")], (F.col("s._from") + F.col("l._first")).alias("_from"))
+    within = Window.partitionBy(*keys, "_deal").orderBy(*by, "_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("_at", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_deal")]
-    joined = ranked.alias("a").join(starts.alias("b"), on)
+    joined = ranked.alias("a").join(starts.alias("b"), same("a", "b", [*keys, "_deal"]))
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._at") + F.col("b._from")).alias(name))
 
 

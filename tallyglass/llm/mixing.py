@@ -1,8 +1,9 @@
 """Mixing sources to target weights with blocks, multinomial shard draws and index permutations.
 
 The words of a source form one stream, cut into blocks of fixed length. How many blocks of each source the mix takes follows
-from the targets; each output shard draws its counts of sources at random without putting back, so shards vary as multinomial
-draws do while the sums over all shards are exact. Slots of a source are numbered through the shards, and number k of a pass
+from the targets; output shards are halved again and again, and each half draws its counts of sources at random, binomially
+with the rest that is missing or too many drawn multinomially, so shards vary as draws without putting back do while the
+sums over all shards are exact, at every size. Slots of a source are numbered through the shards, and number k of a pass
 over the source reads block perm(k) of a pseudorandom permutation of the source's block numbers, a new one for each pass.
 Blocks are then joined with documents by index.
 """
@@ -66,11 +67,16 @@ def _permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def _split(counts: np.ndarray, share: int, whole: int, seed: list[int]) -> np.ndarray:
-    """How much of each count falls to the first ``share`` of ``whole`` equal places, drawn without putting back."""
-    if counts.sum() < 500_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, share, method="marginals")
-    part = counts * share // whole
-    part[np.argsort(-(counts * share % whole), kind="stable")[: share - part.sum()]] += 1
+    """How much of each count falls to the first ``share`` of ``whole`` equal places; its sum is ``share``.
+
+    Each source is drawn binomially. What the sum then lacks is drawn from what is left of the sources, what it has too much
+    from what they got; both are of the order of the sum's root. Variances are those of drawing without putting back.
+    """
+    random = np.random.default_rng(seed)
+    part = random.binomial(counts, share / whole) if whole else np.zeros_like(counts)
+    while missing := share - int(part.sum()):
+        room = counts - part if missing > 0 else part
+        part = part + int(np.sign(missing)) * np.minimum(room, random.multinomial(abs(missing), room / room.sum()))
     return part
 
 
@@ -121,13 +127,20 @@ def drawn_blocks(plan: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFra
 def _pieces(docs: DataFrame, weights: tuple[float, ...], repeats: int, block: int, seed: int, row: tuple[str, ...] = ()) -> DataFrame:
     """For every row its sizes and target, its place in the source's stream, and how often each of its pieces is taken.
 
-    Columns of ``row`` are kept; they tell rows of one doc_id and size apart.
+    Columns of ``row`` are kept; they tell rows of one doc_id and size apart. Without them, equal rows are placed as one and
+    then listed one by one, so however many there are, no group of rows is large.
     """
     # rows without a doc_id are dealt by their texts, or all of them would be one group
     place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place")
     sizes = common.stage(sized(docs, place, *row))
     plan = common.stage(targets(sizes, weights, repeats))
-    placed = common.offsets(sizes, ["source"], "place", "size", "start", sizes.count(), ties=row)
+    if row:
+        placed = common.offsets(sizes, ["source"], ["place", *row], "size", "start", sizes.count())
+    else:
+        same = common.stage(sizes.groupBy(*sizes.columns).agg(F.count("*").alias("_n")).withColumn("_all", F.col("_n") * F.col("size")))
+        placed = common.offsets(same, ["source"], ["place", "doc_id", "size"], "_all", "start", same.count())
+        again = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+        placed = placed.withColumn("_k", again).withColumn("start", F.col("start") + F.col("_k") * F.col("size")).drop("_n", "_all", "_k")
     known = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.rank", "p.source_size", "p.target")
     end = F.col("start") + F.col("size")
     covers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
@@ -157,21 +170,24 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
 
 def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """The mix as rows like those of docs: a text as often as all its blocks are taken, and once the words of blocks taken
-    once more, joined by one space. A row of which nothing is taken goes; n_chars, if there, follows the text. Rows with no
-    doc_id or a repeated one are mixed each."""
-    numbered = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    pieces = _pieces(numbered, weights, repeats, block, seed, ("_row",)).filter("size > 0")
+    once more, joined by one space.
+
+    A row of which nothing is taken goes, and so do null and empty texts; n_chars, if there, follows the text, other columns
+    are carried. Rows with no doc_id or a repeated one are mixed each. An empty table gives no rows.
+    """
+    numbered = common.stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    pieces = _pieces(numbered, weights, repeats, block, seed, ("_mix_row",)).filter("size > 0")
     lists = (
-        pieces.groupBy("_row").agg(F.min("uses").alias("whole"), F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("parts"))
-        .filter("whole > 0 or exists(parts, p -> p.uses > 0)")
+        pieces.groupBy("_mix_row").agg(F.min("uses").alias("_mix_whole"), F.array_sort(F.collect_list(F.struct("low", "high", "uses"))).alias("_mix_parts"))
+        .filter("_mix_whole > 0 or exists(_mix_parts, p -> p.uses > 0)")
     )
-    joined = numbered.join(lists, "_row")
-    some = F.filter("parts", lambda p: p["uses"] > F.col("whole"))
+    joined = numbered.join(lists, "_mix_row")
+    some = F.filter("_mix_parts", lambda p: p["uses"] > F.col("_mix_whole"))
     # the words are bound once a row; a column of them would be split again for every part
     parts = lambda w: F.flatten(F.transform(some, lambda p: F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int"))))
     cut = F.array_join(F.get(F.transform(F.array(common.words("text")), parts), F.lit(0)), " ")
     again = F.when(F.size(some) > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.transform(again, lambda _: F.col("_cut")))
-    out = joined.withColumn("_cut", F.when(F.size(some) > 0, cut)).withColumn("_text", F.explode(texts))
-    columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("_mix_whole").cast("int")), F.transform(again, lambda _: F.col("_mix_cut")))
+    out = joined.withColumn("_mix_cut", F.when(F.size(some) > 0, cut)).withColumn("_mix_text", F.explode(texts))
+    columns = {"text": F.col("_mix_text"), "n_chars": F.length("_mix_text").cast("long")}
     return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

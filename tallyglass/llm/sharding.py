@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation.
 
-Documents are a graph: equal texts are neighbours, through one node for each text rather than all pairs. Rows start in
-shards of equal counts. In each round every linked row wants the open shard that most of its neighbours are in; rows that
-want to go from one shard to another are exchanged for rows that want the opposite way, and, where these run out, for rows
-without neighbours. So counts stay exact while the cut shrinks. Rows of one wish are numbered without gaps, and a number
-below the quota goes; the quotas come from counts by pair of shards. A group larger than what can be exchanged stays split,
-with as much of it together as fits.
+Documents are a graph: equal texts are neighbours, through one node for each text rather than all pairs. Rows start with
+labels of equal counts. All rows of a group hear the same votes, the labels of the others, so a group moves as one: in each
+round every group that has no shard yet asks for the one with most of its members among those with room for it, and groups
+are accepted up to the shard's quota of rows. Rounds go on until no group fits; what is left, and the rows without
+neighbours, fill the quotas. So counts differ by one at most and almost all groups stay whole.
+
+Groups of more than a thousandth of all rows, of which there are fewer than a thousand, are placed first, largest first; one
+that is larger than any room fills the emptiest shards one after the other.
 """
 
 from __future__ import annotations
@@ -15,85 +17,104 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm import common
 
+#: A group is heavy from this share of all rows on.
+HEAVY = 1000
+
+
+def _heavy_plan(groups: list[tuple[str, int, list[int]]], room: list[int]) -> dict[str, list[tuple[int, int]]]:
+    """(shard, rows) for each heavy group, one pair if it stays whole; room is used up."""
+    plan: dict[str, list[tuple[int, int]]] = {}
+    for link, copies, votes in sorted(groups, key=lambda g: (-g[1], g[0])):
+        fits = [s for s in range(len(room)) if room[s] >= copies]
+        order = [max(fits, key=lambda s: (votes[s], room[s], -s))] if fits else sorted(range(len(room)), key=lambda s: (-room[s], s))
+        left, parts = copies, []
+        for s in order:
+            if take := min(left, room[s]):
+                parts.append((s, take))
+                room[s] -= take
+                left -= take
+        plan[link] = parts
+    return plan
+
+
+def _by_ranges(number: Column, parts: list[tuple[int, int]]) -> Column:
+    """The shard of a number, where each shard takes so many numbers in turn."""
+    out, end = F.lit(None).cast("long"), sum(n for _, n in parts)
+    for shard, n in reversed(parts):
+        out = F.when(number < end, F.lit(shard).cast("long")).otherwise(out)
+        end -= n
+    return F.when(number >= end, out)
 
-def _quotas(wishes: dict[tuple[int, int], int], free: dict[int, int], n: int) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
-    """How many rows go for each wish, and how many free rows go back for them."""
-    goes, back = {}, {}
-    for a in range(n):
-        for b in range(n):
-            if a != b and (want := wishes.get((a, b), 0)):
-                goes[a, b] = min(want, wishes.get((b, a), 0))
-    left = dict(free)
-    for (a, b), want in sorted(wishes.items()):
-        more = min(want - goes.get((a, b), 0), left.get(b, 0))
-        if a != b and more > 0:
-            goes[a, b] = goes.get((a, b), 0) + more
-            back[b, a] = more
-            left[b] -= more
-    return goes, back
 
+def _asked(room: list[int]) -> Column:
+    """The shard with most votes among those with room for the group; ties go by a hash, so that groups spread."""
+    options = F.array(*[F.when(F.col("copies") <= r, F.struct(F.col("votes")[s].alias("votes"), F.xxhash64("link", F.lit(s)).alias("tie"), F.lit(s).cast("long").alias("shard"))) for s, r in enumerate(room)])
+    return F.array_max(F.filter(options, lambda o: o.isNotNull()))["shard"]
 
-def _lookup(table: dict[tuple[int, int], int], a: Column, b: Column, n: int) -> Column:
-    values = F.array(*[F.lit(table.get((i, j), 0)) for i in range(n) for j in range(n)])
-    return F.element_at(values, (a * n + b + 1).cast("int"))
+
+def _placed(light: DataFrame, room: list[int]) -> DataFrame:
+    """(link, shard) for every group that a quota accepts; room is used up."""
+    spark, done, pending = light.sparkSession, [], light
+    while True:
+        asking = common.stage(pending.withColumn("shard", _asked(room)).filter("shard is not null"))
+        n = asking.count()
+        if not n:
+            break
+        quota = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), (F.col("shard") + 1).cast("int"))
+        numbered = common.offsets(asking, ["shard"], ["link"], "copies", "_before", n)
+        judged = common.stage(numbered.withColumn("_in", F.col("_before") + F.col("copies") <= quota).drop("_before"))
+        for r in judged.filter("_in").groupBy("shard").agg(F.sum("copies").alias("n")).collect():
+            room[r["shard"]] -= r["n"]
+        done.append(judged.filter("_in").select("link", "shard"))
+        pending = judged.filter(~F.col("_in")).drop("_in", "shard")
+    out = spark.createDataFrame([], "link string, shard long")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
-def sharded(docs: DataFrame, n_shards: int = 8, rounds: int = 4) -> DataFrame:
+def sharded(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs (doc_id, text), under the law 'rows'.
 
     Shards hold numbers of rows at most one apart; slot counts a shard's rows from 0 without gaps; grown_shard is null, as
-    the law has no use for it. size is the text's UTF-8 bytes plus 1. Groups are equal texts; a null text is in one group
-    with the empty one. Repeated rows and rows with null ids are rows of their own. Other columns are ignored; an empty
-    table gives no rows.
+    the law has no use for it. size is the text's UTF-8 bytes plus 1. Groups are equal texts; a null text has the bytes of
+    the empty one and is in one group with it. Repeated rows and rows with null ids are rows of their own; however they are
+    partitioned, reruns agree. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("text_key"),
+        F.md5(text.cast("binary")).alias("link"),
     )
-    base = common.stage(base)
-    total = base.count()
-    groups = base.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    numbered = common.offsets(base, [], "doc_id", None, "at", total)
-    rows = (
-        numbered.join(groups, "text_key", "left")
-        .select("doc_id", "size", "text_crc32", F.when(F.col("copies") > 1, F.col("text_key")).alias("link"), "at", (F.col("at") % n_shards).alias("shard"))
-    )
-    rows = common.stage(rows)
-    closed: set[int] = set()
-    for _ in range(rounds):
-        linked, free = rows.filter("link is not null"), rows.filter("link is null")
-        by_shard = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        # most neighbours first; a full shard can't take more. Ties go by a hash, so that groups spread over the shards
-        rank = lambda: F.struct(F.col("n"), F.xxhash64("link", "shard"), F.col("shard"))
-        open_ = ~F.col("shard").isin(sorted(closed)) if closed else F.lit(True)
-        best = by_shard.groupBy("link").agg(F.max(F.when(open_, rank()))["shard"].alias("best"))
-        wishing = linked.join(best, "link").withColumn("to", F.when(~open_ | F.col("best").isNull(), F.col("shard")).otherwise(F.col("best")))
-        wishing = common.stage(wishing.drop("best"))
-        counted = {(r[0], r[1]): r[2] for r in wishing.filter("to <> shard").groupBy("shard", "to").count().collect()}
-        if not counted:
-            break
-        goes, back = _quotas(counted, {r[0]: r[1] for r in free.groupBy("shard").count().collect()}, n_shards)
-        moving = sum(goes.values())
-        movers = common.offsets(wishing.filter("to <> shard"), ["shard", "to"], "doc_id", None, "_k", sum(counted.values()))
-        moved = movers.withColumn("shard", F.when(F.col("_k") < _lookup(goes, F.col("shard"), F.col("to"), n_shards), F.col("to")).otherwise(F.col("shard")))
-        stay = wishing.filter("to = shard")
-        if back:
-            # free rows of a shard in the order of their numbers: first those for shard 0, then for 1 and so on
-            ends, run = {}, {}
-            for (b, a), n in sorted(back.items()):
-                run[b] = run.get(b, 0) + n
-                ends[b, a] = run[b]
-            swapped = common.offsets(free, ["shard"], "doc_id", None, "_k", total)
-            target = F.col("shard")
-            for (b, a), end in sorted(ends.items(), reverse=True):
-                target = F.when((F.col("shard") == b) & (F.col("_k") < end), F.lit(a).cast("long")).otherwise(target)
-            free = swapped.withColumn("shard", target)
-        names = ["doc_id", "size", "text_crc32", "link", "at", "shard"]
-        rows = common.stage(moved.select(names).unionByName(stay.select(names)).unionByName(free.select(names)))
-        remaining = {r[0]: r[1] for r in rows.filter("link is null").groupBy("shard").count().collect()}
-        closed = {s for s in range(n_shards) if not remaining.get(s)}
-        if not moving and len(closed) in (0, n_shards):
-            break
-    out = common.offsets(rows, ["shard"], "doc_id", None, "slot", total)
+    # equal rows are numbered as one and then listed one by one
+    same = common.stage(base.groupBy(*base.columns).agg(F.count("*").alias("_n")))
+    n_same, total = same.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    numbered = common.offsets(same, [], ["link", "doc_id"], "_n", "_at", n_same)
+    rows = common.stage(numbered.withColumn("at", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1))).drop("_at", "_n"))
+    votes = F.array(*[F.count(F.when(F.col("at") % n_shards == s, 1)) for s in range(n_shards)])
+    groups = common.stage(rows.groupBy("link").agg(F.count("*").alias("copies"), votes.alias("votes")).filter("copies > 1"))
+    room = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    heavy = F.col("copies") > max(1, total // HEAVY)  # fewer than HEAVY groups of that size add up to all rows
+    plan = _heavy_plan([(r["link"], r["copies"], r["votes"]) for r in groups.filter(heavy).collect()], room)
+    placed = common.stage(_placed(groups.filter(~heavy), room))
+
+    whole = [(link, parts[0][0]) for link, parts in plan.items() if len(parts) == 1]
+    torn = {link: parts for link, parts in plan.items() if len(parts) != 1}
+    spark = docs.sparkSession
+    table = F.broadcast(spark.createDataFrame(whole, "link string, _whole long"))
+    first = rows.join(table, "link", "left").withColumn("_torn", F.col("link").isin(list(torn)) if torn else F.lit(False))
+    light = first.filter("_whole is null and not _torn").drop("_whole", "_torn").join(placed.hint("merge"), "link", "left")
+    names = ["doc_id", "size", "text_crc32", "at", "shard"]
+    parts = [first.filter("_whole is not null").withColumnRenamed("_whole", "shard").select(names), light.filter("shard is not null").select(names)]
+    if torn:
+        k = common.offsets(first.filter("_torn"), ["link"], ["at"], None, "_k", total)
+        shard = F.lit(None).cast("long")
+        for link, of in torn.items():
+            shard = F.when(F.col("link") == link, _by_ranges(F.col("_k"), of)).otherwise(shard)
+        parts.append(k.withColumn("shard", shard).select(names))
+    rest = common.offsets(common.stage(light.filter("shard is null").drop("shard")), [], ["at"], None, "_k", total)
+    out = rest.withColumn("shard", _by_ranges(F.col("_k"), [(s, r) for s, r in enumerate(room) if r])).select(names)
+    for part in parts:
+        out = out.unionByName(part)
+    out = common.offsets(common.stage(out), ["shard"], ["at"], None, "slot", total)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -172,6 +172,36 @@ def test_pipeline_keeps_different_texts_under_one_id(spark):
     assert Counter(got) == Counter([(1, one), (2, two), (5, three), (6, ""), (6, None), (None, two)])
 
 
+def test_shard_draws_vary_as_without_putting_back():
+    counts = np.array([5000, 2000, 900, 100], np.int64)
+    share, whole = 2000, 8000
+    draws = np.array([mixing._split(counts, share, whole, [7, i]) for i in range(4000)])
+    assert (draws.sum(1) == share).all() and (draws >= 0).all() and (draws <= counts).all()
+    p = counts / whole
+    expected = share * p * (1 - p) * (whole - share) / (whole - 1)
+    assert np.allclose(draws.mean(0), share * p, atol=4 * np.sqrt(expected / 4000)) and np.allclose(draws.var(0), expected, rtol=0.1)
+    # the same law beyond what samplers without putting back can count
+    huge = counts * 10**12
+    draws = np.array([mixing._split(huge, share * 10**12, whole * 10**12, [8, i]) for i in range(500)])
+    assert (draws.sum(1) == share * 10**12).all() and np.allclose(draws.var(0), expected * 10**12, rtol=0.25)
+
+
+def test_mixture_of_repeated_rows_and_clashing_columns(spark):
+    data = [(1, "a b c d", "s", 4)] * 50 + [(None, "e f g", None, 4)] * 40 + [(2, None, "t", 4), (3, "", "t", 4), (1, "x " * 90, "s", 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, parts int").withColumns({"whole": F.lit(1), "start": F.lit(2), "uses": F.lit(3), "rank": F.lit(4)})
+    got = mixing.mixed(df, block=8).collect()
+    assert len(got) == len(data) and all(r["taken"] <= 3 * r["size"] for r in got)
+    for source_size in {r["source_size"] for r in got}:
+        of = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 8
+    again = mixing.mixed(df.repartition(5, "text"), block=8).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    texts = mixing.mixed_texts(df, block=8)
+    assert texts.columns == df.columns
+    words = Counter(w for r in texts.collect() for w in WORD.findall(r["text"]))
+    assert sum(words.values()) == sum(r["taken"] for r in got)
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing._permuted(np.arange(n), n, 5).tolist()) == list(range(n))
@@ -478,6 +508,51 @@ def test_shards(spark, docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def _split_groups(got, text_of):
+    groups = defaultdict(list)
+    for r in got:
+        groups[text_of(r["doc_id"])].append(r["shard"])
+    return sum(len(set(g)) > 1 for g in groups.values())
+
+
+def test_groups_that_fill_the_shards_stay_whole(spark):
+    """Nothing but groups of equal texts, ten of which fit each shard exactly."""
+    df = spark.range(0, 80 * 50).select(F.col("id").alias("doc_id"), (F.col("id") % 80).cast("string").alias("text"))
+    got = sharding.sharded(df).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {500} and _split_groups(got, lambda i: i % 80) == 0
+
+
+def test_shards_of_uneven_groups_against_the_fewest_splits(spark):
+    """A group of a third of all rows must be cut, into as few parts as can be; no other needs to be."""
+    data = [(i, "big" if i % 3 == 0 else f"t{i % 97}" if i % 3 == 1 else f"u{i}") for i in range(3000)]
+    texts = dict(data)
+    got = sharding.sharded(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {375} and _split_groups(got, texts.get) == 1
+    assert len({r["shard"] for r in got if texts[r["doc_id"]] == "big"}) == 3
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    """Null and repeated ids, equal and different texts, clashing columns: the same rows however they come."""
+    data = [(None, f"t{i % 40}", 1) for i in range(120)] + [(5, "same", 1)] * 200 + [(5, None, 1)] * 7 + [(i, f"t{i}", 1) for i in range(200, 260)]
+    df = spark.createDataFrame(data, "doc_id long, text string, shard int").withColumn("link", F.lit("x")).withColumn("at", F.lit(1))
+    runs = [sorted(map(tuple, sharding.sharded(d).select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=str) for d in (df, df.orderBy(F.desc("text")).repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(data)
+
+
+def test_offsets_over_many_groups(spark):
+    df = spark.range(0, 6000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("i"), (F.col("id") % 5).alias("v"))
+    for group in (1, 2, 6000):
+        by = defaultdict(list)
+        for r in common.offsets(df, ["k"], ["i", "v"], "v", "s", 6000, group).collect():
+            by[r["k"]].append((r["s"], r["v"]))
+        for pairs in by.values():
+            at = 0
+            for s, v in sorted(pairs):
+                assert s == at
+                at += v
+            assert len(pairs) == 2000
+
+
 def test_digest_of_kept_words(spark):
     docs = spark.createDataFrame([(1, " a\tb ", "en", "s", 0)], SCHEMA)
     row = repeats.without_repeats(docs).select(F.sha2("text", 256).alias("h")).first()
