@@ -9,7 +9,9 @@
    class of such buckets has can't be in an intersection, which bounds the similarity of a pair exactly; only pairs that
    the bound lets pass are compared, again on full sets. No link between different texts is given up.
 
-Cost: a bucket's first comparison is linear. Step 4 looks at pairs of components, but emits only those within the bound.
+Cost: a bucket's first comparison is linear. In step 4 only classes outside a bucket's largest component ask all its
+classes, so a bucket that is one component but for a few costs about as many looks as it has classes; both sides are cut
+into blocks of at most about BLOCK classes, so that no task holds a whole bucket. Only pairs within the bound are emitted.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tallyglass.llm import common, tokens
 
 PERMUTATIONS, ROWS = 32, 4
+#: Classes of a bucket that meet others in one task.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -64,7 +68,7 @@ def _band_keys(shingles: np.ndarray, borders: np.ndarray, permutations: int) ->
 
 
 def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, n_shingles, set_sum, set_xor, bands) per row; bands is null for a text without words."""
+    """(doc_id, text_key, n_shingles, set_sum, set_xor, bands) per row; bands is empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +85,15 @@ def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS
                     keys = _band_keys(shingles, borders, permutations)
                 lengths = np.concatenate([[0], np.cumsum(full * keys.shape[1])])
                 bands = tokens.ragged(keys.ravel().view(np.int64), lengths, pa.int64())
-                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_sum", "set_xor", "bands"])
+                columns = [piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_sum", "set_xor", "bands"])
 
-    schema = "doc_id long, n_shingles long, set_sum long, set_xor long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_sum long, set_xor long, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -152,13 +160,23 @@ def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         open_.join(shared, "rep", "left").withColumn("can", F.col("n") - F.coalesce("lone", F.lit(0)))
         .filter(100 * F.col("can") >= percent * F.col("n")).select("key", "rep", "n", "can", "component", "bands", "band")
     )
-    x, y = alive.alias("x"), alive.alias("y")
+    # how many classes of a bucket ask and answer, and its largest component, whose classes needn't ask
+    by_component = alive.groupBy("key", "component").agg(F.count("*").alias("_c"))
+    buckets_ = by_component.groupBy("key").agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "component"))["component"].alias("_largest"), F.max("_c").alias("_most")).filter("_all > _most")
+    known = common.stage(alive.join(buckets_.hint("merge"), "key"))
+    ask, answer = F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int"), F.ceil(F.col("_all") / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
+    asks = F.col("component") != F.col("_largest")
+    carried = ["key", "rep", "n", "can", "component", "bands", "band"]
+    x = known.filter(asks).select(*carried, block(ask).alias("i"), F.explode(F.sequence(F.lit(0), answer - 1)).alias("j")).alias("x")
+    y = known.select(*carried, asks.alias("asks"), F.explode(F.sequence(F.lit(0), ask - 1)).alias("i"), block(answer).alias("j")).alias("y")
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     on = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        & (F.col("x.component") != F.col("y.component")) & (~F.col("y.asks") | (F.col("x.rep") < F.col("y.rep")))
         & _within_bound("x.can", "y.can", "x.n", "y.n", percent) & (first == F.col("x.band") + 1)
     )
-    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -167,26 +185,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutat
     Rows are linked when their shingle sets reach ``percent`` per cent of similarity; a component is everything reachable
     by links, named by its smallest doc_id, which is the row kept. A null or empty text, or one of white space only, has
     no shingles, links with nothing and is kept. A text of fewer than ``width`` words is one shingle. Rows repeated with
-    one doc_id share a component and stay repeated; a null doc_id with words takes part under the class's smallest
-    doc_id. Other columns of docs are ignored. An empty table gives no rows.
+    one doc_id stay repeated; different texts under one doc_id are compared each. Rows with a null doc_id take part, but
+    never name a component unless all of it has none; such rows are all kept. Other columns of docs are ignored. An empty
+    table gives no rows.
     """
     rows = common.stage(signatures(docs, width, permutations))
     fingerprint = ["n_shingles", "set_sum", "set_xor"]
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    # a class has a number of its own, which is fixed once it is written
     classes = common.stage(
-        rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).filter("rep is not null")
+        rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(one.alias("one"), F.first("bands").alias("bands"))
+        .select(*fingerprint, "bands", F.col("one.doc_id").alias("least"), F.col("one.text_key").alias("text_key"), F.monotonically_increasing_id().alias("rep"))
     )
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     leaders = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("key", "leader")
     buckets = common.stage(spread.join(leaders, "key"))
-    needed = buckets.select(F.col("rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    needed = classes.join(buckets.select("rep").distinct(), "rep").select("rep", F.col("least").alias("doc_id"), "text_key")
+    texts = _texts(docs.filter("text is not null")).alias("t")
     # the same join at every size: what is needed grows with the input
-    sets = common.stage(_sets(texts.filter("text is not null").join(needed.hint("merge"), "rep"), width).dropDuplicates(["rep"]))
+    found = texts.join(needed.alias("c").hint("merge"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key")))
+    sets = common.stage(_sets(found.select("c.rep", "t.text"), width).dropDuplicates(["rep"]))
     pairs = buckets.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = common.cut(_verified(pairs, sets, percent))
     with_bands = buckets.join(classes.select("rep", "bands"), "rep")
     more = common.cut(_verified(_remaining(with_bands, common.components(links, "a", "b"), sets, percent), sets, percent))
     labels = common.components(links.unionByName(more), "a", "b")
-    found = classes.join(labels, classes.rep == labels.node, "left").select(*fingerprint, F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("bands").join(found, fingerprint, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    linked = common.stage(classes.select("rep", "least").join(labels, classes.rep == labels.node).select("rep", "least", "component"))
+    names = linked.groupBy("component").agg(F.min("least").alias("name"))
+    named = linked.join(names, "component").select("rep", "name")
+    of_class = classes.join(named, "rep", "left").select(*fingerprint, F.coalesce("name", "least").alias("component_id"))
+    out = rows.select("doc_id", *fingerprint).join(of_class, fingerprint, "left")
+    # without words, a row is its own component
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))

@@ -3,8 +3,8 @@
 A window is ``width`` consecutive words. Positions are covered if they are 0, 1, 3 or 9 modulo 13: any two positions have
 a common shift below 13 that takes both to covered ones, so two equal windows of 20 words always share an anchor, the 8
 words at some covered position inside both. Only anchors, at 4 of 13 positions, are compared across the corpus first;
-windows around an anchor that occurs twice are then extended to their full width and compared exactly, and every window
-but the first of its kind gives up its words. All passes run over packs (see packs).
+windows around an anchor that occurs twice are then extended to their full width and compared by two independent hashes of
+64 bits each over all their words, and every window but the first of its kind gives up its words. All passes run over packs (see packs).
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ _U = np.uint64
 class _Pack:
     """Words, anchors and windows of one pack."""
 
-    def __init__(self, rows: pa.RecordBatch, width: int):
-        self.rows, self.width, self.anchor = rows, width, width - PERIOD + 1
+    def __init__(self, rows: pa.RecordBatch, width: int, bits: int = 64):
+        self.rows, self.width, self.anchor, self.bits = rows, width, width - PERIOD + 1, bits
         ids = rows.column(rows.schema.get_field_index("doc_id"))
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -42,14 +42,15 @@ class _Pack:
         at = np.flatnonzero(whole & np.isin(self.position[: len(whole)] % PERIOD, COVER) & self.known[self.doc[: len(whole)]])
         return at, tokens.hash_windows(self.hashed, self.anchor)[at]
 
-    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the windows around the given anchors, and their hashes."""
+    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows around the given anchors, and both hashes of them."""
         whole = tokens.inside(self.first, self.width)
         change = np.zeros(len(self.starts) + 1, np.int64)
         np.add.at(change, np.maximum(anchors - PERIOD + 1, 0), 1)
         np.add.at(change, anchors + 1, -1)
         at = np.flatnonzero(whole & (np.cumsum(change)[: len(whole)] > 0))
-        return at, tokens.hash_windows(self.hashed, self.width)[at]
+        other = tokens.hash_words(self.data, self.starts, self.ends, other=True) if len(at) else self.hashed
+        return at, tokens.hash_windows(self.hashed, self.width)[at] >> _U(64 - self.bits), tokens.hash_windows(other, self.width)[at]
 
 
 def _anchors_seen_twice(keys: list[np.ndarray], _: pa.Table) -> list[np.ndarray]:
@@ -58,12 +59,18 @@ def _anchors_seen_twice(keys: list[np.ndarray], _: pa.Table) -> list[np.ndarray]
     return np.split(counts[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def _fresh(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where a pair differs from the one before it."""
+    return np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, bool)
+
+
 def _seen_earlier(keys: list[np.ndarray], table: pa.Table) -> list[np.ndarray]:
     every = np.concatenate(keys)
     doc = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("more0")])
     position = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("more1")])
-    order = np.lexsort((position, doc, every))
-    fresh = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+    other = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in table.column("more2")])
+    order = np.lexsort((position, doc, other, every))
+    fresh = _fresh(every[order], other[order])
     lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
     later = np.zeros(len(every), bool)
     later[order] = (doc[order] != doc[lead]) | (position[order] != position[lead])
@@ -76,20 +83,28 @@ def _repeated_anchors(pack: _Pack, answers: pa.Scalar, n_buckets: int) -> np.nda
     return at[((counts > 1) | packs.decoded(answers, keys, n_buckets))[inverse]]
 
 
-def _own_first(pack: _Pack, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows, for each place the index of its window, and the first place's document and position."""
-    keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return keys, inverse, pack.ids[pack.doc[at[first]]], pack.position[at[first]]
+class _Kinds:
+    """A pack's distinct windows: both hashes, the kind of each place, and the first place's document and position."""
+
+    def __init__(self, pack: _Pack, at: np.ndarray, one: np.ndarray, two: np.ndarray):
+        order = np.lexsort((two, one))  # stable, so places of one kind stay in their order
+        fresh = _fresh(one[order], two[order])
+        first = order[fresh]
+        self.keys, self.others = one[first], two[first]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(fresh) - 1
+        self.doc, self.position = pack.ids[pack.doc[at[first]]], pack.position[at[first]]
 
 
-def without_repeats(docs: DataFrame, width: int = 20, join_words: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 20, join_words: bool = True, bits: int = 64) -> DataFrame:
     """Every row of docs with its text less the words that repeat an earlier passage, n_words and n_removed.
 
     A word goes if a window of ``width`` words that covers it also starts earlier: in a smaller doc_id, or before it in the
     same document; windows are judged on the input. The kept words are joined by one space; with ``join_words`` false, a
     text that loses nothing stays as it is. A null or empty text has no words and becomes empty. Rows with a null doc_id
     lose nothing and are not compared. Rows repeated with one doc_id count as one occurrence and lose the same words.
-    Input columns named n_words or n_removed are replaced; all others are carried. An empty table gives no rows.
+    Input columns named n_words or n_removed are replaced; all others are carried. An empty table gives no rows. ``bits`` is
+    how many the first hash of a window has; with fewer, windows collide, which changes no result.
     """
     if width < PERIOD:
         raise ValueError(f"windows of fewer than {PERIOD} words have no anchor")
@@ -111,22 +126,22 @@ def without_repeats(docs: DataFrame, width: int = 20, join_words: bool = True) -
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                pack = _Pack(packs.unpacked(rows), width)
-                keys, _, doc, position = _own_first(pack, *pack.windows(_repeated_anchors(pack, answers, n_buckets)))
-                yield packs.questions(name, keys, n_buckets, 8, doc, position)
+                pack = _Pack(packs.unpacked(rows), width, bits)
+                kinds = _Kinds(pack, *pack.windows(_repeated_anchors(pack, answers, n_buckets)))
+                yield packs.questions(name, kinds.keys, n_buckets, 8, kinds.doc, kinds.position, kinds.others)
 
-    asked = with_anchors.mapInArrow(ask_windows, "pack long, bucket int, keys binary, more0 binary, more1 binary")
+    asked = with_anchors.mapInArrow(ask_windows, "pack long, bucket int, keys binary, more0 binary, more1 binary, more2 binary")
     earlier = packs.answered(asked, _seen_earlier, 8, "windows")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, anchors, windows in zip(batch.column(1), batch.column(2), batch.column(3)):
-                pack = _Pack(packs.unpacked(rows), width)
-                at, hashes = pack.windows(_repeated_anchors(pack, anchors, n_buckets))
-                keys, inverse, doc, position = _own_first(pack, at, hashes)
-                later = packs.decoded(windows, keys, n_buckets)[inverse]
-                later |= (pack.ids[pack.doc[at]] != doc[inverse]) | (pack.position[at] != position[inverse])
+                pack = _Pack(packs.unpacked(rows), width, bits)
+                at, one, two = pack.windows(_repeated_anchors(pack, anchors, n_buckets))
+                kinds = _Kinds(pack, at, one, two)
+                later = packs.decoded(windows, kinds.keys, n_buckets)[kinds.of]
+                later |= (pack.ids[pack.doc[at]] != kinds.doc[kinds.of]) | (pack.position[at] != kinds.position[kinds.of])
                 change = np.zeros(len(pack.starts) + 1, np.int64)
                 change[at[later]] += 1
                 change[at[later] + width] -= 1

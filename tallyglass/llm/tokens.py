@@ -34,6 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _CODE = mix(np.arange(1, 257, dtype=_U) * _U(_SEED))
 _CODE_LOWER = _CODE[LOWER]
+_CODE_OTHER = mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -77,9 +78,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; lower folds A-Z."""
-    out, code = np.empty(len(starts), _U), _CODE_LOWER if lower else _CODE
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word; lower folds A-Z, other gives a second hash that knows nothing of the first."""
+    out, code = np.empty(len(starts), _U), _CODE_LOWER if lower else _CODE_OTHER if other else _CODE
     at = 0
     while at < len(starts):
         base = starts[at]

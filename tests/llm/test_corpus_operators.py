@@ -360,6 +360,33 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(twice).count() == docs.count() + 3 and minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    """Different texts under one id are compared each, and rows without an id take part."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = lambda t: t.replace("30", "x")
+    data = [(5, a), (5, b), (7, near(a)), (9, near(b)), (None, a), (None, near(b)), (None, c), (None, c), (3, near(c)), (1, None), (1, ""), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), percent=80).collect()
+    found = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got)
+    assert found == Counter({(5, 5, True): 2, (7, 5, False): 1, (9, 5, False): 1, (None, 5, False): 2, (None, 3, False): 2, (3, 3, True): 1, (1, 1, True): 2, (None, None, True): 1})
+    alone = minhash.near_duplicates(spark.createDataFrame([(None, c), (None, near(c)), (2, a)], "doc_id long, text string"), percent=80).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in alone) == Counter({(None, None, True): 2, (2, 2, True): 1})
+
+
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch):
+    """Many families in the same buckets, in blocks so small that each bucket is cut into many."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng, base, family = random.Random(8), [f"w{k}" for k in range(120)], []
+    for f in range(12):
+        own = base[: 120 - 8] + [f"f{f}_{k}" for k in range(8)] if f % 2 else base[8:] + [f"f{f}_{k}" for k in range(8)]
+        for i in range(9):
+            copy = list(own)
+            for k in rng.sample(range(120), i % 5):
+                copy[k] = f"x{f}_{i}_{k}"
+            family.append((100 * f + i, " ".join(copy), "en", "s", 0))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(family, SCHEMA)).collect()}
+    assert got == _near(family) and len({c for _, c in got.values()}) > 2
+
+
 def test_quality_counts(docs, empty):
     for r in rules.judged(docs.withColumn("n_words", F.lit("clash")), []).collect():
         text = r["text"] or ""
@@ -406,6 +433,12 @@ def test_repeated_passages(spark, docs, empty):
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in repeats.without_repeats(spark.createDataFrame(pair, SCHEMA)).collect()}
         assert got == _without(pair)
     assert repeats.without_repeats(empty).count() == 0
+    # first hashes of 3 bits: almost all windows collide, and only the second hash tells them apart
+    weak = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in repeats.without_repeats(docs, bits=3).collect()}
+    assert weak == _without(rows())
+    nameless = repeats.without_repeats(docs.unionByName(docs.filter("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert {r["n_removed"] for r in nameless.filter("doc_id is null").collect()} == {0}
+    assert {r["doc_id"]: r["n_removed"] for r in nameless.filter("doc_id is not null").collect()} == {i: v[1] for i, v in _without(rows()).items()}
     clash = docs.withColumn("n_words", F.lit("x")).withColumn("more", F.array(F.lit(1)))
     assert repeats.without_repeats(clash.unionByName(clash.filter("doc_id = 5")), join_words=False).count() == docs.count() + 1
 
