@@ -41,14 +41,18 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     marks = offsets[:-1] + 2 * np.arange(n)
     stream = np.full(len(data) + 2 * n, _PAD, np.uint8)
     stream[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, sizes)] = data
-    reach = np.arange(len(stream)) - np.repeat(marks, sizes + 2)  # bytes since the text's mark
     keys = np.zeros(len(stream), _U)
     for k in range(order, 0, -1):
-        seen = np.full(len(stream), _PAD, np.uint8)
-        seen[k:] = np.where(reach[k:] >= k, stream[:-k], _PAD)
-        keys = (keys << _U(8)) | seen
+        keys <<= _U(8)
+        keys[k:] |= stream[:-k]
+        keys[:k] |= _U(_PAD)
+        for ahead in range(k):  # what lies before a text's mark isn't seen, but more marks
+            near = marks[marks + ahead < len(stream)] + ahead
+            keys[near] |= _U(_PAD)
     keys = (keys << _U(8)) | stream
-    return np.delete(keys, marks), offsets + np.arange(n + 1)
+    keep = np.ones(len(stream), bool)
+    keep[marks] = False
+    return keys[keep], offsets + np.arange(n + 1)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,12 +156,15 @@ class _Slice:
         hashed = tokens.hash_words(self.data, starts, ends, lower=True)
         return np.insert(hashed, first[1:], _END), first + np.arange(len(first))
 
-    def distinct(self, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, how often each stands in training texts, the place of each key among them, and the texts' borders."""
+    def counted(self, words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and how often each stands in training texts."""
         keys, borders = self.words() if words else self.grams()
-        every, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, np.repeat(self.train, np.diff(borders)), len(every)).astype(np.int64)
-        return every, counts, at.astype(np.int32), borders
+        train = np.repeat(self.train, np.diff(borders))
+        known, n = np.unique(keys[train], return_counts=True)
+        every = tokens.distinct(np.concatenate([known, tokens.distinct(keys[~train])]))
+        out = np.zeros(len(every), np.int64)
+        out[np.searchsorted(every, known)] = n
+        return every, out
 
 
 def _slices(rows: pa.Scalar, order: int) -> list[_Slice]:
@@ -166,7 +173,7 @@ def _slices(rows: pa.Scalar, order: int) -> list[_Slice]:
 
 def _asked(slices: list[_Slice], words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words or grams of a pack, sorted, and how often each stands in training texts."""
-    parts = [s.distinct(words)[:2] for s in slices]
+    parts = [s.counted(words) for s in slices]
     keys, counts, _ = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
     return keys, counts.astype(np.int64)
 
@@ -270,14 +277,15 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
         for batch in batches:
             for rows, of_word, of_gram in zip(batch.column(1), batch.column(2), batch.column(3)):
                 slices = _slices(rows, order)
-                keys = np.unique(np.concatenate([np.unique(s.grams()[0]) for s in slices]))
+                keys = tokens.distinct(np.concatenate([tokens.distinct(s.grams()[0]) for s in slices]))
                 logs = _flat(of_gram, "logs", np.float64, tokens.mix(keys), n_buckets)
                 words_, _ = _asked(slices, True)
                 kind = np.int64 if any(x["wide"] for x in of_word.as_py() or ()) else np.uint32
                 counts = _flat(of_word, "counts", kind, words_, n_buckets).astype(np.float64)
                 of_token = np.log10((counts + 1) / (n_train + n_kinds + 1))
                 for part in slices:
-                    own, _, at, borders = part.distinct(False)  # again rather than kept: a pack's places are four bytes a character
+                    stream, borders = part.grams()  # again rather than kept: a pack's keys are eight bytes a character
+                    own, at = np.unique(stream, return_inverse=True)
                     score_ = np.add.reduceat(logs[np.searchsorted(keys, own)][at], borders[:-1])
                     hashed, first = part.words()
                     at = np.searchsorted(words_, hashed)

@@ -40,7 +40,7 @@ def _shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     parts = []
     for i, n in enumerate(n_words):
         if n >= width:
-            parts.append(np.unique(windows[first[i] : first[i] + n - width + 1]))
+            parts.append(tokens.distinct(windows[first[i] : first[i] + n - width + 1]))
         elif n:
             parts.append(tokens.hash_windows(hashed[first[i] : first[i] + n], int(n)) ^ _U(n))
         else:

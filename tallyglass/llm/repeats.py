@@ -117,7 +117,7 @@ def without_repeats(docs: DataFrame, width: int = 20, join_words: bool = True, b
         for batch in batches:
             for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, hashes = _Pack(packs.unpacked(rows), width).anchors()
-                yield packs.questions(name, np.unique(hashes), n_buckets, 4)
+                yield packs.questions(name, tokens.distinct(hashes), n_buckets, 4)
 
     asked = packed.mapInArrow(ask_anchors, "pack long, bucket int, keys binary")
     seen_twice = packs.answered(asked, _anchors_seen_twice, 4, "anchors")

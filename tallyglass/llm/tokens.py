@@ -118,6 +118,12 @@ def inside(first: np.ndarray, width: int) -> np.ndarray:
     return ok[:n]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order, by sorting, which is many times faster here than by hashing."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most so many bytes of text; a longer text is a piece of its own."""
     data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
