@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +14,53 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir, or on one machine, as in tests, a temporary one.
+
+    A machine's own folder would lose data on a cluster, so there the setting is required.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+_scope: ContextVar[str | None] = ContextVar("_scope", default=None)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _home(spark: SparkSession) -> str:
+    return _scope.get() or f"{shared_folder(spark)}/tallyglass-{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators staged within it; results must have been written or collected by then."""
+    folder = f"{_home(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that operators of this application have staged outside of scratch(); for when no result is read any more."""
+    _delete(spark, _home(spark))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: a cut in the lineage that outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{_home(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -71,6 +71,17 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_scratch_leaves_nothing(spark):
+    from pathlib import Path
+
+    staged = common.stage(spark.range(5))
+    folder = Path(staged.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent.parent
+    before = set(folder.iterdir())
+    with common.scratch(spark):
+        inner = common.stage(spark.range(7)).count()
+    assert inner == 7 and set(folder.iterdir()) == before and staged.count() == 5
+
+
 def test_main_text():
     page = """<body class="nav-open"><header>Site name.</header><nav><a href=/>Home</a></nav><main><article><h1>Title &amp; more</h1><p>First   text<br>goes on.
       <div class="ad">Buy it now, it is the best thing of all.</div><p>Second <b>bo</b>ld.</p><script>var x = "<p>no</p>";</script></article>
