@@ -64,10 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read by the next."""
+    """All stages over documents, each written as Parquet and read by the next; what a stage staged goes once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         path = f"{common.shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        step(spark, docs, sf_dir).write.parquet(path)
+        with common.scratch(spark):
+            step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
