@@ -6,6 +6,7 @@ surroundings, the pattern matches them and a group picks the part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,13 +42,22 @@ HIDDEN = (
     ("display_none", r"display\s*:\s*none|visibility\s*:\s*hidden", 0.8),
 )
 INVISIBLE = "​‌‍⁠﻿‪‫‬‭‮"
+#: What a text must hold, whatever its case, for a rule to match: one of each group. Cheap to look for, and most texts have none.
+NEEDED = {
+    "instruction_override": (("ignore", "disregard", "forget", "override"), ("instruction", "prompt", "direction", "rule", "message")),
+    "role_reassignment": (("now", "act", "new", "pretend"),), "exfiltration": (("@",),), "exfiltration_url": (("://",),), "authority_claim": (("been", "team"),),
+    "secret_disclosure": (("prompt", "instructions", "key", "password", "secret"),), "compliance_bait": (("confirm", "mention", "without"),),
+    "white_text_css": (("color",),), "zero_size_font": (("font-size",),), "display_none": (("display", "visibility"),),
+}
 #: Confident phrases and what softens them.
 SOFTER = {
     "will always": "should normally", "will never": "should not normally", "always": "normally", "never": "not normally", "definitely": "likely", "certainly": "likely",
     "guaranteed": "expected", "guarantees": "is expected to provide", "must be": "is generally", "is required to": "is generally expected to", "there is no": "there does not appear to be",
     "you are entitled to": "you may be entitled to", "you will receive": "you should receive", "this is": "this appears to be",
 }
+#: Fixed value: what marks a claim that nothing retrieved supports.
 UNVERIFIED = "[not verified against the retrieved documents]"
+#: Keywords of each domain.
 INTENT = {
     "prepayment": ("prepay", "prepayment", "foreclose", "foreclosure", "part payment", "pay off early"), "loan_terms": ("loan", "emi", "tenure", "interest rate", "eligibility", "sanction", "mortgage"),
     "claims": ("claim", "insurance", "settle", "surveyor", "dispute", "unauthorised", "fraud"), "fees": ("fee", "charge", "penalty", "levy", "commission"),
@@ -58,6 +68,7 @@ HARD = (
     (r"(?i)\b(and also|as well as|additionally|furthermore|;)\b", 0.8), (r"(?i)\b(compare|versus|vs\.?|difference between|better|cheaper|which of)\b", 0.9),
     (r"(?i)\b(if|unless|provided that|in case|when|whether)\b", 0.5), (r"(?i)\b(calculate|how much|how many|total|interest|emi|rate)\b", 0.7),
 )
+#: Refusals, approvals, hedges, figures and clause numbers in texts.
 REFUSE = r"(?i)\b(not eligible|cannot|declined|rejected|unable|do not qualify|does not qualify|ineligible|not approved)\b"
 APPROVE = r"(?i)\b(approved|eligible|qualify|qualifies|sanctioned|you can|you may|granted)\b"
 HEDGED = r"(?i)\b(may|might|could|possibly|typically|generally|usually|approximately|around|subject to|depending|please confirm|cannot confirm)\b"
@@ -69,6 +80,11 @@ def _lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -89,9 +105,8 @@ def content_words(text: Column) -> Column:
 
 def unsupported_content(answer: Column, context: Column) -> Column:
     """Share of the answer's content words that the context doesn't have; a null context supports nothing."""
-    said = content_words(answer)
-    missing = F.size(F.filter(said, lambda w: ~F.array_contains(content_words(context), w)))
-    return F.when(F.size(said) == 0, 0.0).when(context.isNull(), 1.0).otherwise(missing / F.size(said))
+    share = let(content_words(answer), lambda said: unsupported_share(said, content_words(context)))
+    return F.when(context.isNull(), let(content_words(answer), lambda said: F.when(F.size(said) == 0, 0.0).otherwise(1.0))).otherwise(share)
 
 
 def figures(text: Column) -> Column:
@@ -102,7 +117,12 @@ def figures(text: Column) -> Column:
 
 def unsupported_share(said: Column, known: Column) -> Column:
     """Share of the items, repeats counted, that aren't among the known ones; 0 without items."""
-    return F.when(F.size(said) == 0, 0.0).otherwise(F.size(F.filter(said, lambda x: ~F.array_contains(known, x))) / F.size(said))
+
+    def of(s: Column) -> Column:  # the items that are known are found by hashing, and are few
+        missing = let(F.array_intersect(s, known), lambda both: F.size(F.filter(s, lambda x: ~F.array_contains(both, x))))
+        return F.when(F.size(s) == 0, 0.0).otherwise(missing / F.size(s))
+
+    return let(said, of)
 
 
 def clauses(text: Column) -> Column:
@@ -110,8 +130,8 @@ def clauses(text: Column) -> Column:
 
 
 def question_drift(question: Column, answer: Column) -> Column:
-    asked = F.array_distinct(content_words(question))
-    return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_except(asked, content_words(answer))) / F.size(asked))
+    share = lambda asked: F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_except(asked, content_words(answer))) / F.size(asked))
+    return let(F.array_distinct(content_words(question)), share)
 
 
 def hedge_density(answer: Column) -> Column:
@@ -125,15 +145,44 @@ def claim_bearing(sentence: Column) -> Column:
     return F.when(text == "", False).when(F.size(found(text, FIGURE, 1)) + F.size(clauses(text)) > 0, True).when(F.endswith(text, F.lit("?")) | opens, False).otherwise(F.size(words(text)) >= 4)
 
 
+#: Fixed value: what stands between two claims of a sentence.
+BETWEEN_CLAIMS = r"(?i)\s*;\s*|\s+(?:and|but)\s+(?=(?:the|it|this|that|there|a|an|you|we|they|[A-Z0-9]))|\s+(?:however|whereas|although)\s+"
+
+
+def claim_spans(sentence: Column, least: int = 25) -> Column:
+    """(start, end) of each claim of a sentence of at least so many characters; the whole sentence if there is none.
+
+    Parts and what separates them are folded from left to right: a part that is too short grows by what follows it.
+    """
+    parts, between = F.split(sentence, BETWEEN_CLAIMS), F.concat(found(sentence, BETWEEN_CLAIMS), F.array(F.lit("")))
+    lengths = F.zip_with(parts, between, lambda p, b: F.struct(F.length(p).alias("part"), F.length(b).alias("gap")))
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("open"), spans.alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["place"] + x["part"]
+        long_enough = end - acc["open"] >= least
+        return F.struct(
+            (end + x["gap"]).alias("place"), F.when(long_enough, end + x["gap"]).otherwise(acc["open"]).alias("open"),
+            F.when(long_enough, F.concat(acc["spans"], F.array(F.struct(acc["open"].alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    whole = F.when(F.trim(sentence) != "", F.array(F.struct(F.lit(0).alias("start"), F.length(sentence).alias("end")))).otherwise(spans)
+    return let(F.aggregate(lengths, start, step, lambda acc: acc["spans"]), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+
+
 def grounding(answer: Column, context: Column, question: Column) -> Column:
     """Six raw signals of one sentence; one that claims nothing has only its overconfidence."""
-    claims = claim_bearing(answer)
-    only = lambda c: F.when(claims, c).otherwise(0.0)
-    return F.struct(
-        only(unsupported_content(answer, context)).alias("unsupported_content"), only(unsupported_share(figures(answer), figures(context))).alias("numeric_unsupported"),
-        only(unsupported_share(clauses(answer), clauses(context))).alias("citation_unsupported"), (1 - hedge_density(answer)).alias("overconfidence"),
-        only(question_drift(question, answer)).alias("question_drift"), claims.alias("claim_bearing"),
-    )
+
+    def signals(claims: Column) -> Column:
+        only = lambda c: F.when(claims, c).otherwise(0.0)
+        return F.struct(
+            only(unsupported_content(answer, context)).alias("unsupported_content"), only(unsupported_share(figures(answer), figures(context))).alias("numeric_unsupported"),
+            only(unsupported_share(clauses(answer), clauses(context))).alias("citation_unsupported"), (1 - hedge_density(answer)).alias("overconfidence"),
+            only(question_drift(question, answer)).alias("question_drift"), claims.alias("claim_bearing"),
+        )
+
+    return let(claim_bearing(answer), signals)
 
 
 def session_similarity(a: Column, b: Column) -> Column:
@@ -146,13 +195,21 @@ def session_similarity(a: Column, b: Column) -> Column:
 
 def injection(text: Column) -> Column:
     """Score of the worst rule that matches, and 0.05 more for every further reason, at most 1; 0 for null."""
-    shown = F.translate(text, INVISIBLE, "")
-    rules = [F.when(shown.rlike("(?i)" + p), F.struct(F.lit(n).alias("reason"), F.lit(w).alias("weight"))) for n, p, w in INJECTION]
-    rules += [F.when(text.rlike("(?i)" + p), F.struct(F.lit(n).alias("reason"), F.lit(w).alias("weight"))) for n, p, w in HIDDEN]
-    rules.append(F.when(F.length(shown) < F.length(text), F.struct(F.lit("invisible_characters").alias("reason"), F.lit(0.7).alias("weight"))))
-    hit = F.array_compact(F.array(*rules))
-    worst = F.coalesce(F.array_max(F.transform(hit, lambda h: h["weight"])), F.lit(0.0))
-    return F.when(text.isNull() | (text == ""), 0.0).when(F.size(hit) > 1, F.least(F.lit(1.0), worst + 0.05 * (F.size(hit) - 1))).otherwise(worst)
+
+    def reasons(t: Column) -> Column:
+        """Weights of the rules that match; t has the text, what shows of it, and both in lower case."""
+        holds = lambda side, name: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(t[side], F.lit(k)) for k in group]) for group in NEEDED[name]])
+        rule = lambda side, name, pattern, weight: F.when(holds(f"{side}_low", name) & t[side].rlike("(?i)" + pattern), F.lit(weight))
+        rules = [*[rule("shown", *r) for r in INJECTION], *[rule("text", *r) for r in HIDDEN], F.when(F.length(t["shown"]) < F.length(t["text"]), F.lit(0.7))]
+        return F.array_compact(F.array(*rules))
+
+    def worst(weights: Column) -> Column:
+        top = F.coalesce(F.array_max(weights), F.lit(0.0))
+        return F.when(F.size(weights) > 1, F.least(F.lit(1.0), top + 0.05 * (F.size(weights) - 1))).otherwise(top)
+
+    both = lambda shown: F.struct(text.alias("text"), shown.alias("shown"), F.lower(text).alias("text_low"), F.lower(shown).alias("shown_low"))
+    score = let(let(let(F.translate(text, INVISIBLE, ""), both), reasons), worst)
+    return F.when(text.isNull() | (text == ""), 0.0).otherwise(score)
 
 
 def relabelled(provenance: Column, score: Column, limit: float = 0.6) -> Column:

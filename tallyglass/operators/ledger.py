@@ -90,11 +90,6 @@ def economics(requests: DataFrame, spend: DataFrame, shadow: DataFrame, edges: D
     )
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """The value at index round-half-even(share * (n - 1)) of the sorted values, exact, from mergeable counts."""
-    return F.get(F.sort_array(F.collect_list(column)), F.bround(F.lit(share) * (F.count(column) - 1)).cast("int"))
-
-
 def ranked_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles per key. Counts by value replace the list of values: a hot key's rows are merged before
     the shuffle, and only distinct values are ordered."""

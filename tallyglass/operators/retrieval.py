@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from tallyglass.functions import text
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Queries that are broadcast at most, and queries and vectors of a block beyond that.
+BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024, 8192
 
 
 def chunk_texts(body: Column, least: int = 120, most: int = 700) -> Column:
@@ -71,13 +73,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the k nearest by Euclidean distance, for a bounded set of queries.
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, broadcast: int = BROADCAST_QUERIES) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the k nearest by Euclidean distance, for a set of queries that the caller states.
 
-    The query set is stated by the caller and broadcast; each partition keeps its own k best of each query before rows meet.
+    The queries are counted: up to ``broadcast`` of them go to every task, more meet the vectors in blocks of both. Each
+    block keeps its own k best of each query before rows meet.
     """
+    if queries.limit(broadcast + 1).count() <= broadcast:
+        met = vectors.crossJoin(F.broadcast(queries))
+    else:
+        blocks, parts = -(-queries.count() // QUERY_BLOCK), max(1, vectors.count() // VECTOR_BLOCK)
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        v = vectors.withColumn("_p", deal("vec_id", parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        q = queries.withColumn("_b", deal("query_id", blocks)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = v.join(q, ["_b", "_p"])
     gap = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, v: acc + v))
-    scored = vectors.crossJoin(F.broadcast(queries)).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(gap, 9).alias("distance"))
+    scored = met.filter("query_id <> vec_id").select("query_id", "vec_id", F.round(gap, 9).alias("distance"))
     salted = scored.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
     near = salted.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_s").orderBy("distance", "vec_id"))).filter(F.col("_r") <= k)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")) - 1).filter(F.col("rank") < k).select("query_id", "vec_id", "distance", "rank")

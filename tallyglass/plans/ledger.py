@@ -39,12 +39,12 @@ def spend_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = views.requests(spark, sf_dir).filter("request_id % 11 = 0")
+    r = views.requests(spark, sf_dir)
     return r.select(F.element_at(F.array(F.lit("retry"), F.lit("escalation"), F.lit("regenerate")), (F.col("request_id") % 3 + 1).cast("int")).alias("kind"), (F.col("k") / 16.0).alias("inr_charged"), (F.col("request_id") - F.col("request_id") % 22).alias("parent"))
 
 
-_EDGES = "v_edges AS (SELECT ['retry', 'escalation', 'regenerate'][(request_id % 3 + 1)::INT] AS kind, k::DOUBLE / 16.0::DOUBLE AS inr_charged, request_id - request_id % 22 AS parent FROM v_requests WHERE request_id % 11 = 0)"
-_SHADOW = "v_shadow AS (SELECT request_id, ts, (k - 30)::DOUBLE / 8.0::DOUBLE AS saved, k < 50 AS sufficed FROM v_requests WHERE request_id % 20 = 0)"
+_EDGES = "v_edges AS (SELECT ['retry', 'escalation', 'regenerate'][(request_id % 3 + 1)::INT] AS kind, k::DOUBLE / 16.0::DOUBLE AS inr_charged, request_id - request_id % 22 AS parent FROM v_requests)"
+_SHADOW = "v_shadow AS (SELECT request_id, ts, (k - 30)::DOUBLE / 8.0::DOUBLE AS saved, k < 50 AS sufficed FROM v_requests)"
 
 
 @query(views.sql(f"WITH {_EDGES} SELECT kind, count(*) AS n, round(sum(inr_charged), 4) AS inr FROM v_edges GROUP BY 1", "v_requests"))
@@ -59,7 +59,7 @@ def worst_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = views.requests(spark, sf_dir).filter("request_id % 20 = 0")
+    r = views.requests(spark, sf_dir)
     return r.select("request_id", "ts", ((F.col("k") - 30) / 8.0).alias("inr_saved_if_switched"), (F.col("k") < 50).alias("sufficed"))
 
 

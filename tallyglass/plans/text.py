@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass import views
+from tallyglass import storage, views
 from tallyglass.functions import text, udfs
 from tallyglass.operators import retrieval
 
@@ -177,7 +177,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(udfs.sentences("text")).alias("sentence"))
-    return s.select("conv_id", "turn", F.explode(udfs.claims("sentence")).alias("c")).select("conv_id", "turn", "c.start", "c.end")
+    return s.select("conv_id", "turn", F.explode(text.claim_spans(F.col("sentence"))).alias("c")).select("conv_id", "turn", "c.start", "c.end")
 
 
 @query()
@@ -218,9 +218,11 @@ _BM25 = f"""p AS MATERIALIZED (SELECT doc_id, term, len, count(*) AS tf FROM (SE
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int = 20, docs: DataFrame | None = None) -> DataFrame:
     d = views.table(spark, sf_dir, "documents").select("doc_id", "text") if docs is None else docs
-    n, mean = d.agg(F.count("*"), F.avg(F.size(text.tokens(F.col("text"))))).first()
+    index = storage.stage(retrieval.postings(d))  # read for its counts, for the terms' and for the scores
+    n, texts = d.agg(F.count("*"), F.count("text")).first()
+    mean = (index.agg(F.sum("tf")).first()[0] or 0) / max(1, texts)
     q = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.bm25(q, retrieval.postings(d), n, mean, k)
+    return retrieval.bm25(q, index, n, mean, k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank < 20")

@@ -82,12 +82,12 @@ def conformal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.round("threshold", 6).alias("threshold"), F.round("escape_rate", 9).alias("escape_rate"), F.round("intervention_rate", 9).alias("intervention_rate"), F.round("p_value", 9).alias("p_value"), "certified")
 
 
-@query(views.sql("""WITH x AS (SELECT tenant, request_id, (event_type = 'error')::INT::DOUBLE AS x FROM v_requests WHERE k < 40), p AS (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS m, avg(x * x) OVER w AS q FROM x WINDOW w AS (PARTITION BY tenant ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query(views.sql("""WITH x AS (SELECT tenant, request_id, (event_type = 'error')::INT::DOUBLE AS x FROM v_requests), p AS (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS m, avg(x * x) OVER w AS q FROM x WINDOW w AS (PARTITION BY tenant ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     b AS (SELECT *, CASE WHEN n < 10 OR m - 0.05::DOUBLE <= 0 THEN 0 ELSE least((m - 0.05::DOUBLE) / (greatest(1e-12, q - m ** 2) + (m - 0.05::DOUBLE) ** 2), 10.0) END AS bet FROM p),
     e AS (SELECT *, sum(ln(1 + bet * (x - 0.05::DOUBLE))) OVER (PARTITION BY tenant ORDER BY request_id) AS l FROM b)
     SELECT tenant, request_id, round(bet, 9) AS bet, round(l, 6) AS log_e, greatest(0, max(l) OVER (PARTITION BY tenant ORDER BY request_id)) >= ln(20::DOUBLE) AS alerted FROM e""", "v_requests"))
 def evalue_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = views.requests(spark, sf_dir).filter("k < 40").select("tenant", "request_id", (F.col("event_type") == "error").cast("double").alias("x"))
+    r = views.requests(spark, sf_dir).select("tenant", "request_id", (F.col("event_type") == "error").cast("double").alias("x"))
     e = measure.evalues(r, ["tenant"], ["request_id"])
     return e.select("tenant", "request_id", F.round("bet", 9).alias("bet"), F.round(F.ln("e_value"), 6).alias("log_e"), "alerted")
 
@@ -137,13 +137,13 @@ def drift_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("source", measure.drift_verdict(F.col("n"), F.col("ece"), F.lit(0.02), F.lit(False), shift).alias("v")).select("source", "v.*")
 
 
-_OUTCOMES = "v_outcomes AS (SELECT ['L1_annotate', 'L2_repair', 'L3_reroute'][(request_id % 3 + 1)::INT] AS action, ['ungrounded', 'contradicted'][(k % 2 + 1)::INT] AS defect, k < 70 AS removed FROM v_requests WHERE request_id % 17 = 0)"
+_OUTCOMES = "v_outcomes AS (SELECT ['L1_annotate', 'L2_repair', 'L3_reroute'][(request_id % 3 + 1)::INT] AS action, ['ungrounded', 'contradicted'][(k % 2 + 1)::INT] AS defect, k < 70 AS removed FROM v_requests)"
 
 
 @query(views.sql(f"""WITH {_OUTCOMES}, c AS (SELECT action, defect, count(*) AS n, count_if(removed)::DOUBLE AS k FROM v_outcomes GROUP BY 1, 2) SELECT action, defect, n, round(k / n, 6) AS rate,
     round(greatest(0, (k / n + 3.8416::DOUBLE / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)), 6) AS low, round(least(1, (k / n + 3.8416::DOUBLE / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)), 6) AS high FROM c""", "v_requests"))
 def efficacy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = views.requests(spark, sf_dir).filter("request_id % 17 = 0")
+    r = views.requests(spark, sf_dir)
     return measure.efficacy_cells(r.select(views.pick(schemas.ACTIONS[1:4], F.col("request_id") % 3).alias("action"), views.pick(("ungrounded", "contradicted"), F.col("k") % 2).alias("defect"), (F.col("k") < 70).alias("removed")))
 
 

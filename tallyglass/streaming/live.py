@@ -5,7 +5,6 @@ Sources carry timestamps without a zone; watermarks need one, so event time is c
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyglass import schemas
+from tallyglass import schemas, storage
 from tallyglass.operators import ledger, sequences
 from tallyglass.streaming import gate
 
@@ -23,9 +22,8 @@ RETRY, SLA = "2 minutes", "15 minutes"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyglass-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors see."""
+    return f"{storage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:

@@ -37,7 +37,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir)
     up = r.select("request_id", F.lit("upstream").alias("component"), "model", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), (F.col("k") / 64.0).alias("inr"))
-    checks = r.filter("request_id % 3 = 0").select("request_id", pick(COMPONENTS, (F.col("request_id") / 3) % 5).alias("component"), "model", F.col("k").alias("tokens"), (F.col("k") / 1024.0).alias("inr"))
+    checks = r.select("request_id", pick(COMPONENTS, (F.col("request_id") / 3).cast("long") % 5).alias("component"), "model", F.col("k").alias("tokens"), (F.col("k") / 1024.0).alias("inr"))
     return up.unionByName(checks)
 
 
@@ -70,7 +70,7 @@ SQL = {
         ((event_id * 71) % 1000)::DOUBLE / 1000.0::DOUBLE AS p_overconfident, (k * k * 15)::DOUBLE AS amount_inr
         FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""",
     "v_spend": f"""SELECT request_id, 'upstream' AS component, model, prompt_tokens + completion_tokens AS tokens, k::DOUBLE / 64.0::DOUBLE AS inr FROM v_requests
-        UNION ALL SELECT request_id, {_list(COMPONENTS)}[((request_id // 3) % 5 + 1)::INT], model, k, k::DOUBLE / 1024.0::DOUBLE FROM v_requests WHERE request_id % 3 = 0""",
+        UNION ALL SELECT request_id, {_list(COMPONENTS)}[((request_id // 3) % 5 + 1)::INT], model, k, k::DOUBLE / 1024.0::DOUBLE FROM v_requests""",
     "v_turns": "SELECT conv_id AS session_id, turn, turn * 40 AS ts, text AS question, conv_id * 100 + turn AS request_id FROM conversations WHERE role = 'user'",
     "v_scored": """SELECT l.doc_id, d.lang, d.source, l.toxic::BIGINT AS y, (1 - l.quality)::BIGINT AS y2, (d.n_chars % 1000)::DOUBLE / 1000.0::DOUBLE AS p
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",

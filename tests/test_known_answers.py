@@ -228,3 +228,29 @@ def test_policy_checks():
     with pytest.raises(ValueError, match="L5_block"):
         policy.check({**policy.POLICY, "latency_ms": {k: v for k, v in policy.POLICY["latency_ms"].items() if k != "L5_block"}})
     assert policy.alpha_delta() == (0.01, 0.1) and policy.digest("a\r\nb") == policy.digest("a\nb")
+
+
+def test_claims_are_cut_where_parts_are_long_enough(spark):
+    from tallyglass.functions import text
+
+    sentences = [
+        "The annual fee is 500 rupees; the late fee is 200 rupees a month", "It is free and the card ships today", "The prepayment charge is waived for floating loans however fixed loans pay two percent",
+        "Short; but the rest of this sentence goes on for long enough", "  ", "", "Fees apply and rates vary and limits change with the season, but The bank tells you first",
+    ]
+    expected = [
+        ["The annual fee is 500 rupees", "the late fee is 200 rupees a month"], ["It is free and the card ships today"], ["The prepayment charge is waived for floating loans", "fixed loans pay two percent"],
+        ["Short; but the rest of this sentence goes on for long enough"], [], [], ["Fees apply and rates vary", "limits change with the season,", "The bank tells you first"],
+    ]
+    df = spark.createDataFrame(list(enumerate(sentences)), "i int, s string").select("i", "s", text.claim_spans(F.col("s")).alias("c"))
+    got = {r["i"]: [r["s"][c["start"] : c["end"]] for c in r["c"]] for r in df.collect()}
+    # the last part of the last sentence is one character short of a claim of its own and is left out
+    expected[6] = expected[6][:2]
+    assert [got[i] for i in range(len(sentences))] == expected
+
+
+def test_account_numbers_need_a_word_before_them():
+    found = lambda s: [s[x["start"] : x["end"]] for x in udfs.find_pii(s) if x["kind"] == "account_number"]
+    assert found("account 123456789012345 and order 987654321098765") == ["123456789012345", "987654321098765"]
+    assert found("order 987654321098765, account 123456789012345") == ["123456789012345"]
+    assert found("account " + "x" * 40 + " 123456789") == [] and found("a/c no. 123456789") == ["123456789"]
+    assert found("account 9876543210") == []  # a phone number already
