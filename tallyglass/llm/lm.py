@@ -17,7 +17,7 @@ up to two bytes are at most 256 each, and are one table of at most 2**24 entries
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +32,7 @@ _PAD = 0xFF
 #: What each seen symbol gives up for the escape; of 0.3, 0.5 and 0.7 the one with the shortest codes on held-back training texts.
 DISCOUNT = 0.3
 #: Distinct contexts grow slower than texts, so large packs ask less; inside, they are worked on in slices.
-PACK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of every byte and every end, as one integer each, and the borders between texts."""
-    n, sizes = len(offsets) - 1, np.diff(offsets)
-    marks = offsets[:-1] + 2 * np.arange(n)
-    stream = np.full(len(data) + 2 * n, _PAD, np.uint8)
-    stream[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, sizes)] = data
-    keys = np.zeros(len(stream), _U)
-    for k in range(order, 0, -1):
-        keys <<= _U(8)
-        keys[k:] |= stream[:-k]
-        keys[:k] |= _U(_PAD)
-        for ahead in range(k):  # what lies before a text's mark isn't seen, but more marks
-            near = marks[marks + ahead < len(stream)] + ahead
-            keys[near] |= _U(_PAD)
-    keys = (keys << _U(8)) | stream
-    keep = np.ones(len(stream), bool)
-    keep[marks] = False
-    return keys[keep], offsets + np.arange(n + 1)
+PACK_BYTES, SLICE_BYTES = 16 << 20, 1 << 19
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,41 +121,97 @@ def _flat(lists: pa.Scalar, field: str, kind: type, keys: np.ndarray, n_buckets:
 
 
 class _Slice:
-    def __init__(self, rows: pa.RecordBatch, order: int):
+    """Whole texts of a pack, for their words."""
+
+    def __init__(self, rows: pa.RecordBatch):
         column = lambda name: rows.column(rows.schema.get_field_index(name))
-        self.order, self.ids = order, column("doc_id")
-        self.train = column("train").to_numpy(zero_copy_only=False)
+        self.ids, self.train = column("doc_id"), column("train").to_numpy(zero_copy_only=False)
         self.data, self.offsets = tokens.text_buffer(column("text"))
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return _grams(self.data, self.offsets, self.order)
-
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, an end after each text's, and the borders between texts."""
         starts, ends, first = tokens.word_spans(self.data, self.offsets)
         hashed = tokens.hash_words(self.data, starts, ends, lower=True)
         return np.insert(hashed, first[1:], _END), first + np.arange(len(first))
 
-    def counted(self, words: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, and how often each stands in training texts."""
-        keys, borders = self.words() if words else self.grams()
-        train = np.repeat(self.train, np.diff(borders))
-        known, n = np.unique(keys[train], return_counts=True)
-        every = tokens.distinct(np.concatenate([known, tokens.distinct(keys[~train])]))
-        out = np.zeros(len(every), np.int64)
-        out[np.searchsorted(every, known)] = n
-        return every, out
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, borders = self.words()
+        return _counted(keys, np.repeat(self.train, np.diff(borders)))
 
 
-def _slices(rows: pa.Scalar, order: int) -> list[_Slice]:
-    return [_Slice(piece, order) for piece in tokens.slices(packs.unpacked(rows), most=SLICE_BYTES)]
+class _Stream:
+    """A pack's texts end to end, each with its mark and its end, looked at in chunks that pay no heed to texts."""
 
-
-def _asked(slices: list[_Slice], words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words or grams of a pack, sorted, and how often each stands in training texts."""
-    parts = [s.counted(words) for s in slices]
-    keys, counts, _ = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return keys, counts.astype(np.int64)
+    def __init__(self, rows: pa.RecordBatch, order: int):
+        self.order, self.train = order, rows.column(rows.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
+        data, offsets = tokens.text_buffer(rows.column(rows.schema.get_field_index("text")))
+        n = len(offsets) - 1
+        self.marks, self.borders = offsets[:-1] + 2 * np.arange(n), offsets + np.arange(n + 1)
+        self.stream = np.full(len(data) + 2 * n, _PAD, np.uint8)
+        inside = np.ones(len(self.stream), bool)
+        inside[self.marks] = inside[offsets[1:] + 2 * np.arange(n) + 1] = False
+        self.stream[inside] = data
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Context and symbol of each byte and end, as one integer each, and how many of them are each text's."""
+        for at in range(0, len(self.stream), SLICE_BYTES):
+            end, low = min(at + SLICE_BYTES, len(self.stream)), max(0, at - self.order)
+            part = self.stream[low:end]
+            marks = self.marks[np.searchsorted(self.marks, low) : np.searchsorted(self.marks, end)] - low
+            keys = np.zeros(len(part), _U)
+            for k in range(self.order, 0, -1):
+                keys <<= _U(8)
+                keys[k:] |= part[:-k]
+                keys[:k] |= _U(_PAD)
+                for ahead in range(k):  # what lies before a text's mark isn't seen, but more marks
+                    near = marks + ahead
+                    keys[near[near < len(part)]] |= _U(_PAD)
+            keys <<= _U(8)
+            keys |= part
+            keep = np.ones(len(part), bool)
+            keep[marks] = False
+            keep[: at - low] = False
+            first, last = at - np.searchsorted(self.marks, at), end - np.searchsorted(self.marks, end)
+            yield keys[keep], np.diff(np.clip(self.borders, first, last))
+
+    def counted(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for keys, of_text in self.chunks():
+            yield _counted(keys, np.repeat(self.train, of_text))
+
+
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each stands in training texts."""
+    known, n = np.unique(keys[train], return_counts=True)
+    every = tokens.distinct(np.concatenate([known, tokens.distinct(keys[~train])]))
+    out = np.zeros(len(every), np.int64)
+    out[np.searchsorted(every, known)] = n
+    return every, out
+
+
+def _slices(rows: pa.RecordBatch) -> list[_Slice]:
+    return [_Slice(piece) for piece in tokens.slices(rows, most=SLICE_BYTES)]
+
+
+def _asked(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, and the sums of their counts."""
+    levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[]]
+
+    def merged(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate([k for k, _ in some]), np.concatenate([c for _, c in some])
+        if not len(counts):  # none are asked for
+            return tokens.distinct(keys), counts
+        keys, counts, _ = _sums(keys, counts)
+        return keys, counts.astype(np.int64)
+
+    for part in parts:  # four by four, so that never all parts' keys are held
+        levels[0].append(part)
+        for at in range(len(levels)):
+            if len(levels[at]) == 4:
+                if at + 1 == len(levels):
+                    levels.append([])
+                levels[at + 1].append(merged(levels[at]))
+                levels[at] = []
+    return merged([part for level in levels for part in level] or [(np.zeros(0, _U), np.zeros(0, np.int64))])
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -207,7 +243,7 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, counts = _asked(_slices(rows, order), True)
+                keys, counts = _asked(s.counted() for s in _slices(packs.unpacked(rows)))
                 yield packs.questions(name, keys, n_buckets, 8, counts.astype(np.uint32))
 
     asked = packed.mapInArrow(ask_words, "pack long, bucket int, keys binary, more0 binary")
@@ -229,7 +265,7 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, counts = _asked(_slices(rows, order), False)
+                keys, counts = _asked(_Stream(packs.unpacked(rows), order).counted())
                 places = [(b, at) for b, at in enumerate(packs.by_bucket(tokens.mix(keys), n_buckets)) if len(at)]
                 columns = [pa.array([name] * len(places), pa.int64()), pa.array([b for b, _ in places], pa.int32())]
                 columns += [tokens.blobs([_steps(keys[at]) for _, at in places]), tokens.blobs([counts[at].astype(np.uint32).tobytes() for _, at in places])]
@@ -276,22 +312,27 @@ def scored(docs: DataFrame, order: int = 5) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, of_word, of_gram in zip(batch.column(1), batch.column(2), batch.column(3)):
-                slices = _slices(rows, order)
-                keys = tokens.distinct(np.concatenate([tokens.distinct(s.grams()[0]) for s in slices]))
+                texts = packs.unpacked(rows)
+                stream = _Stream(texts, order)
+                keys = _asked((tokens.distinct(k), np.zeros(0, np.int64)) for k, _ in stream.chunks())[0]
                 logs = _flat(of_gram, "logs", np.float64, tokens.mix(keys), n_buckets)
-                words_, _ = _asked(slices, True)
+                scores = np.zeros(len(stream.train))
+                for chunk, of_text in stream.chunks():
+                    own, at = np.unique(chunk, return_inverse=True)
+                    scores += np.bincount(np.repeat(np.arange(len(scores)), of_text), logs[np.searchsorted(keys, own)][at], len(scores))
+                slices = _slices(texts)
+                words_, _ = _asked(s.counted() for s in slices)
                 kind = np.int64 if any(x["wide"] for x in of_word.as_py() or ()) else np.uint32
                 counts = _flat(of_word, "counts", kind, words_, n_buckets).astype(np.float64)
-                of_token = np.log10((counts + 1) / (n_train + n_kinds + 1))
+                of_token, done = np.log10((counts + 1) / (n_train + n_kinds + 1)), 0
                 for part in slices:
-                    stream, borders = part.grams()  # again rather than kept: a pack's keys are eight bytes a character
-                    own, at = np.unique(stream, return_inverse=True)
-                    score_ = np.add.reduceat(logs[np.searchsorted(keys, own)][at], borders[:-1])
                     hashed, first = part.words()
                     at = np.searchsorted(words_, hashed)
                     base = np.add.reduceat(of_token[at], first[:-1])
                     known = np.add.reduceat((counts > 0).astype(np.int64)[at], first[:-1])
-                    columns = [part.ids, pa.array(~part.train), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(part.ids), n_train)), pa.array(base), pa.array(score_), pa.array(np.diff(part.offsets))]
+                    own = scores[done : done + len(part.ids)]
+                    done += len(part.ids)
+                    columns = [part.ids, pa.array(~part.train), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(part.ids), n_train)), pa.array(base), pa.array(own), pa.array(np.diff(part.offsets))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
     final = packed.join(of_words, "pack").join(of_grams, "pack").select("pack", "rows", "words", "grams")

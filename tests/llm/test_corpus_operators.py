@@ -264,6 +264,26 @@ def test_scores(spark, docs, empty, order):
     assert lm.scored(empty).count() == 0
 
 
+def test_chunks_of_a_stream_see_what_lies_before_them(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["", "a", "", *["".join(rng.choice("abcé") for _ in range(rng.randint(0, 40))) for _ in range(30)], ""]
+    rows_ = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "train": [True] * len(texts)})
+    for order in (3, 5):
+        expected = []
+        for t in texts:
+            data = b"\xff" * order + t.encode() + b"\xff"
+            expected.append([int.from_bytes(data[k - order : k + 1], "big") for k in range(order, len(data))])
+        for size in (1, 7, 64, 1 << 20):
+            monkeypatch.setattr(lm, "SLICE_BYTES", size)
+            got = [[] for _ in texts]
+            for keys, of_text in lm._Stream(rows_, order).chunks():
+                for i, k in zip(np.repeat(np.arange(len(texts)), of_text).tolist(), keys.tolist(), strict=True):
+                    got[i].append(k)
+            assert got == expected
+
+
 def test_scores_of_odd_rows(spark):
     """Repeated rows and rows without an id train and are scored each; case and white space count."""
     some = [(1, "A b  c", 9), (1, "A b  c", 9), (None, "a b c", 9), (None, None, 9), (2, "a b c", 9), (3, "\u00ff\U0001F600", 9)]
