@@ -4,7 +4,8 @@
    kept: 64 signature values from 32 evaluations. Sixteen bands of four values (eight of minima, eight of maxima, always
    from four different permutations) meet for a pair of similarity 0.85 with probability 1 - 7e-6.
 2. Texts with one and the same set are one class (a fingerprint of the set); from here on a class is one node.
-3. In each band bucket the classes are compared with the smallest of them, on their full sets. What links joins a component.
+3. In each band bucket the classes are compared with the one of the smallest doc_id, which copies tend to be copies of, on
+   their full sets. What links joins a component.
 4. Buckets that still hold several components get the remaining pairs of different components. A shingle that no other
    class of such buckets has can't be in an intersection, which bounds the similarity of a pair exactly; only pairs that
    the bound lets pass are compared, again on full sets. No link between different texts is given up.
@@ -197,15 +198,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutat
         rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(one.alias("one"), F.first("bands").alias("bands"))
         .select(*fingerprint, "bands", F.col("one.doc_id").alias("least"), F.col("one.text_key").alias("text_key"), F.monotonically_increasing_id().alias("rep"))
     )
-    spread = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    leaders = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("key", "leader")
-    buckets = common.stage(spread.join(leaders, "key"))
+    spread = classes.select("rep", "least", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    oldest = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "rep"))["rep"]
+    leaders = spread.groupBy("key").agg(oldest.alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("key", "leader")
+    buckets = common.stage(spread.drop("least").join(leaders, "key"))
     needed = classes.join(buckets.select("rep").distinct(), "rep").select("rep", F.col("least").alias("doc_id"), "text_key")
     texts = _texts(docs.filter("text is not null")).alias("t")
     # the same join at every size: what is needed grows with the input
     found = texts.join(needed.alias("c").hint("merge"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key")))
     sets = common.stage(_sets(found.select("c.rep", "t.text"), width).dropDuplicates(["rep"]))
-    pairs = buckets.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = buckets.filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     links = common.cut(_verified(pairs, sets, percent))
     with_bands = buckets.join(classes.select("rep", "bands"), "rep")
     more = common.cut(_verified(_remaining(with_bands, common.components(links, "a", "b"), sets, percent), sets, percent))
