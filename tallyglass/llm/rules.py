@@ -58,11 +58,11 @@ def counts(docs: DataFrame) -> DataFrame:
     by_words = _let(common.words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).alias("r")))
     by_lines = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     return (
-        docs.drop(*made).withColumn("_w", by_words)
+        docs.drop(*made).withColumn("_rules_words", by_words)
         .withColumns({
-            "n_words": F.col("_w.n"), "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"), "n_symbols": less(SYMBOLS).cast("long"),
-            "n_dup_lines": by_lines, "n_repeat_words": F.col("_w.r"), "n_upper": less(UPPER).cast("long"), "n_bangs": less("!").cast("long"),
-        }).drop("_w")
+            "n_words": F.col("_rules_words.n"), "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"), "n_symbols": less(SYMBOLS).cast("long"),
+            "n_dup_lines": by_lines, "n_repeat_words": F.col("_rules_words.r"), "n_upper": less(UPPER).cast("long"), "n_bangs": less("!").cast("long"),
+        }).drop("_rules_words")
     )
 
 
