@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import common, minhash, mixing, packing, repeats, rules
 
 
+def _rest(docs: DataFrame) -> Column:
+    """All columns but the text as one, so that no operator takes them for its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
+
+
+def _whole(docs: DataFrame, **changed: Column) -> list[Column]:
+    return [changed.get(c, F.col("text") if c == "text" else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject; columns named like the counts stay as they are."""
     learned = rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rules.judged(docs, learned).filter("kept").select(*docs.columns)
+    return rules.judged(docs.select("text", _rest(docs)), learned).filter("kept").select(*_whole(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,24 +30,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Different texts under one id are documents of their own.
     """
-    numbered = common.stage(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()))
+    numbered = common.stage(docs.filter("doc_id is not null").withColumn("_pipe_row", F.monotonically_increasing_id()))
     # at 0.8, 24 bands of four meet with probability 1 - 3e-6
-    found = minhash.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5, permutations=48)
-    found = found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    ids = numbered.select("_row", "doc_id", F.xxhash64("text").alias("_text"))
+    found = minhash.near_duplicates(numbered.select(F.col("_pipe_row").alias("doc_id"), "text"), percent=80, width=5, permutations=48)
+    found = found.select(F.col("doc_id").alias("_pipe_row"), "n_shingles", "component_id")
+    ids = numbered.select("_pipe_row", "doc_id", F.xxhash64("text").alias("_text"))
     # texts without words have a component each: there only copies under one id are similar
     some = F.col("n_shingles") > 0
     group = [some, F.when(some, F.col("component_id")), *[F.when(~some, F.col(c)) for c in ("doc_id", "_text")]]
-    least = found.join(ids.hint("merge"), "_row").groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("doc_id", "_text", "_row")).alias("_least"))
-    named = numbered.join(least.select(F.col("_least._row").alias("_row")).hint("merge"), "_row", "left_semi")
+    least = found.join(ids.hint("merge"), "_pipe_row").groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("doc_id", "_text", "_pipe_row")).alias("_least"))
+    named = numbered.join(least.select(F.col("_least._pipe_row").alias("_pipe_row")).hint("merge"), "_pipe_row", "left_semi")
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur earlier; n_chars follows, and texts left empty go."""
-    left = repeats.without_repeats(docs, width=20, join_words=False)
-    left = left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return left.filter("n_removed = 0 or n_removed < n_words").select(*docs.columns)
+    left = repeats.without_repeats(docs.select("doc_id", "text", _rest(docs)), width=20, join_words=False)
+    return left.filter("n_removed = 0 or n_removed < n_words").select(*_whole(docs, n_chars=F.coalesce(F.length("text"), F.lit(0)).cast("long")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
