@@ -131,7 +131,8 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUESTIONS = ("Compare the loan and the mortgage", "What is the transfer fee?", "If I prepay Rs. 2,50,000 now, how much interest do I save?", "Hello", "Claim of 3 lakh: can I settle, or of 1.5 crore?", "Branch timing and address; and also the ATM")
 
 
-@query()
+@query("""SELECT event_id, domain, difficulty, amount FROM events JOIN (VALUES (0, 'loan_terms', 0.9::DOUBLE, 0::DOUBLE), (1, 'fees', 5 / 60::DOUBLE, 0), (2, 'prepayment', 0.7, 250000), (3, 'general', 1 / 60::DOUBLE, 0), (4, 'claims', 11 / 60::DOUBLE, 15000000),
+    (5, 'branch_info', 0.8, 0)) AS t(i, domain, difficulty, amount) ON i = event_id % 6""")
 def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = views.pick(_QUESTIONS, F.col("event_id") % 6)
     e = views.table(spark, sf_dir, "events").select("event_id", q.alias("q"))

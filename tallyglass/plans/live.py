@@ -60,6 +60,17 @@ def stream_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.finished(live.governor(live.events(spark, sf_dir)), "append").drop("_batch")
 
 
+def _service_calls(e: DataFrame) -> DataFrame:
+    """Calls to five services, one every fifth of a second; of each minute, eight seconds have nothing but failures."""
+    i = F.col("event_id")
+    return e.select((F.col("user_id") % 5).alias("service"), "event_id", (i * 0.2).cast("double").alias("at"), ((F.col("event_type") == "error") | (i % 300 < 40)).alias("failed"))
+
+
+@query()
+def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.finished(live.breaker(_service_calls(live.events(spark, sf_dir))), "append").drop("_batch")
+
+
 @query()
 def stream_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = live.events(spark, sf_dir)

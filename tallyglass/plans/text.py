@@ -161,7 +161,19 @@ def cited_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.size(text.clauses(F.col("text"))).alias("clauses"), F.size(text.figures(F.col("text"))).alias("figures"))
 
 
-@query()
+_NUMBERS = r"list_transform(regexp_extract_all({t}, '(?:^|[^0-9A-Za-z_.])([0-9]+(?:,[0-9]{{2,3}})*(?:\.[0-9]+)?)', 1), lambda x: replace(x, ',', '')::DOUBLE)"
+_CITED = r"regexp_extract_all({t}, '(?i)\b(?:clause|section|article)\s+([0-9]+(?:\.[0-9]+)?)', 1)"
+_MISSING = "CASE WHEN len({w}) = 0 THEN 0 ELSE len(list_filter({w}, lambda x: NOT list_contains({k}, x)))::DOUBLE / len({w}) END"
+_OPENERS = "let me|i will|i''ll|i am going to|i''m going to|i have reviewed|i''ve reviewed|i can help|i''d be happy|i would be happy|let us|checking|searching|one moment|please hold|thank you|sure,|certainly|of course|happy to help|i understand"
+
+
+@query(f"""WITH {_TURNS}, x AS (SELECT turn_id, answer, {_CONTENT('answer')} AS wa, {_CONTENT('question')} AS wq, {_NUMBERS.format(t='answer')} AS na, {_NUMBERS.format(t='question')} AS nq, {_CITED.format(t='answer')} AS ca, {_CITED.format(t='question')} AS cq,
+        len(regexp_extract_all(lower(answer), {_W})) AS n_words, len(list_filter(regexp_extract_all(lower(answer), {_W}), lambda w: list_contains({_quoted(text.HEDGES)}, w))) AS hedges FROM v_qa),
+    b AS (SELECT *, list_distinct(wq) AS dq, CASE WHEN trim(answer) = '' THEN false WHEN len(na) + len(ca) > 0 THEN true WHEN ends_with(trim(answer), '?') OR regexp_matches(lower(trim(answer)), '^(?:{_OPENERS})') THEN false ELSE n_words >= 4 END AS claim_bearing FROM x),
+    s AS (SELECT turn_id, claim_bearing, CASE WHEN claim_bearing THEN {_MISSING.format(w='wa', k='wq')} ELSE 0 END AS a1, CASE WHEN claim_bearing THEN {_MISSING.format(w='na', k='nq')} ELSE 0 END AS a2, CASE WHEN claim_bearing THEN {_MISSING.format(w='ca', k='cq')} ELSE 0 END AS a3,
+        1 - least(1.0::DOUBLE, hedges / 3.0::DOUBLE) AS a4, CASE WHEN claim_bearing THEN {_MISSING.format(w='dq', k='wa')} ELSE 0 END AS a5 FROM b)
+    SELECT turn_id, claim_bearing, name, CASE name WHEN 'unsupported_content' THEN a1 WHEN 'numeric_unsupported' THEN a2 WHEN 'citation_unsupported' THEN a3 WHEN 'overconfidence' THEN a4 ELSE a5 END::DOUBLE AS raw
+    FROM s, (VALUES ('unsupported_content'), ('numeric_unsupported'), ('citation_unsupported'), ('overconfidence'), ('question_drift')) AS t(name)""")
 def grounding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six signals of every answer against its question, one row a signal."""
     g = _qa(spark, sf_dir).select("turn_id", text.grounding(F.col("answer"), F.col("question"), F.col("question")).alias("g"))

@@ -101,6 +101,35 @@ def governor(stream: DataFrame) -> DataFrame:
     return folded(stream.withColumn("tenant", F.col("user_id") % 5), "tenant", step, (0, []), "tenant long, event_id long, state string", "state int, recent array<double>", ["event_id"])
 
 
+def step_breaker(now: tuple, at: float, failed: bool, failures: int = 5, window_s: float = 10.0, open_s: float = 30.0) -> tuple[tuple, str, bool]:
+    """The next state (times of failures, when it opened, whether the probe is out), the state met, and whether the call went through.
+
+    So many failures within the window open it; after a while one call goes through, whose success closes it again and
+    whose failure opens it anew.
+    """
+    recent, opened, probing = list(now[0]), now[1], now[2]
+    met = "closed" if opened is None else "half_open" if at - opened >= open_s else "open"
+    through = met == "closed" or (met == "half_open" and not probing)
+    if not through:
+        return (recent, opened, probing), met, False
+    if not failed:
+        return ([], None, False), met, True
+    recent = [t for t in (*recent, at) if at - t <= window_s]
+    if met == "half_open" or len(recent) >= failures:
+        return ([], at, False), met, True
+    return (recent, opened, probing), met, True
+
+
+def breaker(stream: DataFrame) -> DataFrame:
+    """A circuit breaker for each service: what state a call met, and whether it went through. Needs service, event_id, at, failed."""
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        new, met, through = step_breaker((now[0], None if now[1] < 0 else now[1], now[2]), float(row.at), bool(row.failed))
+        return (new[0], -1.0 if new[1] is None else new[1], new[2]), [(row.event_id, met, through)]
+
+    return folded(stream, "service", step, ([], -1.0, False), "service long, event_id long, state string, admitted boolean", "failures array<double>, opened double, probing boolean", ["event_id"])
+
+
 def loop_breaker(stream: DataFrame, repeats: int = 3) -> DataFrame:
     """The call of a session that is the third of its kind."""
 
