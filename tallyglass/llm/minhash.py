@@ -164,7 +164,7 @@ def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     # how many classes of a bucket ask and answer, and its largest component, whose classes needn't ask
     by_component = alive.groupBy("key", "component").agg(F.count("*").alias("_c"))
     buckets_ = by_component.groupBy("key").agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "component"))["component"].alias("_largest"), F.max("_c").alias("_most")).filter("_all > _most")
-    known = common.stage(alive.join(buckets_.hint("merge"), "key"))
+    known = common.stage(alive.join(buckets_, "key"))
     ask, answer = F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int"), F.ceil(F.col("_all") / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
     asks = F.col("component") != F.col("_largest")
