@@ -76,7 +76,7 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def offsets(df: DataFrame, keys: list[str], by: list[str], value: str | None, name: str, rows: int, group: int = 512) -> DataFrame:
+def offsets(df: DataFrame, keys: list[str], by: list[str], value: str | None, name: str, rows: int, group: int = 128) -> DataFrame:
     """Adds the column name: the sum of value over the rows before, in an order of its own within each combination of keys.
 
     With no value, that is a number from 0 without gaps. Rows are dealt by a hash of the columns ``by``, which should tell
