@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,20 @@ def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return t.select(id_col, F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
 
 
+def write_index(docs: DataFrame, path: str, embedder: str, dim: int) -> None:
+    """Postings with what they were made with; an index at the path is replaced."""
+    postings(docs).write.mode("overwrite").parquet(f"{path}/postings")
+    docs.sparkSession.createDataFrame([(embedder, dim)], "embedder string, dim int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def open_index(spark: SparkSession, path: str, embedder: str, dim: int) -> DataFrame:
+    """An index's postings, for reading; one made with another embedder or width is refused before any query."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if (meta["embedder"], meta["dim"]) != (embedder, dim):
+        raise ValueError(f"the index was made with {meta['embedder']} of {meta['dim']} components, not {embedder} of {dim}")
+    return spark.read.parquet(f"{path}/postings")
+
+
 def bm25(queries: DataFrame, index: DataFrame, n_docs: int, mean_length: float, k: int = 20, id_col: str = "doc_id") -> DataFrame:
     """(query_id, id, score, rank) of the k best for each query. A term's idf comes from its own postings; the queries' terms
     are joined by key, so only postings that some query asks for meet."""
