@@ -38,6 +38,8 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - frozenset("option optgroup caption tbody td tfoot th thead tr body html".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")), "option": ("option", ("select",))}
+#: Elements that only hold items: their items are as near to what is around them as paragraphs are.
+WRAPPERS = frozenset("ul ol dl menu table thead tbody tfoot tr".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button select label fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids. A main element cancels the layout words around it, but not the others.
@@ -71,14 +73,14 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _PLAIN, _MAIN, _LAYOUT, _BOILER = 0, 1, 2, 3
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Log odds of content for what a block shows, and for the containers it is in.
-BIAS, PER_DOUBLING, LINKED, SENTENCE, COMMA, NOTICE, REPEATED, UNDER_NOTICE, BEFORE_TITLE, CLAIMED, ODD = -1.0, 0.55, -4.5, 0.8, 0.4, -12.0, -1.0, -3.0, -0.7, -4.0, -1.5
+BIAS, PER_DOUBLING, LINKED, SENTENCE, COMMA, NOTICE, REPEATED, UNDER_NOTICE, BEFORE_TITLE, CLAIMED, ODD = -1.09, 0.55, -4.5, 0.8, 0.4, -12.0, -1.0, -3.0, -0.7, -4.0, -1.5
 ELEMENT = {"p": 0.7, "h1": 1.5, "h2": 0.6, "h3": 0.6, "h4": 0.6, "h5": 0.6, "h6": 0.6, "pre": 0.7, "blockquote": 0.7, "li": -0.3, "td": -0.2, "th": -0.2, "address": -1.0}
 CONTAINER = {_PLAIN: 0.0, _MAIN: 2.5, _LAYOUT: -4.0, _BOILER: -5.0}
 #: Words from which on a block is too long to be a notice.
 BRIEF = 40
 #: Log odds that siblings side by side share a label, what each further step in the DOM leaves of it, what a change of the
 #: kind of container leaves, and the same for next blocks of one container with others in between.
-TIE, STEP, CHANGE, NEXT = 3.0, 0.5, 0.15, 1.5
+TIE, STEP, CHANGE, NEXT = 3.0, 0.25, 0.15, 1.5
 
 
 @lru_cache(20_000)
@@ -124,7 +126,7 @@ class Block:
 
 @dataclass
 class Page:
-    """Blocks in page order, and for each block-level element its parent's number and its depth.
+    """Blocks in page order, and for each block-level element its parent's number, its depth, and whether it is a step in the DOM.
 
     Besides, the start tags that can name other resources, and what the first title element holds.
     """
@@ -134,6 +136,7 @@ class Page:
     title: str | None = None
     parents: list[int] = field(default_factory=lambda: [0])
     depths: list[int] = field(default_factory=lambda: [0])
+    steps: list[int] = field(default_factory=lambda: [0])
 
 
 class _Open:
@@ -227,6 +230,7 @@ class _Builder:
             home, home_tag = len(self.page.parents), tag
             self.page.parents.append(top.home)
             self.page.depths.append(self.page.depths[top.home] + 1)
+            self.page.steps.append(int(tag not in WRAPPERS))
         self.places[tag].append(len(self.stack))
         self.stack.append(_Open(tag, state, top.hidden or hides, top.links + (tag == "a"), home, home_tag))
 
@@ -315,7 +319,7 @@ def _apart(page: Page, a: int, b: int) -> int:
     while a != b:
         if page.depths[a] < page.depths[b]:
             a, b = b, a
-        a, steps = page.parents[a], steps + 1
+        a, steps = page.parents[a], steps + page.steps[a]
     return steps
 
 
