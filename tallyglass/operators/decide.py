@@ -43,44 +43,64 @@ def gate_mode(impact: Column, limit: float = policy.POLICY["buffer_above_impact_
     return F.when(impact >= limit, "buffered").otherwise("passthrough")
 
 
-def priced_actions(items: DataFrame, key: str = "item_id", book: dict = policy.POLICY, adjustment: dict | None = None) -> DataFrame:
-    """Six rows for each item: the four terms of each action's loss, its total and whether it can be taken.
+def options(items: DataFrame, book: dict = policy.POLICY, adjustment: dict | None = None) -> DataFrame:
+    """items with _options: for each action, in ladder order, the four terms of its loss, its total and whether it can be taken.
 
-    Needs impact_inr, reversibility, probs (a map of defect to probability), emitted and feasible_pass (booleans). The
-    action table has six rows and the efficacies fold into literal maps, so nothing is joined by key and nothing shuffles.
+    Needs impact_inr, reversibility, probs (a map of defect to probability), emitted and feasible_pass (booleans). Actions
+    and efficacies are literals, so nothing is joined and nothing shuffles.
     """
     a = adjustment or book["decision_adjustment"]
-    spark = items.sparkSession
-    acts = policy.actions(spark, book)
+    table = [
+        (act, i, float(book["nuisance_inr"][act]), float(book["compute_tokens"][act]), float(book["review_cost_inr"]) if act in ("L4_hold", "L5_block") else 0.0, float(book["latency_ms"][act]))
+        for i, act in enumerate(schemas.ACTIONS)
+    ]
+    names = ("action", "ladder", "nuisance_inr", "compute_tokens", "review_inr", "latency_ms")
+    acts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in table])
     effect = F.create_map(*[x for act, row in book["efficacy"].items() for d, v in row.items() for x in (F.lit(f"{act}|{d}"), F.lit(float(v)))])
     factor = F.create_map(*[F.lit(x) for kv in book["defect"].items() for x in kv])
     reverse = F.create_map(*[F.lit(x) for kv in book["reversibility"].items() for x in kv])
     live = F.transform(F.map_entries("probs"), lambda e: F.struct(e["key"].alias("d"), F.greatest(F.lit(0.0), e["value"] - a["probability_deadband"]).alias("p")))
     rows = items.withColumn("_live", live).withColumn("_any", 1 - F.aggregate("_live", F.lit(1.0), lambda acc, e: acc * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["p"])))))
-    rows = rows.crossJoin(F.broadcast(acts))  # six rows, a fixed table
-    harm = F.aggregate(
-        "_live", F.lit(0.0),
-        lambda acc, e: acc + e["p"] * F.col("impact_inr") * a["impact_scale"] * F.element_at(factor, e["d"]) * F.element_at(reverse, F.col("reversibility")) * (1 - F.coalesce(F.try_element_at(effect, F.concat_ws("|", "action", e["d"])), F.lit(0.0))),
-    )
-    nuisance = (1 - F.col("_any")) * F.col("nuisance_inr") * a["nuisance_multiplier"]
-    compute = F.col("compute_tokens") * book["price_inr_per_1k_tokens"] / 1000 + F.col("review_inr")
-    latency = F.lit(book["lambda_time_inr_per_second"]) * F.col("latency_ms") / 1000
-    available = ~(F.col("emitted") & F.col("action").isin("L2_repair", "L3_reroute", "L5_block")) & (F.col("feasible_pass") | (F.col("action") != "L0_pass"))
-    out = rows.withColumns({"residual_harm": harm, "nuisance": nuisance, "compute": compute, "latency": latency}).withColumn("total", F.col("residual_harm") + F.col("nuisance") + F.col("compute") + F.col("latency"))
-    return out.select(key, "action", "ladder", "residual_harm", "nuisance", "compute", "latency", "total", available.alias("available"))
+
+    def option(act: Column) -> Column:
+        harm = F.aggregate(
+            "_live", F.lit(0.0),
+            lambda acc, e: acc + e["p"] * F.col("impact_inr") * a["impact_scale"] * F.element_at(factor, e["d"]) * F.element_at(reverse, F.col("reversibility")) * (1 - F.coalesce(F.try_element_at(effect, F.concat_ws("|", act["action"], e["d"])), F.lit(0.0))),
+        )
+        nuisance = (1 - F.col("_any")) * act["nuisance_inr"] * a["nuisance_multiplier"]
+        compute = act["compute_tokens"] * book["price_inr_per_1k_tokens"] / 1000 + act["review_inr"]
+        latency = F.lit(book["lambda_time_inr_per_second"]) * act["latency_ms"] / 1000
+        available = ~(F.col("emitted") & act["action"].isin("L2_repair", "L3_reroute", "L5_block")) & (F.col("feasible_pass") | (act["action"] != "L0_pass"))
+        terms = F.struct(harm.alias("residual_harm"), nuisance.alias("nuisance"), compute.alias("compute"), latency.alias("latency"))
+        total = lambda t: t["residual_harm"] + t["nuisance"] + t["compute"] + t["latency"]
+        bound = F.get(F.transform(F.array(terms), lambda t: F.struct(act["action"].alias("action"), act["ladder"].alias("ladder"), t["residual_harm"].alias("residual_harm"), t["nuisance"].alias("nuisance"), t["compute"].alias("compute"), t["latency"].alias("latency"), total(t).alias("total"), available.alias("available"))), F.lit(0))
+        return bound
+
+    return rows.withColumn("_options", F.transform(acts, option)).drop("_live", "_any")
+
+
+def priced_actions(items: DataFrame, key: str = "item_id", book: dict = policy.POLICY, adjustment: dict | None = None) -> DataFrame:
+    """Six rows for each item: the four terms of each action's loss, its total and whether it can be taken."""
+    return options(items, book, adjustment).select(key, F.inline("_options"))
 
 
 def chosen(priced: DataFrame, key: str = "item_id", hard_rules: DataFrame | None = None) -> DataFrame:
-    """The cheapest action that can be taken, ties to the lower rung; a hard rule overrides, the most drastic one first."""
-    option = F.when(F.col("available"), F.struct("total", "ladder", "action"))
-    best = priced.groupBy(key).agg(F.array_sort(F.collect_list(option)).alias("o"), F.array_sort(F.collect_list(F.struct("ladder", "total"))).alias("every"))
-    out = best.select(key, F.get("o", F.lit(0))["action"].alias("cheapest"), F.get("o", F.lit(0))["total"].alias("cheapest_loss"), F.get("o", F.lit(1))["action"].alias("runner_up"), (F.get("o", F.lit(1))["total"] - F.get("o", F.lit(0))["total"]).alias("margin"), "every")
+    """The cheapest action that can be taken, ties to the lower rung; a hard rule overrides, the most drastic one first.
+
+    ``priced`` is what options() returns, or rows of priced_actions(), which are gathered by key first.
+    """
+    if "_options" not in priced.columns:
+        names = [c for c in priced.columns if c not in (key, "ladder")]
+        priced = priced.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ladder", *names))).alias("_options"))
+    open_ = F.array_sort(F.transform(F.filter("_options", lambda o: o["available"]), lambda o: F.struct(o["total"].alias("total"), o["ladder"].alias("ladder"), o["action"].alias("action"))))
+    best = priced.select(key, open_.alias("o"), "_options")
+    out = best.select(key, F.get("o", F.lit(0))["action"].alias("cheapest"), F.get("o", F.lit(0))["total"].alias("cheapest_loss"), F.get("o", F.lit(1))["action"].alias("runner_up"), (F.get("o", F.lit(1))["total"] - F.get("o", F.lit(0))["total"]).alias("margin"), "_options")
     if hard_rules is None:
         return out.select(key, F.col("cheapest").alias("action"), F.col("cheapest_loss").alias("chosen_loss"), "runner_up", "margin")
     rule = hard_rules.withColumn("_r", schemas.rank("rule_action", schemas.ACTIONS)).groupBy(key).agg(F.max_by(F.struct("rule", "rule_action", "_r"), F.col("_r")).alias("h"))
     joined = out.join(rule, key, "left")
     return joined.select(
-        key, F.coalesce("h.rule_action", "cheapest").alias("action"), F.when(F.col("h").isNotNull(), F.get("every", F.col("h._r"))["total"]).otherwise(F.col("cheapest_loss")).alias("chosen_loss"),
+        key, F.coalesce("h.rule_action", "cheapest").alias("action"), F.when(F.col("h").isNotNull(), F.get("_options", F.col("h._r"))["total"]).otherwise(F.col("cheapest_loss")).alias("chosen_loss"),
         F.col("h.rule").alias("hard_rule"),
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyglass.functions import ordering, text
 
@@ -82,6 +81,6 @@ def induced(fragments: DataFrame) -> DataFrame:
 
 
 def budgeted(batches: DataFrame, key: str, cost: str, most: float) -> DataFrame:
-    """Which batches a budget allows, in key order, with what has been spent by then. One row a batch."""
-    spent = F.sum(cost).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return batches.select(key, cost, spent.alias("spent"), (spent <= most).alias("allowed"))
+    """Which batches a budget allows, in the order of an integer key, with what has been spent by then. One row a batch."""
+    summed = ordering.running_sum(batches.select(key, cost), key, cost, "spent")
+    return summed.select(key, cost, "spent", (F.col("spent") <= most).alias("allowed"))

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from tallyglass.functions import text
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Queries that are broadcast at most, and queries and vectors of a block beyond that.
+#: Cached answers of a block; queries that are broadcast at most, and queries and vectors of a block beyond that.
+CACHE_BLOCK = 1024
 BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024, 8192
 
 
@@ -124,9 +125,16 @@ def context_key(fragments: Column) -> Column:
 
 
 def cache_probe(probes: DataFrame, cached: DataFrame, least: float = 0.95) -> DataFrame:
-    """The best cached answer of the same context, policy and scope, if it is similar enough."""
+    """The best cached answer of the same context, policy and scope, if it is similar enough.
+
+    The cached answers of a scope are cut into blocks, and a probe goes to each of its scope's blocks, so no task compares
+    all of a large scope; each block keeps a probe's best before blocks meet.
+    """
     scope = ["context", "policy", "scope"]
-    met = probes.join(cached, scope).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("cached_embedding")), 9)).filter(F.col("similarity") >= least)
+    sizes = cached.groupBy(*scope).agg(F.ceil(F.count("*") / CACHE_BLOCK).cast("int").alias("_blocks"))
+    dealt = cached.join(sizes, scope).withColumn("_b", F.pmod(F.xxhash64("cache_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asking = probes.join(sizes, scope).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    met = asking.join(dealt, [*scope, "_b"]).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("cached_embedding")), 9)).filter(F.col("similarity") >= least)
     best = met.groupBy("probe_id").agg(F.max_by(F.struct("cache_id", "similarity"), F.struct(F.col("similarity"), -F.col("cache_id"))).alias("b"))
     return best.select("probe_id", "b.cache_id", "b.similarity")
 

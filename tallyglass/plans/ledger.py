@@ -251,13 +251,13 @@ _CHOSEN = "x AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY t
 
 @query(views.sql(f"WITH {_STAKES}, {_priced_sql()}, {_CHOSEN} SELECT request_id, action, round(chosen_loss, 6) AS chosen_loss, runner_up, round(margin, 6) AS margin FROM v_chosen", "v_requests"))
 def choose_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = decide.chosen(decide.priced_actions(_items(spark, sf_dir), "request_id"), "request_id")
+    c = decide.chosen(decide.options(_items(spark, sf_dir)), "request_id")
     return c.select("request_id", "action", F.round("chosen_loss", 6).alias("chosen_loss"), "runner_up", F.round("margin", 6).alias("margin"))
 
 
 @query(views.sql(f"WITH {_STAKES}, {_priced_sql()}, {_CHOSEN} SELECT action, count(*) AS n, round(avg(margin), 2) AS mean_margin FROM v_chosen GROUP BY 1", "v_requests"))
 def action_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = decide.chosen(decide.priced_actions(_items(spark, sf_dir), "request_id"), "request_id")
+    c = decide.chosen(decide.options(_items(spark, sf_dir)), "request_id")
     return c.groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg("margin"), 2).alias("mean_margin"))
 
 
@@ -271,7 +271,7 @@ def unavailable_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hard_rule_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requests(spark, sf_dir).select("request_id", "k")
     rules = r.filter("k % 5 = 0").select("request_id", F.lit("injection").alias("rule"), F.lit("L4_hold").alias("rule_action")).unionByName(r.filter("k % 10 = 0").select("request_id", F.lit("canary").alias("rule"), F.lit("L5_block").alias("rule_action")))
-    c = decide.chosen(decide.priced_actions(_items(spark, sf_dir), "request_id"), "request_id", rules)
+    c = decide.chosen(decide.options(_items(spark, sf_dir)), "request_id", rules)
     return c.select("request_id", "action", F.round("chosen_loss", 6).alias("chosen_loss"), "hard_rule")
 
 

@@ -92,7 +92,10 @@ def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digits(spark, sf_dir).select("event_id", text.luhn_ok(F.col("d")).alias("valid"))
 
 
-_VERHOEFF = f"list_reduce(list_prepend(0, list_transform(string_split(reverse(d), ''), lambda c, i: {text._permutations()}[(((i - 1) % 8) * 10 + c::INT + 1)::INT])), lambda a, x: {text._dihedral()}[(a * 10 + x + 1)::INT]) = 0"
+#: Verhoeff's tables, written out here so that the generated ones are checked against them.
+_PERMUTED = ("0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258")
+_PRODUCTS = ("0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210")
+_VERHOEFF = f"list_reduce(list_prepend(0, list_transform(string_split(reverse(d), ''), lambda c, i: '{''.join(_PERMUTED)}'[(((i - 1) % 8) * 10 + c::INT + 1)::INT]::INT)), lambda a, x: '{''.join(_PRODUCTS)}'[(a * 10 + x + 1)::INT]::INT) = 0"
 
 
 @query(f"WITH {_DIGITS} SELECT event_id, {_VERHOEFF} AS valid FROM v_digits")
@@ -156,7 +159,7 @@ def twin_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(swapped.cast("binary")).alias("digest"))
 
 
-@query(rf"WITH {_SAMPLE} SELECT doc_id, len(regexp_extract_all(text, '{text.CLAUSE}', 1))::INT AS clauses, len(regexp_extract_all(text, '{text.FIGURE}', 1))::INT AS figures FROM v_texts")
+@query(rf"WITH {_SAMPLE} SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:clause|section|article)\s+([0-9]+(?:\.[0-9]+)?)', 1))::INT AS clauses, len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_.])([0-9]+(?:,[0-9]{{2,3}})*(?:\.[0-9]+)?)', 1))::INT AS figures FROM v_texts")
 def cited_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.size(text.clauses(F.col("text"))).alias("clauses"), F.size(text.figures(F.col("text"))).alias("figures"))
 
