@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass import policy, schemas
@@ -105,6 +105,20 @@ def chosen(priced: DataFrame, key: str = "item_id", hard_rules: DataFrame | None
     )
 
 
+#: Three cases whose actions no adjustment of the policy may change.
+CONTRACTS = (
+    ("high_stakes_hold", 0.31, 40_000.0, "costly", "L4_hold"), ("low_stakes_repair", 0.31, 200.0, "reversible", "L2_repair"), ("low_risk_pass", 0.01, 200.0, "reversible", "L0_pass"),
+)
+
+
+def contract_actions(spark: SparkSession, adjustment: dict | None = None) -> DataFrame:
+    """(item_id, expected, action, kept) for each of the three cases under an adjustment of the policy."""
+    df = spark.createDataFrame([c for c in CONTRACTS], "item_id string, p double, impact_inr double, reversibility string, expected string")
+    items = df.withColumns({"probs": F.create_map(F.lit("ungrounded"), F.col("p")), "emitted": F.lit(False), "feasible_pass": F.lit(True)})
+    out = chosen(options(items, adjustment=adjustment)).select("item_id", "action").join(df.select("item_id", "expected"), "item_id")
+    return out.select("item_id", "expected", "action", (F.col("action") == F.col("expected")).alias("kept"))
+
+
 def break_even(impact: Column, reversibility: Column, book: dict = policy.POLICY, steps: int = 60) -> Column:
     """The least P(ungrounded) at which passing stops being cheapest, by bisection; neutral adjustment."""
     reverse = F.element_at(F.create_map(*[F.lit(x) for kv in book["reversibility"].items() for x in kv]), reversibility)

@@ -102,6 +102,17 @@ def sampled(key: Column, share: float, seed: int = 0) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256), 1, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32)))
 
 
+#: Fixed value: the largest share of requests that a judge may see.
+JUDGE_CEILING = 0.05
+
+
+def judge_sampled(key: Column, share: float, seed: int = 0) -> Column:
+    """A share of requests for the judge; a share above the ceiling is refused."""
+    if not 0.0 <= share <= JUDGE_CEILING:
+        raise ValueError(f"a judge sees at most {JUDGE_CEILING:.0%} of requests, not {share:.2%}")
+    return sampled(key, share, seed)
+
+
 def rows_digest(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """A digest of each key's rows in order: canonical JSON, a line a row."""
     line = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass import seams, storage, views
 from tallyglass.functions import stats
-from tallyglass.operators import detail, measure, retrieval, seeded
+from tallyglass.operators import decide, detail, measure, retrieval, seeded
 from tallyglass.plans.detail import _DIRECTIVES, _list
 from tallyglass.plans.trust import _JUDGED, _judged
 
@@ -121,3 +121,18 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be named in a configuration."""
     return spark.createDataFrame([(k, n) for k in seams.KINDS for n in seams.names(k)], "kind string, name string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'high_stakes_hold', 'L4_hold', 'L4_hold', true), (0, 'low_stakes_repair', 'L2_repair', 'L2_repair', true), (0, 'low_risk_pass', 'L0_pass', 'L0_pass', true),
+    (1, 'high_stakes_hold', 'L4_hold', 'L0_pass', false), (1, 'low_stakes_repair', 'L2_repair', 'L0_pass', false), (1, 'low_risk_pass', 'L0_pass', 'L0_pass', true)) AS t(adjusted, item_id, expected, action, kept)""")
+def contract_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three cases that no adjustment may change, under the shipped policy and under one that ignores stakes."""
+    careless = {"impact_scale": 0.001, "probability_deadband": 0.03, "nuisance_multiplier": 20.0}
+    shipped, other = decide.contract_actions(spark), decide.contract_actions(spark, careless)
+    return shipped.withColumn("adjusted", F.lit(0)).unionByName(other.withColumn("adjusted", F.lit(1)))
+
+
+@query("SELECT event_id FROM events WHERE ('0x' || left(sha256('7|' || event_id::VARCHAR), 8))::BIGINT < 85899345")
+def judge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two per cent of requests for the judge, chosen by hash: a sampling operator."""
+    return views.table(spark, sf_dir, "events").filter(detail.judge_sampled(F.col("event_id"), 0.02, 7)).select("event_id")

@@ -52,3 +52,11 @@ def test_few_documents_leave_the_last_families_short(spark):
     got = seeded.seeded_cases(docs).groupBy("family").count().collect()
     assert {r["family"]: r["count"] for r in got} == {"clean": 140, "induced": 11}
     assert seeded.seeded_cases(docs.limit(0)).count() == 0
+
+
+def test_a_judge_sees_few_requests():
+    from tallyglass.operators import detail
+
+    detail.judge_sampled(F.lit(1), 0.05)
+    with pytest.raises(ValueError, match="at most 5%"):
+        detail.judge_sampled(F.lit(1), 0.06)
