@@ -4,8 +4,8 @@
    kept: 64 signature values from 32 evaluations. Sixteen bands of four values (eight of minima, eight of maxima, always
    from four different permutations) meet for a pair of similarity 0.85 with probability 1 - 7e-6.
 2. Texts with one and the same set are one class (a fingerprint of the set); from here on a class is one node.
-3. In each band bucket the classes are compared with the one of the smallest doc_id, which copies tend to be copies of, on
-   their full sets. What links joins a component.
+3. In each band bucket the classes are compared with the oldest (of the smallest doc_id, unless said otherwise), which
+   copies tend to be copies of, on their full sets. What links joins a component.
 4. Buckets that still hold several components get the remaining pairs of different components. A shingle that no other
    class of such buckets has can't be in an intersection, which bounds the similarity of a pair exactly; only pairs that
    the bound lets pass are compared, again on full sets. No link between different texts is given up.
@@ -68,8 +68,8 @@ def _band_keys(shingles: np.ndarray, borders: np.ndarray, permutations: int) ->
     return np.stack(keys, 1)
 
 
-def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_sum, set_xor, bands) per row; bands is empty for a text without words."""
+def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS, oldest: str = "doc_id") -> DataFrame:
+    """(doc_id, text_key, age, n_shingles, set_sum, set_xor, bands) per row; bands is empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +86,15 @@ def signatures(docs: DataFrame, width: int = 5, permutations: int = PERMUTATIONS
                     keys = _band_keys(shingles, borders, permutations)
                 lengths = np.concatenate([[0], np.cumsum(full * keys.shape[1])])
                 bands = tokens.ragged(keys.ravel().view(np.int64), lengths, pa.int64())
-                columns = [piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_sum", "set_xor", "bands"])
+                columns = [piece.column(0), piece.column(2), piece.column(3), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "age", "n_shingles", "set_sum", "set_xor", "bands"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_sum long, set_xor long, bands array<long>")
+    return _texts(docs, F.col(oldest).cast("long").alias("age")).mapInArrow(run, "doc_id long, text_key long, age long, n_shingles long, set_sum long, set_xor long, bands array<long>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, *more: F.Column) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *more)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutations: int = PERMUTATIONS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutations: int = PERMUTATIONS, oldest: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked when their shingle sets reach ``percent`` per cent of similarity; a component is everything reachable
@@ -188,20 +188,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutat
     no shingles, links with nothing and is kept. A text of fewer than ``width`` words is one shingle. Rows repeated with
     one doc_id stay repeated; different texts under one doc_id are compared each. Rows with a null doc_id take part, but
     never name a component unless all of it has none; such rows are all kept. Other columns of docs are ignored. An empty
-    table gives no rows.
+    table gives no rows. ``oldest`` names the number whose smallest value leads a bucket; it changes the work, not the result.
     """
-    rows = common.stage(signatures(docs, width, permutations))
+    rows = common.stage(signatures(docs, width, permutations, oldest))
     fingerprint = ["n_shingles", "set_sum", "set_xor"]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     # a class has a number of its own, which is fixed once it is written
     classes = common.stage(
-        rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(one.alias("one"), F.first("bands").alias("bands"))
-        .select(*fingerprint, "bands", F.col("one.doc_id").alias("least"), F.col("one.text_key").alias("text_key"), F.monotonically_increasing_id().alias("rep"))
+        rows.filter("n_shingles > 0").groupBy(*fingerprint).agg(one.alias("one"), F.min("age").alias("age"), F.first("bands").alias("bands"))
+        .select(*fingerprint, "bands", "age", F.col("one.doc_id").alias("least"), F.col("one.text_key").alias("text_key"), F.monotonically_increasing_id().alias("rep"))
     )
-    spread = classes.select("rep", "least", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    oldest = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "rep"))["rep"]
-    leaders = spread.groupBy("key").agg(oldest.alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("key", "leader")
-    buckets = common.stage(spread.drop("least").join(leaders, "key"))
+    spread = classes.select("rep", "age", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    first = F.min(F.struct(F.col("age").isNull().alias("none"), "age", "rep"))["rep"]
+    leaders = spread.groupBy("key").agg(first.alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("key", "leader")
+    buckets = common.stage(spread.drop("age").join(leaders, "key"))
     needed = classes.join(buckets.select("rep").distinct(), "rep").select("rep", F.col("least").alias("doc_id"), "text_key")
     texts = _texts(docs.filter("text is not null")).alias("t")
     # the same join at every size: what is needed grows with the input

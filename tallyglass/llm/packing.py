@@ -67,15 +67,23 @@ def packed(
     columns are ignored; an empty table gives no rows. Groups have about GROUP_ROWS pieces, whatever ids, texts or clusters
     repeat; which rows meet in one follows from the order of the input.
     """
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    number = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("long")
+    own = F.xxhash64("text")
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        (F.xxhash64("text") if cluster is None else cluster.cast("long")).alias("cluster"), F.monotonically_increasing_id().alias("_row"),
-        *([F.col("text").cast("string").alias("text")] if with_text else []),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), own.alias("_text"),
+        (own if cluster is None else cluster.cast("long")).alias("cluster"), F.monotonically_increasing_id().alias("_row"), *([F.col("text").cast("string").alias("text")] if with_text else []),
     )
-    base = common.stage(base)  # row numbers are fixed from here on
-    number = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("long")
-    n_groups = max(1, (base.agg(F.sum(number)).first()[0] or 0) // GROUP_ROWS)
+    if with_text:
+        # texts are written only where rows are repeated so often that their copies need numbers, which writing fixes
+        seen = base.groupBy("doc_id", "_text").agg(F.count("*").alias("n"), F.sum(number).alias("pieces")).agg(F.max("n"), F.sum("pieces")).first()
+        crowded, n_pieces = (seen[0] or 0) > GROUP_ROWS // 4, seen[1] or 0
+        base = common.stage(base) if crowded else base.withColumn("_row", F.xxhash64("doc_id", "_text"))
+    else:
+        base = common.stage(base)
+        n_pieces = base.agg(F.sum(number)).first()[0] or 0
+    base = base.drop("_text")
+    n_groups = max(1, n_pieces // GROUP_ROWS)
     if clusters is not None:
         # rows of one doc_id count as one cluster here; its components are hashed apart from other clusters' values
         known = clusters.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_known"))

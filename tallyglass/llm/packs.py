@@ -20,7 +20,7 @@ from tallyglass.llm import common, tokens
 
 PACK_BYTES = 4 << 20
 #: Bytes of text for each bucket of keys; the number of buckets follows the input.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 24
 _U = np.uint64
 
 
