@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     numbered = common.stage(docs.filter("doc_id is not null").withColumn("_pipe_row", F.monotonically_increasing_id()))
     # at 0.8, 24 bands of four meet with probability 1 - 3e-6
-    found = minhash.near_duplicates(numbered.select(F.col("_pipe_row").alias("doc_id"), "text"), percent=80, width=5, permutations=48)
+    rows = numbered.select(F.col("_pipe_row").alias("doc_id"), "text", F.col("doc_id").alias("age"))
+    found = minhash.near_duplicates(rows, percent=80, width=5, permutations=48, oldest="age")
     found = found.select(F.col("doc_id").alias("_pipe_row"), "n_shingles", "component_id")
     ids = numbered.select("_pipe_row", "doc_id", F.xxhash64("text").alias("_text"))
     # texts without words have a component each: there only copies under one id are similar
