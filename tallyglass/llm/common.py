@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,6 +145,37 @@ def components(edges: DataFrame, a: str, b: str, most: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+#: Rows of vector_parts.
+PARTS = "part int, numbers binary"
+
+
+def vector_parts(vector: np.ndarray, size: int = 512) -> Iterator[pa.RecordBatch]:
+    """A task's vector as rows of a few KB."""
+    parts = [vector[at : at + size].tobytes() for at in range(0, len(vector), size)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "numbers"])
+
+
+def vector_sum(partials: DataFrame, length: int, kind: type, size: int = 512, tasks: int = 32) -> np.ndarray:
+    """The sum of the vectors that tasks handed out by vector_parts: summed in a few tasks first, so the driver gets ``tasks`` vectors at most."""
+
+    def add(total: np.ndarray, part: int, numbers: bytes) -> None:
+        total[part * size : part * size + len(numbers) // total.itemsize] += np.frombuffer(numbers, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(length, kind), False
+        for batch in batches:
+            for part, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                add(total, part, numbers)
+                some = True
+        if some:
+            yield from vector_parts(total, size)
+
+    total = np.zeros(length, kind)
+    for row in partials.repartition(tasks).mapInArrow(run, PARTS).collect():
+        add(total, row["part"], row["numbers"])
+    return total
+
+
 def words(text: str | Column) -> Column:
     """The array of words of a text, none for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import html, lm, minhash, mixing, packing, repeats, rules, sharding, vectors, warc
+from tallyglass.llm import html, lm, minhash, mixing, neighbours, packing, repeats, rules, sharding, spelling, vectors, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,19 @@ def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame
     return sharding.sharded(_table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op11_neighbour_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neighbours.scored(docs, neighbours.learn(docs, _table(spark, sf_dir, "labels")), good_from=0.7)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op13_automaton_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), shortest=6, least=5, factor=5)
+
+
 QUERIES = {
     "op1_mincut_main_text": op1_mincut_main_text,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -69,8 +82,22 @@ QUERIES = {
     "op8_cover_anchor_repeats": op8_cover_anchor_repeats,
     "op9_multi_index_near_vectors": op9_multi_index_near_vectors,
     "op10_label_propagation_shards": op10_label_propagation_shards,
+    "op11_neighbour_vote_quality": op11_neighbour_vote_quality,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_automaton_spelling_variants": op13_automaton_spelling_variants,
 }
 
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of the reflected CRC-32 polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
 #: A-Z in lower case, and nothing else.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -117,4 +144,35 @@ SQL = {
         k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
         SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
         FROM v JOIN c ON c.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
+    "op13_automaton_spelling_variants": f"""
+        WITH RECURSIVE r AS MATERIALIZED (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY 1, 2),
+        h AS MATERIALIZED (
+            SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+                lambda a, b: xor(a >> 8, list_extract({_crc_table()}, xor(a & 255, b) + 1)::BIGINT))) AS h
+            FROM r),
+        w AS MATERIALIZED (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        d AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+        e AS MATERIALIZED (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM d a JOIN w b ON a.less = b.word
+            UNION SELECT b.word, a.word, a.n FROM d a JOIN w b ON a.less = b.word),
+        b AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM e GROUP BY word),
+        f AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+                CASE WHEN b.most >= 5 * w.n THEN (SELECT min(e.near) FROM e WHERE e.word = w.word AND e.near_n = b.most) END AS form,
+                CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n
+            FROM w LEFT JOIN b ON b.word = w.word),
+        up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL),
+        top AS (SELECT up.word, up.at AS root FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+        SELECT f.word, f.form, top.root, f.n, f.n_near, f.form_n FROM f JOIN top ON top.word = f.word""",
 }

@@ -18,7 +18,8 @@ def test_query_matches_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     expected = con.sql(f"SELECT {', '.join(names)} FROM ({queries.SQL[name]})").fetchall()
-    assert sorted(map(tuple, df.select(*names).collect())) == sorted(expected)
+    key = lambda row: [(v is not None, v) for v in row]
+    assert sorted(map(tuple, df.select(*names).collect()), key=key) == sorted(expected, key=key)
 
 
 def test_pipeline(spark):
