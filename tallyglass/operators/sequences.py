@@ -26,6 +26,17 @@ def rework_edges(turns: DataFrame, least: float = 0.9, window_s: int = WINDOW_S,
     last = turns.withColumn("_prev", F.lag(F.struct("request_id", "ts", "question")).over(order))
     raised = turns.filter("raised_hold is not null").groupBy("session_id", F.col("raised_hold").alias("resolves_hold")).agg(F.max_by("request_id", F.struct("ts", "request_id")).alias("_raiser"))
     both = last.join(raised, ["session_id", "resolves_hold"], "left")
+    return _edges(both, least, window_s, review_inr)
+
+
+def edges_of_pairs(pairs: DataFrame, least: float = 0.9, window_s: int = WINDOW_S, review_inr: float = policy.POLICY["review_cost_inr"]) -> DataFrame:
+    """rework_edges() where each turn comes with the one before it (prev_request_id, prev_ts, prev_question, prev_raised_hold)."""
+    previous = F.when(F.col("prev_request_id").isNotNull(), F.struct(F.col("prev_request_id").alias("request_id"), F.col("prev_ts").alias("ts"), F.col("prev_question").alias("question")))
+    raiser = F.when(F.col("prev_raised_hold") == F.col("resolves_hold"), F.col("prev_request_id"))
+    return _edges(pairs.withColumns({"_prev": previous, "_raiser": raiser}), least, window_s, review_inr)
+
+
+def _edges(both: DataFrame, least: float, window_s: int, review_inr: float) -> DataFrame:
     resolved = F.col("_raiser").isNotNull() & (F.col("_raiser") != F.col("request_id"))
     gap = F.col("ts") - F.col("_prev.ts")
     score = F.round(text.session_similarity(F.col("question"), F.col("_prev.question")), 9)

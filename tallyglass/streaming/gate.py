@@ -93,10 +93,15 @@ def segmented(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("request_id").applyInPandas(run, "request_id long, idx int, sentence string")
 
 
-def gated(chunks: DataFrame, block: str = r"(?i)ignore (?:all )?previous", hold: str = r"\b[0-9]{12}\b") -> DataFrame:
-    """(request_id, idx, kind, text): sentences released, withheld or ended by two patterns."""
+def by_patterns(block: str = r"(?i)ignore (?:all )?previous", hold: str = r"\b[0-9]{12}\b") -> Callable[[str], str]:
+    """An action for a sentence by two patterns."""
     blocks, holds = re.compile(block), re.compile(hold)
-    decide = lambda s: "L5_block" if blocks.search(s) else "L4_hold" if holds.search(s) else "L0_pass"
+    return lambda s: "L5_block" if blocks.search(s) else "L4_hold" if holds.search(s) else "L0_pass"
+
+
+def gated(chunks: DataFrame, decide: Callable[[str], str] | None = None) -> DataFrame:
+    """(request_id, idx, kind, text): sentences released, withheld or ended by a function, or by the two patterns."""
+    decide = decide or by_patterns()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, sentences = Segmenter(), []
