@@ -47,41 +47,44 @@ def options(items: DataFrame, book: dict = policy.POLICY, adjustment: dict | Non
     """items with _options: for each action, in ladder order, the four terms of its loss, its total and whether it can be taken.
 
     Needs impact_inr, reversibility, probs (a map of defect to probability), emitted and feasible_pass (booleans). Actions
-    and efficacies are literals, so nothing is joined and nothing shuffles.
+    and efficacies are literals, so nothing is joined and nothing shuffles; a defect that the policy doesn't know counts nothing.
     """
     a = adjustment or book["decision_adjustment"]
-    table = [
-        (act, i, float(book["nuisance_inr"][act]), float(book["compute_tokens"][act]), float(book["review_cost_inr"]) if act in ("L4_hold", "L5_block") else 0.0, float(book["latency_ms"][act]))
-        for i, act in enumerate(schemas.ACTIONS)
-    ]
-    names = ("action", "ladder", "nuisance_inr", "compute_tokens", "review_inr", "latency_ms")
-    acts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in table])
-    effect = F.create_map(*[x for act, row in book["efficacy"].items() for d, v in row.items() for x in (F.lit(f"{act}|{d}"), F.lit(float(v)))])
-    factor = F.create_map(*[F.lit(x) for kv in book["defect"].items() for x in kv])
-    reverse = F.create_map(*[F.lit(x) for kv in book["reversibility"].items() for x in kv])
-    live = F.transform(F.map_entries("probs"), lambda e: F.struct(e["key"].alias("d"), F.greatest(F.lit(0.0), e["value"] - a["probability_deadband"]).alias("p")))
-    rows = items.withColumn("_live", live).withColumn("_any", 1 - F.aggregate("_live", F.lit(1.0), lambda acc, e: acc * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["p"])))))
-
-    def option(act: Column) -> Column:
-        harm = F.aggregate(
-            "_live", F.lit(0.0),
-            lambda acc, e: acc + e["p"] * F.col("impact_inr") * a["impact_scale"] * F.element_at(factor, e["d"]) * F.element_at(reverse, F.col("reversibility")) * (1 - F.coalesce(F.try_element_at(effect, F.concat_ws("|", act["action"], e["d"])), F.lit(0.0))),
+    p = {d: F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("probs", F.lit(d)), F.lit(0.0)) - a["probability_deadband"]) for d in book["defect"]}
+    reverse = F.coalesce(*[F.when(F.col("reversibility") == r, F.lit(float(x))) for r, x in book["reversibility"].items()])
+    rows = items.withColumns({f"_p_{d}": c for d, c in p.items()} | {"_reverse": reverse})
+    clean = F.lit(1.0)
+    for d in p:
+        clean = clean * (1 - F.least(F.lit(1.0), F.col(f"_p_{d}")))
+    harms = {f"_h_{d}": F.col(f"_p_{d}") * F.col("impact_inr") * a["impact_scale"] * float(book["defect"][d]) * F.col("_reverse") for d in p}
+    rows = rows.withColumns({"_any": 1 - clean} | harms)
+
+    def option(i: int, act: str) -> Column:
+        harm = F.lit(0.0)
+        for d in p:
+            harm = harm + F.col(f"_h_{d}") * (1 - float(book["efficacy"].get(act, {}).get(d, 0.0)))
+        nuisance = (1 - F.col("_any")) * float(book["nuisance_inr"][act]) * a["nuisance_multiplier"]
+        compute = F.lit(float(book["compute_tokens"][act]) * book["price_inr_per_1k_tokens"] / 1000 + (float(book["review_cost_inr"]) if act in ("L4_hold", "L5_block") else 0.0))
+        latency = F.lit(book["lambda_time_inr_per_second"] * float(book["latency_ms"][act]) / 1000)
+        available = F.lit(True)
+        if act in ("L2_repair", "L3_reroute", "L5_block"):
+            available = available & ~F.col("emitted")
+        if act == "L0_pass":
+            available = available & F.col("feasible_pass")
+        return F.struct(
+            F.lit(act).alias("action"), F.lit(i).alias("ladder"), harm.alias("residual_harm"), nuisance.alias("nuisance"), compute.alias("compute"), latency.alias("latency"),
+            (harm + nuisance + compute + latency).alias("total"), available.alias("available"),
         )
-        nuisance = (1 - F.col("_any")) * act["nuisance_inr"] * a["nuisance_multiplier"]
-        compute = act["compute_tokens"] * book["price_inr_per_1k_tokens"] / 1000 + act["review_inr"]
-        latency = F.lit(book["lambda_time_inr_per_second"]) * act["latency_ms"] / 1000
-        available = ~(F.col("emitted") & act["action"].isin("L2_repair", "L3_reroute", "L5_block")) & (F.col("feasible_pass") | (act["action"] != "L0_pass"))
-        terms = F.struct(harm.alias("residual_harm"), nuisance.alias("nuisance"), compute.alias("compute"), latency.alias("latency"))
-        total = lambda t: t["residual_harm"] + t["nuisance"] + t["compute"] + t["latency"]
-        bound = F.get(F.transform(F.array(terms), lambda t: F.struct(act["action"].alias("action"), act["ladder"].alias("ladder"), t["residual_harm"].alias("residual_harm"), t["nuisance"].alias("nuisance"), t["compute"].alias("compute"), t["latency"].alias("latency"), total(t).alias("total"), available.alias("available"))), F.lit(0))
-        return bound
 
-    return rows.withColumn("_options", F.transform(acts, option)).drop("_live", "_any")
+    every = F.array(*[option(i, act) for i, act in enumerate(schemas.ACTIONS)])
+    return rows.withColumn("_options", every).drop("_reverse", "_any", *[f"_{x}_{d}" for x in "ph" for d in p])
 
 
 def priced_actions(items: DataFrame, key: str = "item_id", book: dict = policy.POLICY, adjustment: dict | None = None) -> DataFrame:
     """Six rows for each item: the four terms of each action's loss, its total and whether it can be taken."""
-    return options(items, book, adjustment).select(key, F.inline("_options"))
+    # one column an action first: exploding them in the same step would make one function of all
+    rows = options(items, book, adjustment).select(key, *[F.get("_options", F.lit(i)).alias(f"_a{i}") for i in range(len(schemas.ACTIONS))])
+    return rows.select(key, F.explode(F.array(*[f"_a{i}" for i in range(len(schemas.ACTIONS))])).alias("_o")).select(key, "_o.*")
 
 
 def chosen(priced: DataFrame, key: str = "item_id", hard_rules: DataFrame | None = None) -> DataFrame:
@@ -92,9 +95,16 @@ def chosen(priced: DataFrame, key: str = "item_id", hard_rules: DataFrame | None
     if "_options" not in priced.columns:
         names = [c for c in priced.columns if c not in (key, "ladder")]
         priced = priced.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ladder", *names))).alias("_options"))
-    open_ = F.array_sort(F.transform(F.filter("_options", lambda o: o["available"]), lambda o: F.struct(o["total"].alias("total"), o["ladder"].alias("ladder"), o["action"].alias("action"))))
-    best = priced.select(key, open_.alias("o"), "_options")
-    out = best.select(key, F.get("o", F.lit(0))["action"].alias("cheapest"), F.get("o", F.lit(0))["total"].alias("cheapest_loss"), F.get("o", F.lit(1))["action"].alias("runner_up"), (F.get("o", F.lit(1))["total"] - F.get("o", F.lit(0))["total"]).alias("margin"), "_options")
+    # six columns instead of an array that is sorted: unavailable ones are null, which least() leaves out
+    at = [F.get("_options", F.lit(i)) for i in range(len(schemas.ACTIONS))]
+    each = [F.when(o["available"], F.struct(o["total"].alias("total"), o["ladder"].alias("ladder"), o["action"].alias("action"))) for o in at]
+    best = priced.select(key, "_options", *[c.alias(f"_o{i}") for i, c in enumerate(each)]).withColumn("_first", F.least(*[f"_o{i}" for i in range(len(each))]))
+    later = [F.when(F.col(f"_o{i}.ladder") != F.col("_first.ladder"), F.col(f"_o{i}")) for i in range(len(each))]
+    best = best.withColumn("_second", F.least(*later))
+    out = best.select(
+        key, F.col("_first.action").alias("cheapest"), F.col("_first.total").alias("cheapest_loss"), F.col("_second.action").alias("runner_up"),
+        (F.col("_second.total") - F.col("_first.total")).alias("margin"), "_options",
+    )
     if hard_rules is None:
         return out.select(key, F.col("cheapest").alias("action"), F.col("cheapest_loss").alias("chosen_loss"), "runner_up", "margin")
     rule = hard_rules.withColumn("_r", schemas.rank("rule_action", schemas.ACTIONS)).groupBy(key).agg(F.max_by(F.struct("rule", "rule_action", "_r"), F.col("_r")).alias("h"))

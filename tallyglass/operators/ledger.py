@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass import policy
-from tallyglass.functions import stats
+from tallyglass.functions import folds, stats
 
 
 def priced(requests: DataFrame, prices: DataFrame, model: str = "model", longest: bool = False) -> DataFrame:
@@ -109,11 +109,15 @@ def ledger_summary(requests: DataFrame) -> DataFrame:
 
 
 def rolling_p95(requests: DataFrame, rows: int = 200) -> DataFrame:
-    """Nearest-rank p95 of the last rows of each tenant."""
-    last = Window.partitionBy("tenant").orderBy("ts", "request_id").rowsBetween(-(rows - 1), 0)
-    values = F.sort_array(F.collect_list("overhead_ms").over(last))
-    at = F.get(values, F.bround(F.lit(0.95) * (F.size(values) - 1)).cast("int"))
-    return requests.select("tenant", "request_id", at.alias("p95_ms"))
+    """Nearest-rank p95 of the last rows of each tenant; a tenant with all rows is spread over as many tasks as any other."""
+    placed = folds.placed(requests.select("tenant", "request_id", "ts", "overhead_ms"), ["tenant"], ["ts", "request_id"])
+    return folds.looking_back(placed, ["tenant"], rows, p95_of_last(rows).alias("p95_ms")).select("tenant", "request_id", "p95_ms")
+
+
+def p95_of_last(rows: int) -> Column:
+    """Nearest-rank p95 of overhead_ms over the row and those before it, for folds.looking_back()."""
+    values = F.sort_array(F.collect_list("overhead_ms").over(folds.back(rows)))
+    return F.get(values, F.bround(F.lit(0.95) * (F.size(values) - 1)).cast("int"))
 
 
 def unpriced(requests: DataFrame, prices: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyglass.functions import stats
+from tallyglass import storage
+from tallyglass.functions import folds, stats
 
 BINS, STEP = 10, 0.005
 WARMUP, SAFETY, MU0, ALPHA = 10, 0.5, 0.05, 0.05
@@ -68,17 +69,23 @@ def threshold_sweep(scored: DataFrame, alpha: float, delta: float, p: str = "p",
 
 
 def evalues(rows: DataFrame, keys: list[str], order: list[str], x: str = "x", mu0: float = MU0, warmup: int = WARMUP, safety: float = SAFETY, alpha: float = ALPHA) -> DataFrame:
-    """A betting martingale per key: bets from strictly earlier rows, its value, running maximum, p-value and latched alert."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """A betting martingale per key: bets from strictly earlier rows, its value, running maximum, p-value and latched alert.
+
+    ``order`` has to tell a key's rows apart. A key's rows are folded in blocks, so one key may hold all rows.
+    """
     value = F.col(x).cast("double")
-    n, s, q = F.count(x).over(before), F.sum(value).over(before), F.sum(value * value).over(before)
-    prior = rows.withColumns({"_n": n, "_m": s / n, "_q": q / n})
+    counted = {"_n": ("sum", F.when(value.isNotNull(), 1).otherwise(0)), "_s": ("sum", value), "_q": ("sum", value * value)}
+    prior = folds.running(folds.placed(rows, keys, order), keys, counted, inclusive=False)
+    mean, square = F.col("_s") / F.nullif(F.col("_n"), F.lit(0)), F.col("_q") / F.nullif(F.col("_n"), F.lit(0))
+    prior = prior.withColumns({"_m": mean, "_q": square})
     excess, spread = F.col("_m") - mu0, F.greatest(F.lit(1e-12), F.col("_q") - F.col("_m") ** 2)
     bet = F.when((F.col("_n") < warmup) | (excess <= 0), 0.0).otherwise(F.least(excess / (spread + excess * excess), F.lit(safety / mu0)))
-    stepped = prior.withColumn("bet", bet).withColumn("e_value", F.exp(F.sum(F.ln(1 + F.col("bet") * (value - mu0))).over(upto)))
-    out = stepped.withColumn("max_e", F.greatest(F.lit(1.0), F.max("e_value").over(upto)))
-    return out.withColumns({"t": F.col("_n") + 1, "p_value": stats.always_valid_p(F.col("max_e")), "alerted": F.col("max_e") >= 1 / alpha}).drop("_n", "_m", "_q")
+    stepped = storage.stage(prior.withColumn("bet", bet).withColumn("_step", F.ln(1 + F.col("bet") * (value - mu0))))
+    summed = storage.stage(folds.running(stepped, keys, {"_log": ("sum", F.col("_step"))}))
+    out = folds.running(summed, keys, {"_most": ("max", F.col("_log"))})
+    out = out.withColumns({"e_value": F.exp("_log"), "max_e": F.greatest(F.lit(1.0), F.exp("_most")), "t": F.col("_n") + 1})
+    out = out.withColumns({"p_value": stats.always_valid_p(F.col("max_e")), "alerted": F.col("max_e") >= 1 / alpha})
+    return out.select(*rows.columns, "bet", "e_value", "max_e", "t", "p_value", "alerted")
 
 
 def agreement(rows: DataFrame, sets: list[list[str]]) -> DataFrame:

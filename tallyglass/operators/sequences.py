@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyglass import policy, schemas
-from tallyglass.functions import text
+from tallyglass import policy, schemas, storage
+from tallyglass.functions import folds, text
+from tallyglass.operators import ledger
 
 #: How sure each kind of rework is, and the window of a retry in seconds.
 CONFIDENCE = {"human_escalation": 1.0, "regenerate": 0.95, "retry": 0.9}
@@ -125,7 +123,13 @@ def step_governor(state: int, recent: list[float], breaker_open: bool = False) -
     if len(recent) < ENOUGH:
         return state
     ordered = sorted(recent)
-    p95 = ordered[min(len(ordered) - 1, round(0.95 * (len(ordered) - 1)))]
+    return _governed(state, ordered[min(len(ordered) - 1, round(0.95 * (len(ordered) - 1)))])
+
+
+def _governed(state: int, p95: float | None) -> int:
+    """The next state by the p95 of the rows looked back on; with too few of them there is none."""
+    if p95 is None or p95 != p95:
+        return state
     target = max((s for s, t in LADDER if p95 >= t), default=0)
     if target > state:
         return target
@@ -133,14 +137,14 @@ def step_governor(state: int, recent: list[float], breaker_open: bool = False) -
 
 
 def governor_trace(rows: DataFrame, key: str) -> DataFrame:
-    """State after every overhead of a deployment; the path depends on all before, so a deployment's rows are folded in order."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, recent, out = 0, deque(maxlen=LOOK_BACK), []
-        for ms in pdf.sort_values(["ts", "request_id"]).overhead_ms:
-            recent.append(ms)
-            state = step_governor(state, list(recent))
-            out.append(schemas.GOVERNOR[state])
-        return pdf.sort_values(["ts", "request_id"]).assign(state=out)[[key, "request_id", "state"]]
-
-    return rows.select(key, "request_id", "ts", "overhead_ms").groupBy(key).applyInPandas(run, f"{key} long, request_id long, state string")
+    """State after every overhead of a deployment.
+
+    The path depends on all rows before; as there are five states, blocks of rows become maps of states that are composed, so
+    one deployment may hold all rows.
+    """
+    placed = folds.placed(rows.select(key, "request_id", "ts", "overhead_ms"), [key], ["ts", "request_id"])
+    enough = F.count("overhead_ms").over(folds.back(LOOK_BACK)) >= ENOUGH
+    seen = folds.looking_back(placed, [key], LOOK_BACK, F.when(enough, ledger.p95_of_last(LOOK_BACK)).alias("p95"))
+    traced = folds.run_machine(storage.stage(seen), [key], len(schemas.GOVERNOR), _governed, "p95", "_state")
+    return traced.select(key, "request_id", schemas.at_rank(F.col("_state"), schemas.GOVERNOR).alias("state"))
 
