@@ -37,13 +37,14 @@ def placed(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     counts = kept.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    joined = kept.alias("a").join(starts.alias("b"), _same([*keys, "_range"]))
+    joined = kept.alias("a").join(starts.alias("b"), same([*keys, "_range"]))
     at = F.col("a._id") - F.col("b._first") + F.col("b._from")
     out = joined.select(*[F.col(f"a.{c}") for c in rows.columns], at.alias("_at"))
     return out.withColumn("_block", F.floor(F.col("_at") / BLOCK))
 
 
-def _same(names: list[str]) -> Column:
+def same(names: list[str]) -> Column:
+    """Rows a and b that agree in some columns, nulls too."""
     on = F.lit(True)
     for name in names:
         on = on & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
@@ -62,7 +63,7 @@ def running(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Colum
     starts = blocks.select(*keys, "_block", *[how[kind](f"_b_{name}").over(earlier).alias(f"_s_{name}") for name, (kind, _) in values.items()])
     within = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     inner = each.withColumns({f"_w_{name}": how[kind](f"_v_{name}").over(within) for name, (kind, _) in values.items()})
-    joined = inner.alias("a").join(starts.alias("b"), _same([*keys, "_block"]))
+    joined = inner.alias("a").join(starts.alias("b"), same([*keys, "_block"]))
 
     def whole(name: str, kind: str) -> Column:
         start, own = F.col(f"b._s_{name}"), F.col(f"a._w_{name}")
@@ -114,7 +115,7 @@ def run_machine(placed_rows: DataFrame, keys: list[str], states: int, step: Call
         return pdf.drop(columns="_map").assign(_start=out)
 
     begun = mapped.groupBy(*keys).applyInPandas(starts, f"{key_fields}, _block long, _start int")
-    joined = placed_rows.alias("a").join(begun.alias("b"), _same([*keys, "_block"])).select("a.*", "b._start")
+    joined = placed_rows.alias("a").join(begun.alias("b"), same([*keys, "_block"])).select("a.*", "b._start")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")

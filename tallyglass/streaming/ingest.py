@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tallyglass import schemas
+from tallyglass import schemas, storage
 from tallyglass.operators import ledger
 
 LINE = (
@@ -103,17 +103,7 @@ def write_batch(lines: DataFrame, batch: int, root: str, limits: Limits = Limits
 
 
 def _put(spark: SparkSession, path: str, record: dict) -> None:
-    """A small file in any store that Spark knows; it is there whole or not at all, as it is renamed last."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    final, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0] + "/." + path.rsplit("/", 1)[1] + ".part")
-    store = final.getFileSystem(conf)
-    out = store.create(part, True)
-    out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
-    out.close()
-    if store.exists(final):
-        store.delete(final, False)
-    if not store.rename(part, final):
-        raise OSError(f"{path} could not be written")
+    storage.put(spark, path, json.dumps(record, sort_keys=True))
 
 
 def lines_in(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
