@@ -106,11 +106,11 @@ def retrieved_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.top_domain(e, "user_id", "event_id")
 
 
-@query(f"""WITH c AS (SELECT user_id, {_at(views.TOOLS, 'event_id % 5')} AS tool FROM events WHERE event_id % 5 <> 3 OR user_id % 4 = 0),
+@query(f"""WITH c AS (SELECT user_id, {_at(views.TOOLS, 'event_id % 5')} AS tool FROM events),
     k AS (SELECT user_id, tool, CASE tool WHEN 'lookup_balance' THEN 0 WHEN 'raise_ticket' THEN 1 WHEN 'send_email' THEN 2 WHEN 'transfer_funds' THEN 2 ELSE 1 END AS r FROM c),
     b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, tool) AS n FROM (SELECT DISTINCT * FROM k)) SELECT user_id, tool, ['reversible', 'costly', 'irreversible'][r + 1] AS reversibility FROM b WHERE n = 1""")
 def worst_reachable_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "events").filter("event_id % 5 <> 3 or user_id % 4 = 0").select("user_id", views.pick(views.TOOLS, F.col("event_id") % 5).alias("tool"))
+    e = views.table(spark, sf_dir, "events").select("user_id", views.pick(views.TOOLS, F.col("event_id") % 5).alias("tool"))
     return control.worst_tool(e, "user_id", policy.tools(spark).select("tool", "reversibility"))
 
 
@@ -381,11 +381,11 @@ def items_still_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fragments(spark, sf_dir).select("doc_id").join(views.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""SELECT a.doc_id AS item_id, b.doc_id AS partner_id, b.source AS partner_source FROM (SELECT doc_id, doc_id - 1 AS contradicts FROM documents WHERE doc_id % 7 = 3) a JOIN documents b ON b.doc_id = a.contradicts""")
+@query("""SELECT a.doc_id AS item_id, b.doc_id AS partner_id, b.source AS partner_source FROM (SELECT doc_id, doc_id - 1 AS contradicts FROM documents) a JOIN documents b ON b.doc_id = a.contradicts""")
 def contradiction_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents").select("doc_id", "source")
     partner = d.select(F.col("doc_id").alias("partner_id"), F.col("source").alias("partner_source"))
-    return d.filter("doc_id % 7 = 3").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") - 1).alias("partner_id")).join(partner, "partner_id").select("item_id", "partner_id", "partner_source")
+    return d.select(F.col("doc_id").alias("item_id"), (F.col("doc_id") - 1).alias("partner_id")).join(partner, "partner_id").select("item_id", "partner_id", "partner_source")
 
 
 @query("""WITH k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM documents), s AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source) - 1 AS d FROM documents GROUP BY 1),
@@ -430,10 +430,10 @@ def splits_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg((F.count("*") == 0).alias("disjoint"))
 
 
-@query("""WITH s AS (SELECT user_id % 6 AS candidate, event_id % 10 AS seed FROM events WHERE NOT (user_id % 6 = 4 AND event_id % 10 = 9)), n AS (SELECT count(DISTINCT seed) AS n FROM s) SELECT candidate, count(DISTINCT seed) = any_value(n.n) AS complete FROM s, n GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id % 60 AS candidate, json_extract_string(props, '$.k')::BIGINT AS seed FROM events), n AS (SELECT count(DISTINCT seed) AS n FROM s) SELECT candidate, count(DISTINCT seed) = any_value(n.n) AS complete FROM s, n GROUP BY 1""")
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each candidate ran with all seeds that any candidate ran with."""
-    s = views.table(spark, sf_dir, "events").select((F.col("user_id") % 6).alias("candidate"), (F.col("event_id") % 10).alias("seed")).filter("not (candidate = 4 and seed = 9)").distinct()
+    s = views.table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("candidate"), F.get_json_object("props", "$.k").cast("long").alias("seed")).distinct()
     n = s.agg(F.count_distinct("seed")).first()[0]
     return s.groupBy("candidate").agg((F.count("*") == n).alias("complete"))
 
@@ -453,10 +453,10 @@ def repeated_item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.repeated_ids(e, "item_id")
 
 
-@query(views.sql("""SELECT request_id, round(CASE WHEN k % 10 = 0 THEN 0 ELSE overhead_ms * 0.5 + k END, 6)::DOUBLE AS attributed_ms, round(greatest(0, overhead_ms - CASE WHEN k % 10 = 0 THEN 0 ELSE overhead_ms * 0.5 + k END), 6)::DOUBLE AS unattributed_ms FROM v_requests""", "v_requests"))
+@query(views.sql("""SELECT request_id, round(overhead_ms * 0.5 + k, 6)::DOUBLE AS attributed_ms, round(greatest(0, overhead_ms - (overhead_ms * 0.5 + k)), 6)::DOUBLE AS unattributed_ms FROM v_requests""", "v_requests"))
 def lane_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requests(spark, sf_dir)
-    lanes = r.filter("k % 10 <> 0").select("request_id", F.explode(F.array(F.struct(F.lit("a").alias("lane"), (F.col("overhead_ms") * 0.5).alias("ms")), F.struct(F.lit("b").alias("lane"), F.col("k").cast("double").alias("ms")))).alias("x")).select("request_id", "x.*")
+    lanes = r.select("request_id", F.explode(F.array(F.struct(F.lit("a").alias("lane"), (F.col("overhead_ms") * 0.5).alias("ms")), F.struct(F.lit("b").alias("lane"), F.col("k").cast("double").alias("ms")))).alias("x")).select("request_id", "x.*")
     return control.unattributed(lanes, r.select("request_id", "overhead_ms"), "request_id")
 
 

@@ -122,11 +122,11 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.judge_agreement(j)
 
 
-@query(views.sql("""WITH a AS (SELECT domain, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM v_requests WHERE request_id % 2 = 0 AND domain <> 'fees' GROUP BY 1), b AS (SELECT domain, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM v_requests WHERE request_id % 2 = 1 AND domain <> 'claims' GROUP BY 1)
+@query(views.sql("""WITH a AS (SELECT domain, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM v_requests WHERE event_type <> 'error' GROUP BY 1), b AS (SELECT domain, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM v_requests WHERE event_type = 'error' GROUP BY 1)
     SELECT coalesce(a.domain, b.domain) AS domain, round(coalesce(b.s, 0) - coalesce(a.s, 0), 4) AS shift FROM a FULL JOIN b ON a.domain = b.domain""", "v_requests"))
 def input_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requests(spark, sf_dir)
-    return measure.input_shift(r.filter("request_id % 2 = 0 AND domain <> 'fees'"), r.filter("request_id % 2 = 1 AND domain <> 'claims'"), "domain")
+    return measure.input_shift(r.filter("event_type <> 'error'"), r.filter("event_type = 'error'"), "domain")
 
 
 @query(views.sql(f"""WITH e AS (SELECT source, sum(n * abs(mp - my)) / sum(n) AS ece, sum(n)::BIGINT AS n FROM (SELECT source, {_BIN} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM v_scored GROUP BY 1, 2) GROUP BY 1)
