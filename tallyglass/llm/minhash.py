@@ -5,14 +5,15 @@
    from four different permutations) meet for a pair of similarity 0.85 with probability 1 - 7e-6.
 2. Texts with one and the same set are one class (a fingerprint of the set); from here on a class is one node.
 3. In each band bucket the classes are compared with the oldest (of the smallest doc_id, unless said otherwise), which
-   copies tend to be copies of, on their full sets. What links joins a component.
-4. Buckets that still hold several components get the remaining pairs of different components. A shingle that no other
-   class of such buckets has can't be in an intersection, which bounds the similarity of a pair exactly; only pairs that
-   the bound lets pass are compared, again on full sets. No link between different texts is given up.
-
-Cost: a bucket's first comparison is linear. In step 4 only classes outside a bucket's largest component ask all its
-classes, so a bucket that is one component but for a few costs about as many looks as it has classes; both sides are cut
-into blocks of at most about BLOCK classes, so that no task holds a whole bucket. Only pairs within the bound are emitted.
+   copies tend to be copies of, on their full sets. What links joins a component. Where a bucket still holds several
+   components, its classes are compared with the most central one too: the one of whose shingles most are also others'.
+4. Buckets that hold several components even then get the remaining pairs of different components, by a prefix filter: with
+   each set ordered by how many classes have a shingle, rare ones first, two similar sets share a shingle in front, at places
+   that bound the similarity exactly. Pairs within the bound are compared, again on full sets. No link is given up.
+
+Cost: a bucket's comparisons with two leaders are linear. In step 4 only classes outside a shingle's largest component ask the
+classes that have it in front; both sides are cut into blocks of at most about BLOCK classes, so that no task holds all that
+have a shingle. Near copies of a text that is not there itself, of which each is just not similar to the others, still meet.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyglass.llm import common, tokens
 
@@ -130,18 +132,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _within_bound(n: str, m: str, na: str, nb: str, percent: int) -> F.Column:
-    """Whether sets of na and nb shingles, of which n and m can be shared at most, can reach the similarity."""
-    both = F.least(n, m)
-    return 100 * both >= percent * (F.col(na) + F.col(nb) - both)
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, rep, n, bands, component) of the buckets that hold several components."""
+    labelled = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
+    return labelled.join(several, "key").select("key", "rep", "n", "bands", "component")
 
 
-def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that can still be similar; each pair once."""
-    labelled = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
-    open_ = common.stage(labelled.join(mixed, "key"))
-    involved = open_.select("rep").distinct()
+def _shared(sets: DataFrame, involved: DataFrame) -> DataFrame:
+    """(rep, shingle, df): the shingles that several of some classes have, with the number of classes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,33 +150,54 @@ def _remaining(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent:
                 values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in piece.column(1)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(), sizes)), pa.array(values)], names=["rep", "shingle"])
 
-    shared = (
-        sets.join(involved, "rep").mapInArrow(spread, "rep long, shingle long")
-        .groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
-        .filter("n = 1").groupBy("rep").agg(F.count("*").alias("lone"))
-    )
-    # what a set can share with others must reach percent of the set itself
-    alive = (
-        open_.join(shared, "rep", "left").withColumn("can", F.col("n") - F.coalesce("lone", F.lit(0)))
-        .filter(100 * F.col("can") >= percent * F.col("n")).select("key", "rep", "n", "can", "component", "bands", "band")
-    )
-    # how many classes of a bucket ask and answer, and its largest component, whose classes needn't ask
-    by_component = alive.groupBy("key", "component").agg(F.count("*").alias("_c"))
-    buckets_ = by_component.groupBy("key").agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "component"))["component"].alias("_largest"), F.max("_c").alias("_most")).filter("_all > _most")
-    known = common.stage(alive.join(buckets_, "key"))
+    rows = sets.join(involved, "rep").mapInArrow(spread, "rep long, shingle long")
+    several = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    return rows.join(several, "shingle").select("rep", "shingle", "df")
+
+
+def _with_central(mixed: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs of each bucket's classes with its most central one, of which the largest part is shared with other classes."""
+    own = shared.groupBy("rep").agg(F.count("*").alias("_shared"))
+    rows = mixed.select("key", "rep", "n", "component").join(own, "rep", "left").withColumn("_lone", 1 - F.coalesce("_shared", F.lit(0)) / F.col("n"))
+    central = rows.groupBy("key").agg(F.min(F.struct("_lone", "rep", "component")).alias("_c")).select("key", F.col("_c.rep").alias("leader"), F.col("_c.component").alias("_of"))
+    met = rows.select("key", "rep", "component").join(central, "key").filter("component <> _of")
+    return met.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+
+
+def _needed(a: str, b: str, percent: int) -> F.Column:
+    """Shingles that sets of so many must share to reach the similarity."""
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")
+
+
+def _remaining(mixed: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that can still be similar.
+
+    Each class orders its shingles by how many classes have them, those of its own first. Of two sets that share enough, the
+    first shared shingle in that order can't stand further back in either than what is left behind it suffices for. So only
+    classes meet that hold one shingle in front; sets that differ by rare shingles don't meet on the frequent ones.
+    """
+    classes = mixed.groupBy("rep").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("component").alias("component"))
+    by_rep = Window.partitionBy("rep")
+    placed = shared.join(classes.select("rep", "n"), "rep").withColumn("_of", F.count("*").over(by_rep)).withColumn("_at", F.row_number().over(by_rep.orderBy("df", "shingle")))
+    front = placed.withColumn("pos", F.col("n") - F.col("_of") + F.col("_at")).filter(F.col("pos") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
+    rows = front.select("rep", F.col("shingle").alias("key"), "pos").join(classes, "rep")
+    # how many classes of a shingle ask and answer, and its largest component, whose classes needn't ask
+    by_component = rows.groupBy("key", "component").agg(F.count("*").alias("_c"))
+    keys = by_component.groupBy("key").agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "component"))["component"].alias("_largest"), F.max("_c").alias("_most")).filter("_all > _most")
+    known = common.stage(rows.join(keys, "key"))
     ask, answer = F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int"), F.ceil(F.col("_all") / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
     asks = F.col("component") != F.col("_largest")
-    carried = ["key", "rep", "n", "can", "component", "bands", "band"]
+    carried = ["key", "rep", "n", "pos", "component", "bands"]
     x = known.filter(asks).select(*carried, block(ask).alias("i"), F.explode(F.sequence(F.lit(0), answer - 1)).alias("j")).alias("x")
     y = known.select(*carried, asks.alias("asks"), F.explode(F.sequence(F.lit(0), ask - 1)).alias("i"), block(answer).alias("j")).alias("y")
-    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
+    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + 1
     on = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         & (F.col("x.component") != F.col("y.component")) & (~F.col("y.asks") | (F.col("x.rep") < F.col("y.rep")))
-        & _within_bound("x.can", "y.can", "x.n", "y.n", percent) & (first == F.col("x.band") + 1)
+        & (behind >= _needed("x.n", "y.n", percent)) & F.exists(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), lambda same: same)
     )
-    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutations: int = PERMUTATIONS, oldest: str = "doc_id") -> DataFrame:
@@ -209,9 +229,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, permutat
     sets = common.stage(_sets(found.select("c.rep", "t.text"), width).dropDuplicates(["rep"]))
     pairs = buckets.filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     links = common.cut(_verified(pairs, sets, percent))
-    with_bands = buckets.join(classes.select("rep", "bands"), "rep")
-    more = common.cut(_verified(_remaining(with_bands, common.components(links, "a", "b"), sets, percent), sets, percent))
-    labels = common.components(links.unionByName(more), "a", "b")
+    banded = buckets.join(classes.select("rep", "bands"), "rep")
+    labels = common.components(links, "a", "b")
+    mixed = common.stage(_mixed(banded, labels))
+    if not mixed.isEmpty():
+        shared = common.stage(_shared(sets, mixed.select("rep").distinct()))
+        links = links.unionByName(common.cut(_verified(_with_central(mixed, shared), sets, percent)))
+        labels = common.components(links, "a", "b")
+        still = common.stage(_mixed(mixed.select("key", "rep", "n", "bands"), labels))
+        links = links.unionByName(common.cut(_verified(_remaining(still, shared, percent), sets, percent)))
+        labels = common.components(links, "a", "b")
     linked = common.stage(classes.select("rep", "least").join(labels, classes.rep == labels.node).select("rep", "least", "component"))
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select("rep", "name")
