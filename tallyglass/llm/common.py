@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -67,12 +67,30 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, staged; what make() staged itself is deleted, so only the result takes room from then on."""
+    path = f"{_home(spark)}/stage-{uuid.uuid4().hex}"
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small rows of an iteration; Spark removes its files once nothing refers to them."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def repeated(df: DataFrame, n: str, name: str, most: int = 1 << 16) -> DataFrame:
+    """Each row n times, numbered from 0 in the column name, by way of arrays of bounded length."""
+    rest = F.col(n).cast("long") - 1
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(rest / most))))
+    last = F.least(F.lit(most - 1).cast("long"), rest - F.col("_part") * most)
+    numbered = parts.withColumn("_in", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return numbered.withColumn(name, F.col("_part") * most + F.col("_in")).drop("_part", "_in", n)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """All bytes of a text column; the number of groups that operators deal rows into follows from it."""
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0

@@ -621,3 +621,63 @@ def test_digest_of_kept_words(spark):
     docs = spark.createDataFrame([(1, " a\tb ", "en", "s", 0)], SCHEMA)
     row = repeats.without_repeats(docs).select(F.sha2("text", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_near_copies_of_one_text_cost_a_linear_number_of_comparisons(spark, monkeypatch):
+    """Copies that each differ in two of 120 words: few are similar to each other, and the leaders find nearly all that are."""
+    compared, verified = [], minhash._verified
+
+    def counting(pairs, sets, percent):
+        compared.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_verified", counting)
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+
+    def family(m):
+        out = []
+        for i in range(m):
+            changed = list(base)
+            for at in rng.sample(range(120), 2 if i != 7 else 0):
+                changed[at] = rng.choice(vocabulary)
+            out.append((i, " ".join(changed)))
+        return out
+
+    counts = {}
+    for m in (100, 400):
+        compared.clear()
+        texts = family(m)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        if m == 100:
+            assert got == _near(texts)
+        counts[m] = sum(compared)
+    assert counts[400] <= 5 * counts[100]
+
+
+def test_labels_move_towards_neighbours_round_by_round(spark):
+    """Cuts fall, quotas hold after every round, and what is whole stays whole; against a plain recount."""
+    rng = random.Random(12)
+    sizes = [rng.choice([2, 2, 3, 5, 9, 20]) for _ in range(120)]
+    rows = [(f"g{g}", rng.randrange(4)) for g, size in enumerate(sizes) for _ in range(size)]
+    labels = spark.createDataFrame([(link, shard, n) for (link, shard), n in Counter(rows).items()], "link string, shard int, n long")
+    held = Counter(shard for _, shard in rows)
+    quota = [max(held.values()) + extra for extra in (0, 3, 0, 7)]
+    plain = lambda of: sum((sum(v.values()) ** 2 - sum(x * x for x in v.values())) // 2 for v in of.values())
+    before = defaultdict(Counter)
+    for link, shard in rows:
+        before[link][shard] += 1
+    after, free, cuts = sharding.propagated(labels, [q - held[s] for s, q in enumerate(quota)])
+    got = defaultdict(Counter)
+    for r in after.collect():
+        got[r["link"]][r["shard"]] += r["n"]
+    assert {k: sum(v.values()) for k, v in got.items()} == {k: sum(v.values()) for k, v in before.items()}
+    now = Counter()
+    for v in got.values():
+        now.update(v)
+    assert free == [q - now[s] for s, q in enumerate(quota)] and min(free) >= 0
+    assert cuts[0] == plain(before) and cuts[-1] == plain(got) and cuts == sorted(cuts, reverse=True) and len(cuts) > 1
+    assert sum(len(v) > 1 for v in got.values()) <= 3
+    # nobody left could go anywhere whole
+    assert all(all(sum(v.values()) - v[s] > free[s] for s in range(4)) for v in got.values() if len(v) > 1)
