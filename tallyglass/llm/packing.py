@@ -1,6 +1,6 @@
 """Best-fit packing of documents into fixed-size training sequences, with conflicts.
 
-Pieces are dealt by a hash of their row into groups of bounded size, and each group is packed on its own, longest first. Open bins stand
+Pieces are dealt by a hash of their doc_id and text into groups of bounded size, and each group is packed on its own, longest first. Open bins stand
 in the order of their residual space; the search starts at the first that the piece fits in and goes on to successors
 until one has no conflict, so the tightest compatible bin takes it. A bin carries bitmaps: which duplicate clusters it
 holds (a second member never joins) and, plane by plane, which sources it holds once, twice and so on.
@@ -65,23 +65,29 @@ def packed(
     column ``cluster``, else a hash of its text. position orders a bin's pieces from 0. A null or empty text is one piece of
     no words, in no bin. Repeated rows are packed each, in different bins. ``with_text`` adds the words of the piece. Other
     columns are ignored; an empty table gives no rows. Groups have about GROUP_ROWS pieces, whatever ids, texts or clusters
-    repeat; which rows meet in one follows from the order of the input.
+    repeat. Which rows meet in one follows from their doc_id and text, whatever the order and partitioning of the input.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     number = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("long")
     own = F.xxhash64("text")
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), own.alias("_text"),
-        (own if cluster is None else cluster.cast("long")).alias("cluster"), F.monotonically_increasing_id().alias("_row"), *([F.col("text").cast("string").alias("text")] if with_text else []),
+        (own if cluster is None else cluster.cast("long")).alias("cluster"), *([F.col("text").cast("string").alias("text")] if with_text else []),
     )
-    if with_text:
-        # texts are written only where rows are repeated so often that their copies need numbers, which writing fixes
-        seen = base.groupBy("doc_id", "_text").agg(F.count("*").alias("n"), F.sum(number).alias("pieces")).agg(F.max("n"), F.sum("pieces")).first()
-        crowded, n_pieces = (seen[0] or 0) > GROUP_ROWS // 4, seen[1] or 0
-        base = common.stage(base) if crowded else base.withColumn("_row", F.xxhash64("doc_id", "_text"))
+    # a row is its doc_id and text; copies are told apart only where they would crowd a group, by numbers from 0
+    key = ["doc_id", "_text"]
+    counts = base.groupBy(*key).agg(F.count("*").alias("n"), F.sum(number).alias("pieces"))
+    n_pieces, most = counts.agg(F.sum("pieces"), F.max("n")).first()
+    n_pieces, most = n_pieces or 0, most or 0
+    identity = lambda copy: F.xxhash64(*key, copy)
+    if most > GROUP_ROWS // 4:
+        crowded = common.stage(counts.filter(F.col("n") > GROUP_ROWS // 4).select(*[F.col(c).alias(f"_c{c}") for c in key]))
+        same = F.col("doc_id").eqNullSafe(F.col("_cdoc_id")) & F.col("_text").eqNullSafe(F.col("_c_text"))
+        few = base.join(crowded, same, "left_anti").withColumn("_row", identity(F.lit(0).cast("long")))
+        many = base.join(crowded, same, "left_semi").groupBy(*base.columns).agg(F.count("*").alias("_n"))
+        base = few.unionByName(common.repeated(many, "_n", "_copy").withColumn("_row", identity(F.col("_copy"))).drop("_copy"))
     else:
-        base = common.stage(base)
-        n_pieces = base.agg(F.sum(number)).first()[0] or 0
+        base = base.withColumn("_row", identity(F.lit(0).cast("long")))
     base = base.drop("_text")
     n_groups = max(1, n_pieces // GROUP_ROWS)
     if clusters is not None:
@@ -98,7 +104,7 @@ def packed(
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("_row", "piece"), F.lit(n_groups))).drop("size")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("_row", "ascending")])
+        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("_row", "ascending")])
         n = np.asarray(table.column("n_words"))
         some = int((n > 0).sum())
         clusters = np.array(_codes(table.column("cluster").slice(0, some)), np.int64)
