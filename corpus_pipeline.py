@@ -28,20 +28,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar ones; copies under one id become one row.
 
-    Different texts under one id are documents of their own.
+    Different texts under one id are documents of their own. Rows without an id are compared like all others and give way to
+    rows with one; of a group in which none has an id, one row stays. Texts without words are similar to nothing.
     """
-    numbered = common.stage(docs.filter("doc_id is not null").withColumn("_pipe_row", F.monotonically_increasing_id()))
-    # at 0.8, 24 bands of four meet with probability 1 - 3e-6
-    rows = numbered.select(F.col("_pipe_row").alias("doc_id"), "text", F.col("doc_id").alias("age"))
-    found = minhash.near_duplicates(rows, percent=80, width=5, permutations=48, oldest="age")
-    found = found.select(F.col("doc_id").alias("_pipe_row"), "n_shingles", "component_id")
-    ids = numbered.select("_pipe_row", "doc_id", F.xxhash64("text").alias("_text"))
-    # texts without words have a component each: there only copies under one id are similar
-    some = F.col("n_shingles") > 0
-    group = [some, F.when(some, F.col("component_id")), *[F.when(~some, F.col(c)) for c in ("doc_id", "_text")]]
-    least = found.join(ids.hint("merge"), "_pipe_row").groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("doc_id", "_text", "_pipe_row")).alias("_least"))
-    named = numbered.join(least.select(F.col("_least._pipe_row").alias("_pipe_row")).hint("merge"), "_pipe_row", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    numbered = common.stage(docs.withColumn("_pipe_row", F.monotonically_increasing_id()))
+
+    def least() -> DataFrame:
+        # at 0.8, 24 bands of four meet with probability 1 - 3e-6
+        rows = numbered.select(F.col("_pipe_row").alias("doc_id"), "text", F.col("doc_id").alias("age"))
+        found = minhash.near_duplicates(rows, percent=80, width=5, permutations=48, oldest="age")
+        found = found.select(F.col("doc_id").alias("_pipe_row"), "n_shingles", "component_id")
+        ids = numbered.select("_pipe_row", "doc_id", F.xxhash64("text").alias("_text"))
+        # texts without words have a component each: there only copies under one id are similar
+        some, none = F.col("n_shingles") > 0, F.col("doc_id").isNull()
+        group = [some, F.when(some, F.col("component_id")), F.when(~some & none, F.col("_pipe_row")), *[F.when(~some, F.col(c)) for c in ("doc_id", "_text")]]
+        first = F.min(F.struct(none.alias("_none"), "doc_id", "_text", "_pipe_row")).alias("_least")
+        joined = found.join(ids.hint("merge"), "_pipe_row")
+        return joined.groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(first).select(F.col("_least._pipe_row").alias("_pipe_row"))
+
+    kept = common.finished(spark, least)
+    return numbered.join(kept.hint("merge"), "_pipe_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
