@@ -48,7 +48,8 @@ def _odd_documents(spark):
     passage, rows = write(70), []
     for i in range(60):
         rows.append((i, write(120) + (f" {passage} " + write(30) if i % 6 == 0 else "")))
-    words = rows[3][1].split(" ")
+    words, nameless = rows[3][1].split(" "), write(80)
+    rows += [(None, nameless), (None, nameless), (None, rows[3][1])]
     rows += [(100, rows[3][1]), (101, " ".join([*words[:60], "changed", *words[61:]])), (7, rows[7][1]), (8, write(90)), (None, write(80)), (None, write(80)), (102, "short"), (103, None), (104, ""), (105, "same words again " * 40), (106, write(30_000))]
     data = [(i, t, "en", None if k % 5 == 0 else f"s{k % 3}", 7, 1, "q", True) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, n_words int, rule string, kept boolean")
@@ -75,12 +76,12 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert pairs(kept) == Counter((r["doc_id"], r["text"]) for r in docs.collect() if not fails(r["text"]))
 
     near = corpus_pipeline.near_duplicates(spark, kept, str(tmp_path)).cache()
-    rows = list({(r["doc_id"], r["text"]) for r in kept.filter("doc_id is not null").collect()})
+    rows = list({(r["doc_id"], r["text"]) for r in kept.collect()})
     component = _near([(k, t) for k, (_, t) in enumerate(rows)], percent=80)
     least = {}
     for k, (i, t) in enumerate(rows):
-        least[component[k][1]] = min(least.get(component[k][1], (i, t)), (i, t), key=lambda x: x[0])
-    assert pairs(near) == Counter(least.values()) + Counter((r["doc_id"], r["text"]) for r in kept.filter("doc_id is null").collect())
+        least[component[k][1]] = min(least.get(component[k][1], (i, t)), (i, t), key=lambda x: (x[0] is None, x[0] or 0))
+    assert pairs(near) == Counter(least.values()) and sum(i is None for i, _ in least.values()) == 3
 
     cut = corpus_pipeline.repeated_passages(spark, near, str(tmp_path)).cache()
     named = [(r["doc_id"], r["text"]) for r in near.filter("doc_id is not null").collect() if r["doc_id"] != 8]
