@@ -29,6 +29,8 @@ from tallyglass.llm import common
 #: Letters of a run after A-Z are lower-cased, and the divisor that picks runs that lose a letter.
 RUN, LOSES = rb"[a-z\xc0-\xff]{%d,}", 199
 SHARD_WORDS, SHARD_LETTERS = 32_768, 1 << 19
+#: Words that a task takes down the tries.
+TASK_WORDS = 8192
 #: Bytes of tries that one broadcast holds at most, unless a single shard (one very long word) has more.
 ROUND_BYTES = 32 << 20
 #: Words that go down a trie together, and words that a task counts before it hands them on.
@@ -226,7 +228,7 @@ def _shards(vocabulary: DataFrame, words: int) -> DataFrame:
     return common.stage(vocabulary.repartitionByRange(ranges, "word").sortWithinPartitions("word").mapInArrow(run, "first string, size long, trie binary"))
 
 
-def _round(vocabulary: DataFrame, shards: list[bytes]) -> DataFrame:
+def _round(vocabulary: DataFrame, words: int, shards: list[bytes]) -> DataFrame:
     """(word, n, near, form): what the vocabulary finds in some shards."""
     spark = vocabulary.sparkSession
     sent = spark.sparkContext.broadcast(shards)
@@ -239,7 +241,9 @@ def _round(vocabulary: DataFrame, shards: list[bytes]) -> DataFrame:
                 spelled = pa.array([None if f is None else f.decode("latin-1") for f in forms], pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(near), pa.array(most), spelled], names=["word", "n", "near", "most", "form"])
 
-    out = common.stage(vocabulary.mapInArrow(run, "word string, n long, near long, most long, form string"))
+    # few bytes, but much work: the number of tasks follows the words
+    dealt = vocabulary.repartition(-(-words // TASK_WORDS))
+    out = common.stage(dealt.mapInArrow(run, "word string, n long, near long, most long, form string"))
     sent.unpersist()
     return out
 
@@ -283,9 +287,9 @@ def variants(docs: DataFrame, shortest: int = 6, least: int = 5, factor: int = 5
     repeated rows count each, and other columns are ignored. Without words there are no rows.
     """
     vocabulary = common.stage(counts(docs, shortest, least))
-    found = None
-    for tries in _rounds(_shards(vocabulary, vocabulary.count())):
-        part = _round(vocabulary, tries)
+    words, found = vocabulary.count(), None
+    for tries in _rounds(_shards(vocabulary, words)):
+        part = _round(vocabulary, words, tries)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vocabulary.select("word", "n", F.lit(0).cast("long").alias("near"), F.lit(0).cast("long").alias("most"), F.lit(None).cast("string").alias("form"))
