@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyglass import storage
 from tallyglass.functions import text
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -62,15 +63,34 @@ def open_index(spark: SparkSession, path: str, embedder: str, dim: int) -> DataF
     return spark.read.parquet(f"{path}/postings")
 
 
-def bm25(queries: DataFrame, index: DataFrame, n_docs: int, mean_length: float, k: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """(query_id, id, score, rank) of the k best for each query. A term's idf comes from its own postings; the queries' terms
-    are joined by key, so only postings that some query asks for meet."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term")).filter(F.length("term") > 1)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+def bm25(queries: DataFrame, index: DataFrame, n_docs: int, mean_length: float, k: int = 20, id_col: str = "doc_id", often: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of the k best for each query, exactly.
+
+    Terms of more than ``often`` postings (a fiftieth of the documents, 1,000 at least) don't meet all documents. The other terms
+    come first: the k-th best sum of theirs is a bound that a document must reach, and what the frequent terms can add has a
+    bound as well. Where a document of frequent terms alone can't get there, only documents within reach get their
+    frequent terms looked up, by term and document at once. Queries whose bounds don't settle that meet all postings.
+    """
+    often = often or max(1000, n_docs // 50)
+    tf_part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    scores = index.join(asked, "term").join(df, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
-    return top(scores, "query_id", F.round("score", 9), id_col, k)
+    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term")).filter(F.length("term") > 1)
+    stats = index.groupBy("term").agg(F.count("*").alias("df"), F.max(tf_part).alias("most")).withColumn("idf", idf)
+    terms = storage.stage(asked.join(stats, "term"))
+    rare, frequent = terms.filter(F.col("df") <= often).select("query_id", "term", "idf"), terms.filter(F.col("df") > often)
+    summed = lambda of: index.join(of, "term").groupBy("query_id", id_col).agg(F.sum(F.col("idf") * tf_part).alias("score"))
+    partial = storage.stage(summed(rare))
+    least = top(partial, "query_id", F.col("score"), id_col, k).filter(F.col("rank") == k - 1).select("query_id", F.col("score").alias("_least"))
+    reach = frequent.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("most")).alias("_more"))
+    slack = 1e-8 + 1e-9 * F.abs("_least")  # sums in another order, and scores that are equal once rounded
+    bounds = terms.select("query_id").distinct().join(least, "query_id", "left").join(reach, "query_id", "left").na.fill(0.0, ["_more"])
+    settled = storage.stage(bounds.withColumn("_settled", F.coalesce(F.col("_more") + slack < F.col("_least"), F.lit(False))))
+    near = partial.join(settled.filter("_settled"), "query_id").filter(F.col("score") + F.col("_more") + slack >= F.col("_least")).select("query_id", id_col, "score")
+    added = near.select("query_id", id_col).join(frequent.select("query_id", "term", "idf"), "query_id").join(index, ["term", id_col])
+    added = added.select("query_id", id_col, (F.col("idf") * tf_part).alias("score"))
+    whole = near.unionByName(added).groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
+    open_ = terms.join(settled.filter("not _settled"), "query_id", "left_semi").select("query_id", "term", "idf")
+    return top(whole.unionByName(summed(open_)), "query_id", F.round("score", 9), id_col, k)
 
 
 def top(scores: DataFrame, key: str, score: Column, id_col: str, k: int) -> DataFrame:

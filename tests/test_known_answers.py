@@ -254,3 +254,37 @@ def test_account_numbers_need_a_word_before_them():
     assert found("order 987654321098765, account 123456789012345") == ["123456789012345"]
     assert found("account " + "x" * 40 + " 123456789") == [] and found("a/c no. 123456789") == ["123456789"]
     assert found("account 9876543210") == []  # a phone number already
+
+
+def test_bm25_by_bounds_is_exact(spark):
+    """Frequent terms by bounds or by all their postings: the same best documents as plain sums."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60)))) for i in range(400)]
+    docs += [(400 + i, docs[i][1]) for i in range(30)]  # ties
+    queries = [(q, " ".join(rng.choices(vocabulary, k=rng.randint(1, 12)) if q % 3 else ["w0", "w1"])) for q in range(30)]
+    index = retrieval.postings(spark.createDataFrame(docs, "doc_id long, text string")).cache()
+    n, mean = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    counts = {i: {w: t.split().count(w) for w in set(t.split())} for i, t in docs}
+    df = {w: sum(w in c for c in counts.values()) for w in vocabulary}
+
+    def plain(query):
+        out = {}
+        for i, c in counts.items():
+            of = [w for w in set(query.split()) if w in c]
+            if of:
+                size = sum(c.values())
+                out[i] = round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in of), 9)
+        return sorted(((-s, i) for i, s in out.items()))[:5]
+
+    expected = {q: plain(t) for q, t in queries}
+    frame = spark.createDataFrame(queries, "query_id long, query string")
+    for often in (20, 60, 10_000):
+        got = {}
+        for r in retrieval.bm25(frame, index, n, mean, 5, often=often).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
+        assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in expected.items()}, often
