@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass import storage, views
+from tallyglass import policy, storage, views
 from tallyglass.functions import sqlfunctions
-from tallyglass.operators import enrich, reuse
+from tallyglass.operators import decide, enrich, replay, reuse
+from tallyglass.plans.ledger import _ACTIONS, _GRID
 from tallyglass.sources import indexes
 
 QUERIES, SQL = {}, {}
@@ -111,6 +112,43 @@ def contradiction_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("item_id", F.get("context", F.lit(1)).alias("partner"), F.md5("answer").alias("answer_md5"))
 
 
+# -- candidate policies --------------------------------------------------------------------------------------------------
+
+_SEEDS, _SHIPPED = (0, 1, 2), 108
+_REPLAY = f"""{_GRID}, v_case AS (SELECT doc_id, p, y = 1 AS defective, d.impact, CASE d.rev WHEN 'reversible' THEN 1.0 WHEN 'costly' THEN 2.5 ELSE 8.0 END::DOUBLE AS rev
+        FROM v_scored s JOIN (VALUES {", ".join(f"({i}, {impact}::DOUBLE, '{rev}')" for i, (impact, rev) in enumerate(policy.POLICY["domains"].values()))}) AS d(i, impact, rev) ON d.i = s.doc_id % {len(policy.POLICY["domains"])}),
+    v_loss AS (SELECT candidate, doc_id, defective, action, ladder, round(greatest(0, p - band) * impact * scale * rev * (1 - e0) + (1 - greatest(0, p - band)) * nuis * nuisance
+        + tok * {policy.POLICY["price_inr_per_1k_tokens"]}::DOUBLE / 1000 + rv + {policy.POLICY["lambda_time_inr_per_second"]}::DOUBLE * lat / 1000, 6) AS total FROM v_case, v_grid, (VALUES {_ACTIONS}) AS a(action, ladder, nuis, tok, lat, rv, e0, e1, e2)),
+    v_best AS (SELECT candidate, doc_id, any_value(defective) AS defective, arg_min(ladder, total * 10 + ladder / 1e7) AS ladder FROM v_loss GROUP BY 1, 2),
+    v_replay AS (SELECT candidate, t.seed::INT AS seed, sum(w)::BIGINT AS cases, sum(CASE WHEN ladder > 0 AND NOT defective THEN w ELSE 0 END)::BIGINT AS false_interventions,
+        sum(CASE WHEN ladder = 0 AND defective THEN w ELSE 0 END)::BIGINT AS escapes, sum(CASE WHEN ladder >= 4 THEN w ELSE 0 END)::BIGINT AS disruptive
+        FROM (SELECT *, ('0x' || md5(seed || '|' || doc_id)[:8])::BIGINT % 3 AS w FROM v_best, (VALUES {", ".join(f"({s})" for s in _SEEDS)}) AS s(seed)) t GROUP BY 1, 2)"""
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the grid over all labelled documents, whose domains give what is at stake, in three seeds' sets."""
+    grid = [(r["candidate"], r["impact_scale"], r["deadband"], r["nuisance_multiplier"]) for r in decide.candidate_grid(spark).collect()]
+    stakes = list(policy.POLICY["domains"].values())
+    at = F.col("doc_id") % len(stakes)
+    cases = views.scored(spark, sf_dir).select(F.col("doc_id").alias("case_id"), "p", (F.col("y") == 1).alias("defective"), views.pick([i for i, _ in stakes], at).cast("double").alias("impact_inr"), views.pick([r for _, r in stakes], at).alias("reversibility"))
+    return replay.evaluated(cases, grid, list(_SEEDS))
+
+
+@query(views.sql(f"WITH {_REPLAY} SELECT * FROM v_replay", "v_scored"))
+def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)
+
+
+@query(views.sql(f"""WITH {_REPLAY}, w AS (SELECT candidate, count(*) AS seeds, max(false_interventions) AS worst_false_interventions, max(escapes) AS worst_escapes, max(disruptive) AS worst_disruptive FROM v_replay GROUP BY 1),
+    g AS (SELECT w.*, w.worst_escapes <= b.worst_escapes AS open FROM w, (SELECT worst_escapes FROM w WHERE candidate = {_SHIPPED}) b)
+    SELECT candidate, seeds, worst_false_interventions, worst_escapes, worst_disruptive, CASE WHEN NOT open THEN 'more escapes than shipped' WHEN EXISTS (SELECT 1 FROM g y WHERE y.open
+        AND y.worst_false_interventions <= x.worst_false_interventions AND y.worst_escapes <= x.worst_escapes AND y.worst_disruptive <= x.worst_disruptive
+        AND (y.worst_false_interventions < x.worst_false_interventions OR y.worst_escapes < x.worst_escapes OR y.worst_disruptive < x.worst_disruptive)) THEN 'dominated' ELSE 'frontier' END AS verdict FROM g x""", "v_scored"))
+def policy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate by its worst seed against the shipped policy, and why it is out or stays."""
+    return replay.compared(_replayed(spark, sf_dir), _SHIPPED)
+
+
 # -- functions in SQL ----------------------------------------------------------------------------------------------------
 
 

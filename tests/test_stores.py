@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyglass import plans
 from tallyglass.functions import folds, sqlfunctions, stats
-from tallyglass.operators import enrich, reuse
+from tallyglass.operators import decide, enrich, replay, reuse
 from tallyglass.sources import indexes
 
 SF = "/root/testdata/sf0.001"
@@ -151,3 +151,31 @@ def test_functions_in_sql_equal_those_over_columns(spark):
     assert spark.sql("SELECT wilson_lo(0, 0) + wilson_hi(0, 0)").first()[0] == 0
     nothing = spark.sql("SELECT s.* FROM {t} t, LATERAL sentences_of(t.text) s", t=spark.createDataFrame([(None,), ("",)], "text string"))
     assert nothing.count() == 0
+
+
+# candidate policies
+
+
+def test_a_replay_prices_as_the_engine_does(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([0.0, 0.01, 0.05, 0.3, 0.9, None]), rng.choice([200.0, 5000.0, 90_000.0]), rng.choice(["reversible", "costly", "irreversible"]), rng.random() < 0.3) for i in range(120)]
+    cases = spark.createDataFrame(rows, "case_id long, p double, impact_inr double, reversibility string, defective boolean").repartition(3)
+    grid, seeds = [(0, 1.0, 0.0, 1.0), (5, 0.25, 0.03, 20.0), (9, 1.5, 0.015, 5.0)], [0, 4]
+    weights = {(r["case_id"], s): r[f"w{s}"] for r in cases.select("case_id", *[replay.weight(F.col("case_id"), s).alias(f"w{s}") for s in seeds]).collect() for s in seeds}
+    assert set(weights.values()) == {0, 1, 2}
+    expected = {}
+    whole = cases.filter("p is not null").withColumns({"probs": F.create_map(F.lit("ungrounded"), F.col("p")), "emitted": F.lit(False), "feasible_pass": F.lit(True)})
+    for c, scale, band, nuisance in grid:
+        adjustment = {"impact_scale": scale, "probability_deadband": band, "nuisance_multiplier": nuisance}
+        chosen = decide.chosen(decide.options(whole, adjustment=adjustment), "case_id").join(cases, "case_id").collect()
+        for s in seeds:
+            of = [(weights[r["case_id"], s], r["action"], r["defective"]) for r in chosen]
+            expected[c, s] = (
+                sum(w for w, *_ in of), sum(w for w, a, d in of if a != "L0_pass" and not d), sum(w for w, a, d in of if a == "L0_pass" and d), sum(w for w, a, _ in of if a in ("L4_hold", "L5_block")),
+            )
+    results = replay.evaluated(cases, grid, seeds)
+    got = {(r["candidate"], r["seed"]): (r["cases"], r["false_interventions"], r["escapes"], r["disruptive"]) for r in results.collect()}
+    assert got == expected and len({v[1:] for v in got.values()}) > 2
+    verdicts = {r["candidate"]: r["verdict"] for r in replay.compared(results, 0).collect()}
+    assert set(verdicts) == {0, 5, 9} and "frontier" in verdicts.values()
+    assert replay.evaluated(cases.filter("false"), grid, seeds).agg(F.sum("cases")).first()[0] in (None, 0)
