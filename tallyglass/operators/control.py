@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass import policy, schemas
-from tallyglass.functions import text
+from tallyglass.functions import folds, text
 
 #: How long a verdict may take, the impact from which a bypass holds, and the budget of the detectors.
 VERDICT_MS, HOLD_FROM_INR, RACE_MS = 8000.0, 1000.0, 250.0
@@ -174,11 +174,15 @@ def may_fall_back(tier: Column, streamed: Column, capacity_error: Column, served
     return (tier == "strong") & ~streamed & capacity_error & (served == policy.STRONG)
 
 
+#: What the economics page says where it has no numbers.
+NO_SAMPLES, NOT_MEASURED = "no request-level net-value samples are available", " measurements are unavailable"
+
+
 def economics_reason(requests: Column, samples: Column, net: Column, regret: Column, rework: Column) -> Column:
     """Why net value can't be shown; empty if it can."""
-    none = F.lit("no request-level net-value samples are available")
+    none = F.lit(NO_SAMPLES)
     missing = F.array_compact(F.array(F.when(regret.isNull(), F.lit("regret")), F.when(rework.isNull(), F.lit("rework"))))
-    told = F.concat(F.array_join(missing, " and "), F.lit(" measurements are unavailable"))
+    told = F.concat(F.array_join(missing, " and "), F.lit(NOT_MEASURED))
     return F.when(requests == 0, none).when(F.size(missing) > 0, told).when((samples > 0) & net.isNotNull(), "").otherwise(none)
 
 
@@ -212,11 +216,15 @@ def calibrated(raw: Column, known: Column) -> Column:
     return F.struct(probs.alias("probs"), ((F.size(known) == 0) | (F.size(probs) < F.size(raw))).alias("degraded"))
 
 
+#: What a repair is told about unsupported clauses and figures.
+CITES, STATES = ("cites ", ", which is not in the retrieved context"), ("states the figure(s) ", ", which appear nowhere in the retrieved context")
+
+
 def repair_hint(action: Column, clauses: Column, figures: Column, evidence: Column) -> Column:
     """What a repair aims at, for repairs only: unsupported citations and figures, and at most three passages."""
     claims = F.array_compact(F.array(
-        F.when(F.size(clauses) > 0, F.concat(F.lit("cites "), F.array_join(F.transform(clauses, lambda c: F.concat(F.lit("Clause "), c)), ", "), F.lit(", which is not in the retrieved context"))),
-        F.when(F.size(figures) > 0, F.concat(F.lit("states the figure(s) "), F.array_join(figures, ", "), F.lit(", which appear nowhere in the retrieved context"))),
+        F.when(F.size(clauses) > 0, F.concat(F.lit(CITES[0]), F.array_join(F.transform(clauses, lambda c: F.concat(F.lit("Clause "), c)), ", "), F.lit(CITES[1]))),
+        F.when(F.size(figures) > 0, F.concat(F.lit(STATES[0]), F.array_join(figures, ", "), F.lit(STATES[1]))),
     ))
     return F.when(action == "L2_repair", F.struct(claims.alias("claims"), F.slice(evidence, 1, 3).alias("evidence")))
 
@@ -293,8 +301,8 @@ def distractors(docs: DataFrame, n: int = 2) -> DataFrame:
     Documents are numbered within their domains in an order of their hashes; the k-th of one meets the k-th of the next,
     round and round. Domains and their sizes are a small table; no document meets a whole domain.
     """
-    number = F.row_number().over(Window.partitionBy("domain").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")) - 1
-    numbered = docs.select("doc_id", "domain", number.alias("k"))
+    hashed = docs.select("doc_id", "domain", F.md5(F.col("doc_id").cast("string")).alias("_h"))
+    numbered = folds.placed(hashed, ["domain"], ["_h", "doc_id"]).select("doc_id", "domain", F.col("_at").alias("k"))
     sizes = docs.groupBy("domain").agg(F.count("*").alias("size")).withColumn("d", F.row_number().over(Window.orderBy("domain")) - 1)
     n_domains = sizes.count()
     home = numbered.join(F.broadcast(sizes.select("domain", "d")), "domain")

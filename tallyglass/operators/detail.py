@@ -35,7 +35,7 @@ def canary_hits(texts: DataFrame, canaries: DataFrame) -> DataFrame:
 
     A canary has a shape, so it is looked up by key: texts are searched once, whatever the number of canaries.
     """
-    shape = r"(?i)\bIL-CANARY-[A-Za-z0-9_-]+\b"
+    shape = r"\bIL-CANARY-[A-Za-z0-9_-]+\b"  # case matters here as in the join
     found = texts.select("text_id", "tenant", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(shape), F.lit(0)))).alias("canary"))
     hit = found.join(canaries, "canary").withColumn("start", F.expr("instr(text, canary)") - 1)
     return hit.select("text_id", "canary", "owner", "start", (F.col("start") + F.length("canary")).alias("end"), (F.col("owner") != F.col("tenant")).alias("cross_tenant"))
