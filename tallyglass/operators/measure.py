@@ -71,7 +71,8 @@ def threshold_sweep(scored: DataFrame, alpha: float, delta: float, p: str = "p",
 def evalues(rows: DataFrame, keys: list[str], order: list[str], x: str = "x", mu0: float = MU0, warmup: int = WARMUP, safety: float = SAFETY, alpha: float = ALPHA) -> DataFrame:
     """A betting martingale per key: bets from strictly earlier rows, its value, running maximum, p-value and latched alert.
 
-    ``order`` has to tell a key's rows apart. A key's rows are folded in blocks, so one key may hold all rows.
+    ``order`` has to tell a key's rows apart. A key's rows are folded in blocks, so one key may hold all rows. Over a long key
+    e_value leaves the range of doubles; log_e doesn't.
     """
     value = F.col(x).cast("double")
     counted = {"_n": ("sum", F.when(value.isNotNull(), 1).otherwise(0)), "_s": ("sum", value), "_q": ("sum", value * value)}
@@ -85,7 +86,7 @@ def evalues(rows: DataFrame, keys: list[str], order: list[str], x: str = "x", mu
     out = folds.running(summed, keys, {"_most": ("max", F.col("_log"))})
     out = out.withColumns({"e_value": F.exp("_log"), "max_e": F.greatest(F.lit(1.0), F.exp("_most")), "t": F.col("_n") + 1})
     out = out.withColumns({"p_value": stats.always_valid_p(F.col("max_e")), "alerted": F.col("max_e") >= 1 / alpha})
-    return out.select(*rows.columns, "bet", "e_value", "max_e", "t", "p_value", "alerted")
+    return out.select(*rows.columns, "bet", F.col("_log").alias("log_e"), "e_value", "max_e", "t", "p_value", "alerted")
 
 
 def agreement(rows: DataFrame, sets: list[list[str]]) -> DataFrame:

@@ -89,7 +89,7 @@ def conformal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evalue_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requests(spark, sf_dir).select("tenant", "request_id", (F.col("event_type") == "error").cast("double").alias("x"))
     e = measure.evalues(r, ["tenant"], ["request_id"])
-    return e.select("tenant", "request_id", F.round("bet", 9).alias("bet"), F.round(F.ln("e_value"), 6).alias("log_e"), "alerted")
+    return e.select("tenant", "request_id", F.round("bet", 9).alias("bet"), F.round("log_e", 6).alias("log_e"), "alerted")
 
 
 _JUDGED = """v_judged AS (SELECT event_id AS item_id, ['clean', 'clean', 'ungrounded', 'contradicted'][(event_id % 4 + 1)::INT] AS gold, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'clean' WHEN event_id % 11 = 0 THEN 'ungrounded' ELSE ['clean', 'clean', 'ungrounded', 'contradicted'][(event_id % 4 + 1)::INT] END AS judged,

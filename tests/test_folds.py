@@ -96,3 +96,13 @@ def test_evalues(spark, rows, monkeypatch):
             assert r["bet"] == pytest.approx(bet, abs=1e-9) and math.log(r["e_value"]) == pytest.approx(log_e, abs=1e-8)
             assert math.log(r["max_e"]) == pytest.approx(most, abs=1e-8) and r["alerted"] == (r["max_e"] >= 20)
     assert len(got) == len(rows)
+
+
+def test_evalues_of_a_long_key_stay_finite(spark):
+    n = 3000
+    data = [(k, i, float(k == 0 or i < 10)) for k in (0, 1) for i in range(n)]
+    got = measure.evalues(spark.createDataFrame(data, "g long, i long, x double"), ["g"], ["i"]).select("g", "i", "log_e").collect()
+    assert len(got) == 2 * n and all(r["log_e"] is not None and math.isfinite(r["log_e"]) for r in got)
+    last = {r["g"]: r["log_e"] for r in got if r["i"] == n - 1}
+    # all ones: the bet is 1 / 0.95, so each step from the tenth on is ln(2); exp(2070) is no double
+    assert abs(last[0] - (n - 10) * math.log(2)) < 1e-6 and last[0] > 710
