@@ -78,7 +78,7 @@ def stipulated_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disagreement_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The martingale over judge samples that say something; what a judge left unclear is no agreement, it is skipped."""
     j = _judged(spark, sf_dir).filter("judged is not null").select("failure_mode", "item_id", (F.col("gold") != F.col("judged")).cast("double").alias("x"))
-    return measure.evalues(j, ["failure_mode"], ["item_id"]).select("failure_mode", "item_id", F.round(F.ln("e_value"), 5).alias("log_e"))
+    return measure.evalues(j, ["failure_mode"], ["item_id"]).select("failure_mode", "item_id", F.round("log_e", 5).alias("log_e"))
 
 
 @query("SELECT label, round(a - b, 9) AS gap, a - b > 0.15 AS memorised FROM (SELECT label, 0.5 + avg(vec_id % 10)::DOUBLE / 20 AS a, 0.5 + avg(vec_id % 7)::DOUBLE / 20 AS b FROM embeddings GROUP BY 1)")
