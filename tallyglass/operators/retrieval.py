@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass import storage
-from tallyglass.functions import text
+from tallyglass.functions import nearest, text
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Cached answers of a block; queries that are broadcast at most, and queries and vectors of a block beyond that.
-CACHE_BLOCK = 1024
-BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024, 8192
+#: Probes and cached answers of a block; queries that are one block at most, and queries and vectors of a block beyond that.
+PROBE_BLOCK, CACHE_BLOCK = 8192, 4096
+BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192, 8192
 
 
 def chunk_texts(body: Column, least: int = 120, most: int = 700) -> Column:
@@ -103,30 +104,35 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 for vectors of different lengths or without direction, else within [-1, 1]."""
+    """0 for vectors of different lengths or without direction, null if one or a component is missing, else within [-1, 1]."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
+    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).when(norms.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, broadcast: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by Euclidean distance, for a set of queries that the caller states.
 
-    The queries are counted: up to ``broadcast`` of them go to every task, more meet the vectors in blocks of both. Each
-    block keeps its own k best of each query before rows meet.
+    Queries and vectors meet in blocks of both, up to ``broadcast`` queries in one block. In a task a matrix product leaves
+    out what is too far, and of the rest a block keeps those that can be among the k best of a query once rounded.
     """
-    if queries.limit(broadcast + 1).count() <= broadcast:
-        met = vectors.crossJoin(F.broadcast(queries))
-    else:
-        blocks, parts = -(-queries.count() // QUERY_BLOCK), max(1, vectors.count() // VECTOR_BLOCK)
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        v = vectors.withColumn("_p", deal("vec_id", parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        q = queries.withColumn("_b", deal("query_id", blocks)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        met = v.join(q, ["_b", "_p"])
-    gap = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, v: acc + v))
-    scored = met.filter("query_id <> vec_id").select("query_id", "vec_id", F.round(gap, 9).alias("distance"))
-    salted = scored.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_s").orderBy("distance", "vec_id"))).filter(F.col("_r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")) - 1).filter(F.col("rank") < k).select("query_id", "vec_id", "distance", "rank")
+    few = queries.limit(broadcast + 1).count() <= broadcast
+    blocks, parts = 1 if few else -(-queries.count() // QUERY_BLOCK), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    v = vectors.select("vec_id", "embedding").withColumn("_p", deal("vec_id", parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.select("query_id", "q").withColumn("_b", deal("query_id", blocks)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked, names = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
+        i, j, d = nearest.nearest(*nearest.pair(a["q"], b["embedding"]), asked, names, k)
+        return pa.table({"query_id": a["query_id"].take(pa.array(i, pa.int64())), "vec_id": b["vec_id"].take(pa.array(j, pa.int64())), "distance": pa.array(d, pa.float64(), mask=d < 0)})
+
+    found = q.groupBy("_b", "_p").cogroup(v.groupBy("_b", "_p")).applyInArrow(near, _fields(q, "query_id", v, "vec_id") + ", distance double")
+    best = found.withColumn("distance", F.round("distance", 9))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")) - 1).filter(F.col("rank") < k).select("query_id", "vec_id", "distance", "rank")
+
+
+def _fields(a: DataFrame, first: str, b: DataFrame, second: str) -> str:
+    return f"{first} {a.schema[first].dataType.simpleString()}, {second} {b.schema[second].dataType.simpleString()}"
 
 
 def fused(lexical: DataFrame, dense: DataFrame, id_col: str, dense_weight: float = 0.5, k: int = 10) -> DataFrame:
@@ -147,14 +153,27 @@ def context_key(fragments: Column) -> Column:
 def cache_probe(probes: DataFrame, cached: DataFrame, least: float = 0.95) -> DataFrame:
     """The best cached answer of the same context, policy and scope, if it is similar enough.
 
-    The cached answers of a scope are cut into blocks, and a probe goes to each of its scope's blocks, so no task compares
-    all of a large scope; each block keeps a probe's best before blocks meet.
+    The probes and the cached answers of a scope are cut into blocks, and every block of probes meets every block of answers,
+    so no task compares all of a large scope. In a task a matrix product leaves out what can't be a probe's best; equal
+    vectors of a scope are compared once, for their smallest id.
     """
     scope = ["context", "policy", "scope"]
-    sizes = cached.groupBy(*scope).agg(F.ceil(F.count("*") / CACHE_BLOCK).cast("int").alias("_blocks"))
-    dealt = cached.join(sizes, scope).withColumn("_b", F.pmod(F.xxhash64("cache_id"), F.col("_blocks")).cast("int")).drop("_blocks")
-    asking = probes.join(sizes, scope).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
-    met = asking.join(dealt, [*scope, "_b"]).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("cached_embedding")), 9)).filter(F.col("similarity") >= least)
+    probes, cached = probes.filter("embedding is not null"), cached.filter("cached_embedding is not null")
+    cached = cached.groupBy(*scope, "cached_embedding").agg(F.min("cache_id").alias("cache_id"))
+    count = lambda of, most: of.groupBy(*scope).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
+    blocks = count(cached, CACHE_BLOCK).withColumnRenamed("n", "_nc").join(count(probes, PROBE_BLOCK).withColumnRenamed("n", "_np"), scope)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = [*scope, "_c", "_p"]
+    dealt = cached.join(blocks, scope).withColumn("_c", own("cache_id", "_nc")).withColumn("_p", every("_np")).select(F.struct(*key).alias("_met"), "cache_id", "cached_embedding")
+    asking = probes.join(blocks, scope).withColumn("_p", own("probe_id", "_np")).withColumn("_c", every("_nc")).select(F.struct(*key).alias("_meets"), "probe_id", "embedding")
+
+    def similar(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j, c = nearest.most_similar(*nearest.pair(a["embedding"], b["cached_embedding"]), b["cache_id"].to_numpy(), least)
+        return pa.table({"probe_id": a["probe_id"].take(pa.array(i, pa.int64())), "cache_id": b["cache_id"].take(pa.array(j, pa.int64())), "similarity": pa.array(c, pa.float64())})
+
+    found = asking.groupBy("_meets").cogroup(dealt.groupBy("_met")).applyInArrow(similar, _fields(asking, "probe_id", dealt, "cache_id") + ", similarity double")
+    met = found.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= least)
     best = met.groupBy("probe_id").agg(F.max_by(F.struct("cache_id", "similarity"), F.struct(F.col("similarity"), -F.col("cache_id"))).alias("b"))
     return best.select("probe_id", "b.cache_id", "b.similarity")
 

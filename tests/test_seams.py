@@ -60,3 +60,54 @@ def test_a_judge_sees_few_requests():
     detail.judge_sampled(F.lit(1), 0.05)
     with pytest.raises(ValueError, match="at most 5%"):
         detail.judge_sampled(F.lit(1), 0.06)
+
+
+def _odd_vectors(spark, n=120):
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(n)]
+    rows += [(n + i, rows[i % 7][1]) for i in range(20)]  # copies
+    rows += [(n + 20, [0.0] * 6), (n + 21, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (n + 22, [1.0, 2.0]), (n + 23, [math.nan] * 6), (n + 24, None), (n + 25, []), (n + 26, [1e200] * 6), (n + 27, [1e-200] * 6)]
+    return spark.createDataFrame([(i, i % 3, v) for i, v in rows], "vec_id long, part long, embedding array<double>")
+
+
+def test_cached_answers_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CACHE_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "PROBE_BLOCK", 9)
+    v = _odd_vectors(spark).select("vec_id", "embedding", F.lit(1).alias("context"), F.lit(1).alias("policy"), F.lit("a").alias("scope"))
+    probes, cached = v.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "probe_id"), v.filter("vec_id % 3 > 0").withColumnsRenamed({"vec_id": "cache_id", "embedding": "c"})
+    cached = cached.unionByName(cached.filter("cache_id in (121, 124, 140, 143, 146)").withColumn("cache_id", F.col("cache_id") + 100))
+    for least in (0.3, 0.95, -1.0):
+        pairs = probes.select("probe_id", "embedding").crossJoin(cached.select("cache_id", "c")).withColumn("s", F.round(retrieval.cosine(F.col("embedding"), F.col("c")), 9)).filter(F.col("s") >= least)
+        best = {}
+        for r in pairs.collect():
+            best[r["probe_id"]] = max(best.get(r["probe_id"], (-9, 0)), (r["s"], -r["cache_id"]))
+        got = {r["probe_id"]: (r["similarity"], -r["cache_id"]) for r in retrieval.cache_probe(probes, cached.withColumnRenamed("c", "cached_embedding"), least).collect()}
+        assert got == best and got
+
+
+def test_a_block_keeps_what_can_be_among_the_best(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyglass.functions import nearest
+
+    rows = np.random.default_rng(1).normal(size=(3000, 16))
+    column = pa.array(rows.tolist())
+    x, y = nearest.pair(column[:400], column)
+    i, j, d = nearest.nearest(x, y, np.arange(400), np.arange(3000), 10)
+    assert len(i) <= 400 * 12  # of 1.2 million pairs
+    i, j, c = nearest.most_similar(x, y, np.arange(3000), 0.3)
+    assert len(i) <= 400 * 2 and set(zip(range(400), range(400))) <= set(zip(i.tolist(), j.tolist()))
+    # odd vectors, against the expression over all pairs
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 30)
+    v = _odd_vectors(spark).select("vec_id", "embedding")
+    q = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    gap = F.round(F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, z: acc + z)), 9)
+    pairs = q.crossJoin(v).filter("query_id <> vec_id").withColumn("d", gap)
+    ranked = pairs.selectExpr("query_id", "vec_id", "d", "row_number() over (partition by query_id order by d, vec_id) - 1 as rank").filter("rank < 12")
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert plain(retrieval.knn(q, v, 12, broadcast=3)) == plain(ranked)
