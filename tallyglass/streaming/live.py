@@ -19,6 +19,8 @@ from tallyglass.operators import ledger, sequences
 from tallyglass.streaming import gate
 
 RETRY, SLA = "2 minutes", "15 minutes"
+#: States that all holds are dealt to.
+HOLD_SHARES = 256
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -160,37 +162,35 @@ def evalue_monitor(stream: DataFrame, mu0: float = 0.05, warmup: int = 10, safet
 def holds(stream: DataFrame) -> DataFrame:
     """Hold state by fold: pending until the first resolution that counts; what nobody resolves expires with the watermark.
 
-    Needs hold_id, event, token_ok, deadline and ts. A timer in event time stands at each hold's deadline.
+    Needs hold_id, event, token_ok, deadline and ts. Holds are dealt into shares, one state each, since a state of its own for
+    every hold costs far more than its fold; a timer in event time stands at the first deadline of a share.
     """
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            yield pd.DataFrame([(k[0], "expired")], columns=["hold_id", "state"])
-            return
-        state, made = (held.get[0] if held.exists else "pending"), []
-        deadline = None
-        for row in pd.concat(list(pdfs)).sort_values("ts").itertuples(index=False):
-            deadline = row.deadline
-            if state != "pending":
-                continue
-            if row.event == "reject":
-                state = "rejected"
-            elif row.event == "approve" and row.token_ok and row.ts <= row.deadline:
-                state = "approved"
-            if state != "pending":
-                made.append((k[0], state))
-        held.update((state,))
-        if state == "pending" and deadline is not None:
-            at = int(deadline.timestamp() * 1000)
-            if at > held.getCurrentWatermarkMs():
-                held.setTimeoutTimestamp(at)
-            else:
-                held.remove()
-                made.append((k[0], "expired"))
+        known = {i: (state, at) for i, state, at in zip(*held.get)} if held.exists else {}
+        now, made = held.getCurrentWatermarkMs(), []
+        if not held.hasTimedOut:
+            for row in pd.concat(list(pdfs)).sort_values("ts", kind="stable").itertuples(index=False):
+                state = known.get(row.hold_id, ("pending", -1))[0]
+                if state == "pending":
+                    if row.event == "reject":
+                        state = "rejected"
+                    elif row.event == "approve" and row.token_ok and row.ts <= row.deadline:
+                        state = "approved"
+                    if state != "pending":
+                        made.append((row.hold_id, state))
+                known[row.hold_id] = (state, -1 if pd.isna(row.deadline) else int(row.deadline.timestamp() * 1000))
+        due = [i for i, (state, at) in known.items() if state == "pending" and 0 <= at <= now]
+        for i in due:
+            del known[i]
+            made.append((i, "expired"))
+        held.update(([*known], [state for state, _ in known.values()], [at for _, at in known.values()]))
+        if waiting := [at for state, at in known.values() if state == "pending" and at >= 0]:
+            held.setTimeoutTimestamp(min(waiting))
         yield pd.DataFrame(made, columns=["hold_id", "state"])
 
-    return stream.withWatermark("ts", "0 seconds").groupBy("hold_id").applyInPandasWithState(run, "hold_id long, state string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    shared = stream.withWatermark("ts", "0 seconds").withColumn("_share", F.pmod(F.xxhash64("hold_id"), F.lit(HOLD_SHARES)))
+    return shared.groupBy("_share").applyInPandasWithState(run, "hold_id long, state string", "ids array<bigint>, states array<string>, deadlines array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def segments(stream: DataFrame) -> DataFrame:

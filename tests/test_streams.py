@@ -332,3 +332,19 @@ def test_registry(spark):
         canaries.registered(spark.createDataFrame([("x", "1"), ("x", "2")], "canary string, owner string")).collect()
     made = canaries.minted(spark, spark.createDataFrame([("acme",), ("b",)], "tenant string"), 3).collect()
     assert len({r["canary"] for r in made}) == 6 and all(r["canary"].startswith(f"IL-CANARY-{r['owner'].upper()}-") for r in made)
+
+
+def test_holds_that_share_a_state_end_as_each_would(spark, tmp_path, monkeypatch):
+    from tallyglass.streaming import live
+
+    monkeypatch.setattr(live, "HOLD_SHARES", 2)
+    kinds = "hold_id long, event string, token_ok boolean, minute int, limit int"
+    first = [(h, "open", True, 0, 10) for h in range(8)] + [(0, "approve", True, 5, 10), (1, "approve", False, 5, 10), (2, "reject", False, 6, 10), (3, "approve", True, 11, 10), (4, "open", True, 1, 500)]
+    second = [(9, "open", True, 60, 70), (0, "reject", True, 61, 10), (4, "approve", True, 62, 500), (10, "approve", True, 63, 70)]
+    for n, rows in enumerate((first, second)):
+        at = lambda c: F.timestamp_seconds(F.lit(86_400) + F.col(c) * 60)
+        df = spark.createDataFrame(rows, kinds).select("hold_id", "event", "token_ok", at("minute").alias("ts"), at("limit").alias("deadline"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted((r["hold_id"], r["state"]) for r in live.finished(live.holds(stream), "append").collect())
+    assert got == [(0, "approved"), (1, "expired"), (2, "rejected"), (3, "expired"), (4, "approved"), (5, "expired"), (6, "expired"), (7, "expired"), (10, "approved")]
