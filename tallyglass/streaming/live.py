@@ -21,6 +21,8 @@ from tallyglass.streaming import gate
 RETRY, SLA = "2 minutes", "15 minutes"
 #: States that all holds are dealt to.
 HOLD_SHARES = 256
+#: Rows that a fold makes before it hands them on.
+FOLD_ROWS = 20_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -79,15 +81,22 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def folded(stream: DataFrame, key: str, step: Callable, start: tuple, out: str, state: str, order: list[str]) -> DataFrame:
-    """A fold per key: step(state, row) returns the next state and rows. Rows of a batch are taken in order."""
+    """A fold per key: step(state, row) returns the next state and rows. Rows of a batch are taken in order.
+
+    A batch's rows of a key are in memory together, so the stream should have no columns that the step doesn't need.
+    """
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now, made = (tuple(held.get) if held.exists else start), []
+        names = [c.strip().split(" ")[0] for c in out.split(",")]
         for row in pd.concat(list(pdfs)).sort_values(order).itertuples(index=False):
             now, rows = step(now, row)
             made += [(*k, *r) for r in rows]
+            if len(made) >= FOLD_ROWS:
+                yield pd.DataFrame(made, columns=names)
+                made = []
         held.update(now)
-        yield pd.DataFrame(made, columns=[c.strip().split(" ")[0] for c in out.split(",")])
+        yield pd.DataFrame(made, columns=names)
 
     return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
@@ -100,7 +109,7 @@ def governor(stream: DataFrame) -> DataFrame:
         new = sequences.step_governor(state, recent)
         return (new, recent), [(row.event_id, schemas.GOVERNOR[new])] if new != state else []
 
-    return folded(stream.withColumn("tenant", F.col("user_id") % 5), "tenant", step, (0, []), "tenant long, event_id long, state string", "state int, recent array<double>", ["event_id"])
+    return folded(stream.select((F.col("user_id") % 5).alias("tenant"), "event_id", "value"), "tenant", step, (0, []), "tenant long, event_id long, state string", "state int, recent array<double>", ["event_id"])
 
 
 def step_breaker(now: tuple, at: float, failed: bool, failures: int = 5, window_s: float = 10.0, open_s: float = 30.0) -> tuple[tuple, str, bool]:
@@ -149,14 +158,14 @@ def evalue_monitor(stream: DataFrame, mu0: float = 0.05, warmup: int = 10, safet
 
     def step(now: tuple, row) -> tuple[tuple, list]:
         n, total, squares, log_e, most = now
-        x, bet = float(row.event_type == "error"), 0.0
+        x, bet = float(row.error), 0.0
         if n >= warmup and (excess := total / n - mu0) > 0:
             bet = min(excess / (max(1e-12, squares / n - (total / n) ** 2) + excess**2), safety / mu0)
         log_e += math.log(1 + bet * (x - mu0))
         most = max(most, log_e)
         return (n + 1, total + x, squares + x * x, log_e, most), [(row.event_id, log_e, most >= math.log(20))]
 
-    return folded(stream.withColumn("tenant", F.col("user_id") % 5), "tenant", step, (0, 0.0, 0.0, 0.0, 0.0), "tenant long, event_id long, log_e double, alerted boolean", "n long, total double, squares double, log_e double, most double", ["event_id"])
+    return folded(stream.select((F.col("user_id") % 5).alias("tenant"), "event_id", F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("error")), "tenant", step, (0, 0.0, 0.0, 0.0, 0.0), "tenant long, event_id long, log_e double, alerted boolean", "n long, total double, squares double, log_e double, most double", ["event_id"])
 
 
 def holds(stream: DataFrame) -> DataFrame:

@@ -348,3 +348,30 @@ def test_holds_that_share_a_state_end_as_each_would(spark, tmp_path, monkeypatch
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = sorted((r["hold_id"], r["state"]) for r in live.finished(live.holds(stream), "append").collect())
     assert got == [(0, "approved"), (1, "expired"), (2, "rejected"), (3, "expired"), (4, "approved"), (5, "expired"), (6, "expired"), (7, "expired"), (10, "approved")]
+
+
+def test_folds_hand_rows_on_in_pieces(spark, monkeypatch):
+    from tallyglass.streaming import live
+
+    seen = []
+    monkeypatch.setattr(live, "FOLD_ROWS", 3)
+    monkeypatch.setattr(pd, "DataFrame", lambda rows, columns, make=pd.DataFrame: seen.append(len(rows)) or make(rows, columns=columns))
+
+    class Stream:
+        def groupBy(self, key):
+            return self
+
+        def applyInPandasWithState(self, run, *how):
+            self.run = run
+            return self
+
+    class Held:
+        exists = False
+
+        def update(self, now):
+            self.now = now
+
+    held, rows = Held(), pd.concat([pd.Series(range(8), name="event_id").to_frame()[::-1]])
+    run = live.folded(Stream(), "g", lambda now, row: ((now[0] + 1,), [(row.event_id, now[0])]), (0,), "g long, event_id long, at int", "n int", ["event_id"]).run
+    out = pd.concat(list(run((1,), iter([rows]), held)))
+    assert held.now == (8,) and out["event_id"].tolist() == list(range(8)) == out["at"].tolist() and max(seen) <= 3
