@@ -63,27 +63,45 @@ def sorted_out(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     contradict each other, so that neither is written. Lines of one request are summed up before they meet. This holds within
     one micro-batch; over several, the version of the greatest time, batch and digest counts (see table()).
     """
+    return _judged(_summed(lines, limits))
+
+
+def _parsed() -> Column:
+    return F.from_json("value", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+
+
+def _summed(lines: DataFrame, limits: Limits) -> DataFrame:
+    """(reason, request_id, ts, value, n): equal lines as one row, rejected ones by what is kept of them; each line is parsed once."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     # a line over the bound isn't parsed at all
-    parsed = lines.select("value", place.alias("place")).withColumn(
-        "r", F.when(F.octet_length("value") <= limits.line_bytes, F.from_json("value", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
-    )
-    told = parsed.withColumn("reason", _rejected(limits))
-    alone = told.filter("reason is not null").groupBy("reason", F.substring("value", 1, 4096).alias("value")).agg(F.count("*").alias("times"))
-    same = told.filter("reason is null").groupBy(F.sha2("value", 256).alias("version")).agg(F.first("value").alias("value"), F.first("r").alias("r"), F.count("*").alias("n"))
-    versions = same.groupBy("r.request_id", "r.ts").agg(F.count("*").alias("_versions")).filter("_versions > 1")
+    parsed = lines.select("value", place.alias("place")).withColumn("r", F.when(F.octet_length("value") <= limits.line_bytes, _parsed()))
+    told = parsed.select("value", "r", _rejected(limits).alias("reason"))
+    alone, of = F.col("reason").isNotNull(), lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    kept = told.select("reason", of("r.request_id").alias("request_id"), of("r.ts").alias("ts"), F.when(alone, F.substring("value", 1, 4096)).otherwise(F.col("value")).alias("value"))
+    return kept.groupBy("reason", "request_id", "ts", "value").agg(F.count("*").alias("n"))
+
+
+def _judged(summed: DataFrame) -> DataFrame:
+    """What becomes of summed lines, which are read twice: once for requests that contradict themselves, once for the rows."""
+    alone = summed.filter("reason is not null").select("value", "reason", F.col("n").alias("times"))
+    same = summed.filter("reason is null").select("request_id", "ts", "value", "n")
+    versions = same.groupBy("request_id", "ts").agg(F.count("*").alias("_versions")).filter("_versions > 1")
     s, v = same.alias("s"), versions.alias("v")
-    judged = s.join(v, (F.col("s.r.request_id") == F.col("v.request_id")) & (F.col("s.r.ts") == F.col("v.ts")), "left").select("s.*", F.col("_versions").isNotNull().alias("_conflict"))
-    bad = judged.filter("_conflict").select(F.substring("value", 1, 4096).alias("value"), F.lit("conflicting versions").alias("reason"), F.col("n").alias("times"))
-    again = judged.filter("not _conflict and n > 1").select(F.substring("value", 1, 4096).alias("value"), F.lit("repeated").alias("reason"), (F.col("n") - 1).alias("times"))
-    good = judged.filter("not _conflict").select("r", "version", F.lit(1).cast("long").alias("times"))
-    return good.unionByName(alone.unionByName(bad).unionByName(again), allowMissingColumns=True)
+    judged = s.join(v, (F.col("s.request_id") == F.col("v.request_id")) & (F.col("s.ts") == F.col("v.ts")), "left").select("value", "n", F.col("_versions").isNotNull().alias("_conflict"))
+    # one pass over the join: a line gives a row to be written, or one for what is rejected, or both
+    times = F.when(F.col("_conflict"), F.array(F.struct(F.lit("conflicting versions").alias("reason"), F.col("n").alias("times"))))
+    times = times.when(F.col("n") > 1, F.array(F.struct(F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("times")), F.struct(F.lit("repeated").alias("reason"), (F.col("n") - 1).alias("times"))))
+    times = times.otherwise(F.array(F.struct(F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("times"))))
+    each = judged.select("value", F.explode(times).alias("t")).select("value", "t.reason", "t.times").unionByName(alone)
+    good = F.col("reason").isNull()
+    out = each.select("value", F.when(good, _parsed()).alias("r"), F.when(good, F.sha2("value", 256)).alias("version"), "reason", "times")
+    return out.withColumn("value", F.when(F.col("reason").isNotNull(), F.substring("value", 1, 4096)))
 
 
 def write_batch(lines: DataFrame, batch: int, root: str, limits: Limits = Limits()) -> None:
     """One micro-batch: children, headers, dead letters, and last the manifest that makes them count."""
-    lines = lines.persist()  # three branches look at them, and what is observed is counted once
-    rows = sorted_out(lines, limits).persist()
+    summed = _summed(lines, limits).persist()  # two branches look at them, and what is observed is counted once
+    rows = _judged(summed).persist()
     try:
         good = rows.filter("reason is null").select("version", "r.*").drop("_broken")
         for child in CHILDREN:
@@ -99,7 +117,7 @@ def write_batch(lines: DataFrame, batch: int, root: str, limits: Limits = Limits
         _put(lines.sparkSession, f"{root}/manifests/{batch}.json", told)
     finally:
         rows.unpersist()
-        lines.unpersist()
+        summed.unpersist()
 
 
 def _put(spark: SparkSession, path: str, record: dict) -> None:

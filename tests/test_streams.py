@@ -288,6 +288,16 @@ def test_what_a_queue_has_no_room_for_is_counted(spark):
     assert ingest.sorted_out(lines.filter("false")).count() == 0
 
 
+def test_a_line_is_parsed_once_whatever_looks_at_it(spark):
+    """Each look at what the ingest sorts out parsed every line anew, 25 times and more in all."""
+    lines = spark.createDataFrame([('{"request_id": "a", "ts": 1}',), ("{",)], "value string")
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    summed = ingest._summed(lines, ingest.Limits())
+    assert parses(summed) == 1
+    kept = spark.createDataFrame(summed.collect(), summed.schema)  # write_batch persists them
+    assert parses(ingest._judged(kept)) == 2  # one in each half of a union; rejected lines are not parsed again
+
+
 # live rework
 
 
