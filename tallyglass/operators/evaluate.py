@@ -69,7 +69,8 @@ def induced(fragments: DataFrame) -> DataFrame:
     The mode follows from a hash of the document, so nothing is ordered and any number of rows works.
     """
     wanted = F.get(F.array(*[F.lit(m) for m in MODES]), F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int"))
-    answer = F.regexp_extract("text", r"([^.!?\n]{40,}[.!?])", 1)
+    # a sentence is tried where a run begins only, and a run is gone through once: one without an end would be tried from each place
+    answer = F.regexp_extract("text", r"(?:^|[.!?\n])([^.!?\n]{40,}+[.!?])", 1)
     base = fragments.withColumn("answer", F.when(F.length(answer) > 0, answer).otherwise(F.col("text"))).withColumn("wanted", wanted)
     number, clause = F.size(text.figures(F.col("answer"))) > 0, F.size(text.clauses(F.col("answer"))) > 0
     can = (F.col("wanted") == "number_corrupted") & number | (F.col("wanted") == "clause_swapped") & clause | (F.col("wanted") == "retrieval_dropped")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import zipfile
 from io import BytesIO
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyglass import policy, schemas
 from tallyglass.functions import stats, text, udfs
-from tallyglass.operators import decide, ledger, measure, retrieval, sequences
+from tallyglass.operators import decide, evaluate, ledger, measure, retrieval, sequences
 from tallyglass.sources import files
 from tallyglass.streaming import gate, live
 
@@ -288,3 +289,13 @@ def test_bm25_by_bounds_is_exact(spark):
         for r in retrieval.bm25(frame, index, n, mean, 5, often=often).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
         assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in expected.items()}, often
+
+
+def test_a_passage_without_an_end_takes_one_pass(spark):
+    """An answer was tried from every place of a run that no mark ends, so time grew with the square of its length."""
+    long, short = "word " * 60_000, "Short one. " + "x" * 38 + "." + "\nno end " + "y" * 50 + "\n" + "z" * 40 + "! more" + "u" * 50 + "?"
+    docs = spark.createDataFrame([(i, t, "d", "p") for i, t in enumerate([long, short, None, "v" * 40 + "."])], "doc_id long, text string, domain string, provenance string")
+    began = time.time()
+    got = {r["doc_id"]: r["answer"] for r in evaluate.induced(docs).collect()}
+    assert time.time() - began < 20
+    assert got == {0: long, 1: "z" * 40 + "!", 2: None, 3: "v" * 40 + "."}
