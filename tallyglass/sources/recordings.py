@@ -78,7 +78,10 @@ def _line(source, at: int, size: int) -> tuple[int, bytes, int]:
 
 
 def _at(line: bytes) -> float:
-    record = json.loads(line)
+    return _arrived(json.loads(line))
+
+
+def _arrived(record: dict) -> float:
     return float(record.get("at_ms", (record.get("_meta") or {}).get("at_ms", 0)))
 
 
@@ -119,7 +122,7 @@ def _read(window: Window) -> Iterator[pa.RecordBatch]:
             for line in lines:
                 if line.strip():
                     record = json.loads(line)
-                    if _at(line) > window.until:
+                    if _arrived(record) > window.until:
                         place = size
                         break
                     if "raw" in record:
