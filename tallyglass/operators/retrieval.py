@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass import storage
-from tallyglass.functions import nearest, text
+from tallyglass.functions import nearest, ranking, text, udfs
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Probes and cached answers of a block; queries that are one block at most, and queries and vectors of a block beyond that.
 PROBE_BLOCK, CACHE_BLOCK = 8192, 4096
 BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192, 8192
+#: Postings that a block of documents has for a block of queries, about.
+POSTING_BLOCK = 1 << 19
 
 
 def chunk_texts(body: Column, least: int = 120, most: int = 700) -> Column:
@@ -45,9 +49,19 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(term, id, tf, length): term counts, merged before any shuffle by term."""
-    t = docs.select(id_col, text.tokens(F.col("text")).alias("_t"))
-    return t.select(id_col, F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
+    """(term, id, length, tf): the terms of a document are counted in its own row, without a shuffle.
+
+    The ids are read once beforehand: only counts of documents that share an id are added up, where their lengths agree too.
+    """
+    names = ("term", id_col, "length", "tf")
+    counted = lambda of: of.select(id_col, F.lower("text")).mapInArrow(udfs.term_counts(names), f"term string, `{id_col}` {docs.schema[id_col].dataType.simpleString()}, length int, tf long")
+    shared = docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1").select(id_col)
+    if shared.isEmpty():
+        return counted(docs)
+    shared = storage.stage(shared)
+    same = F.col(f"a.{id_col}").eqNullSafe(F.col(f"b.{id_col}"))
+    of = lambda how: counted(docs.alias("a").join(shared.alias("b"), same, how))
+    return of("left_anti").unionByName(of("left_semi").groupBy("term", id_col, "length").agg(F.sum("tf").alias("tf")))
 
 
 def write_index(docs: DataFrame, path: str, embedder: str, dim: int) -> None:
@@ -67,31 +81,45 @@ def open_index(spark: SparkSession, path: str, embedder: str, dim: int) -> DataF
 def bm25(queries: DataFrame, index: DataFrame, n_docs: int, mean_length: float, k: int = 20, id_col: str = "doc_id", often: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k best for each query, exactly.
 
-    Terms of more than ``often`` postings (a fiftieth of the documents, 1,000 at least) don't meet all documents. The other terms
-    come first: the k-th best sum of theirs is a bound that a document must reach, and what the frequent terms can add has a
-    bound as well. Where a document of frequent terms alone can't get there, only documents within reach get their
-    frequent terms looked up, by term and document at once. Queries whose bounds don't settle that meet all postings.
+    Queries all of whose terms have at most ``often`` postings (a fiftieth of the documents, 1,000 at least) meet these one by one.
+    The others meet all postings of their terms a block of documents at a time, of which only the best go on.
     """
     often = often or max(1000, n_docs // 50)
     tf_part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term")).filter(F.length("term") > 1)
-    stats = index.groupBy("term").agg(F.count("*").alias("df"), F.max(tf_part).alias("most")).withColumn("idf", idf)
-    terms = storage.stage(asked.join(stats, "term"))
-    rare, frequent = terms.filter(F.col("df") <= often).select("query_id", "term", "idf"), terms.filter(F.col("df") > often)
-    summed = lambda of: index.join(of, "term").groupBy("query_id", id_col).agg(F.sum(F.col("idf") * tf_part).alias("score"))
-    partial = storage.stage(summed(rare))
-    least = top(partial, "query_id", F.col("score"), id_col, k).filter(F.col("rank") == k - 1).select("query_id", F.col("score").alias("_least"))
-    reach = frequent.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("most")).alias("_more"))
-    slack = 1e-8 + 1e-9 * F.abs("_least")  # sums in another order, and scores that are equal once rounded
-    bounds = terms.select("query_id").distinct().join(least, "query_id", "left").join(reach, "query_id", "left").na.fill(0.0, ["_more"])
-    settled = storage.stage(bounds.withColumn("_settled", F.coalesce(F.col("_more") + slack < F.col("_least"), F.lit(False))))
-    near = partial.join(settled.filter("_settled"), "query_id").filter(F.col("score") + F.col("_more") + slack >= F.col("_least")).select("query_id", id_col, "score")
-    added = near.select("query_id", id_col).join(frequent.select("query_id", "term", "idf"), "query_id").join(index, ["term", id_col])
-    added = added.select("query_id", id_col, (F.col("idf") * tf_part).alias("score"))
-    whole = near.unionByName(added).groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
-    open_ = terms.join(settled.filter("not _settled"), "query_id", "left_semi").select("query_id", "term", "idf")
-    return top(whole.unionByName(summed(open_)), "query_id", F.round("score", 9), id_col, k)
+    terms = storage.stage(asked.join(index.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("idf", idf))
+    kinds = terms.groupBy("query_id").agg((F.max("df") > often).alias("_frequent"))
+    rare, frequent = kinds.agg(F.count_if(~F.col("_frequent")), F.count_if("_frequent")).first()
+    of = lambda kind: terms.join(kinds.filter(kind), "query_id", "left_semi")
+    parts, scores = index.select("term", id_col, tf_part.alias("part")), []
+    if rare or not frequent:
+        met = parts.join(of("not _frequent").select("query_id", "term", "idf"), "term")
+        scores.append(met.groupBy("query_id", id_col).agg(F.sum(F.col("idf") * F.col("part")).alias("score")))
+    if frequent:
+        scores.append(_best_of_blocks(of("_frequent"), frequent, parts, k, id_col))
+    return top(reduce(DataFrame.unionByName, scores), "query_id", F.round("score", 9), id_col, k)
+
+
+def _best_of_blocks(terms: DataFrame, queries: int, parts: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(query_id, id, score) that can be among the k best of a query: those of each block of documents, from all postings asked for.
+
+    A posting is dealt once to its document's block for each block of queries, so that no pair of a query and a document is shuffled.
+    """
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    blocks = -(-queries // QUERY_BLOCK)
+    asked = terms.withColumn("_b", deal("query_id", blocks))
+    wanted = asked.select("term", "_b", "df").distinct()
+    places = max(1, -(-(wanted.agg(F.sum("df")).first()[0] or 0) // (blocks * POSTING_BLOCK)))
+    met = parts.join(wanted.select("term", "_b"), "term").select(F.struct("_b", deal(id_col, places).alias("_p")).alias("_met"), "term", id_col, "part")
+    every = asked.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    asking = every.select(F.struct("_b", "_p").alias("_meets"), "query_id", "term", "idf")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        query, name, score = ranking.best(a["query_id"], a["term"], a["idf"], b["term"], b[id_col], b["part"], k)
+        return pa.table({"query_id": query, id_col: name, "score": score})
+
+    return asking.groupBy("_meets").cogroup(met.groupBy("_met")).applyInArrow(best, _fields(asking, "query_id", met, id_col) + ", score double")
 
 
 def top(scores: DataFrame, key: str, score: Column, id_col: str, k: int) -> DataFrame:

@@ -299,3 +299,40 @@ def test_a_passage_without_an_end_takes_one_pass(spark):
     got = {r["doc_id"]: r["answer"] for r in evaluate.induced(docs).collect()}
     assert time.time() - began < 20
     assert got == {0: long, 1: "z" * 40 + "!", 2: None, 3: "v" * 40 + "."}
+
+
+def test_postings_are_counted_in_a_documents_own_row(spark):
+    """Every term of a document was shuffled, and so were all pairs of a query and a document."""
+    docs = [(1, "B b a 3.5."), (2, None), (3, ""), (None, "x x"), (4, "a")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    made = retrieval.postings(frame(docs))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("b", 1, 4, 2), ("a", 1, 4, 1), ("3.5", 1, 4, 1), ("x", None, 2, 2), ("a", 4, 1, 1)], key=str)
+    # documents under one id, or none, are one where their lengths agree
+    shared = retrieval.postings(frame([*docs, (None, "y x"), (4, "a"), (4, "a b")])).collect()
+    assert sorted((r["term"], r["doc_id"] or 0, r["length"], r["tf"]) for r in shared) == [("3.5", 1, 4, 1), ("a", 1, 4, 1), ("a", 4, 1, 2), ("a", 4, 2, 1), ("b", 1, 4, 2), ("b", 4, 2, 1), ("x", 0, 2, 3), ("y", 0, 2, 1)]
+
+
+def test_counts_are_handed_on_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(udfs, "PIECE", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["d", None, "e", "f"]), pa.array(["one two", "one one", None, "a b c d"])], names=["id", "text"])
+    got = [b.to_pydict() for b in udfs.term_counts(("t", "i", "n", "c"))([batch, batch.slice(2, 1)])]
+    assert got == [{"t": ["one", "two", "one"], "i": ["d", "d", None], "n": [2, 2, 2], "c": [1, 1, 2]}, {"t": list("abcd"), "i": ["f"] * 4, "n": [4] * 4, "c": [1] * 4}]
+
+
+def test_only_the_best_of_a_block_go_on(spark, monkeypatch):
+    """Ties at the last rank and ids that are texts or missing, over several blocks of queries and documents."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "POSTING_BLOCK", 5)
+    docs = [(f"d{i:02}", "alpha beta") for i in range(20)] + [("e", "alpha alpha"), (None, "alpha gamma"), ("f", "delta")]
+    index = retrieval.postings(spark.createDataFrame(docs, "doc_id string, text string")).cache()
+    queries = spark.createDataFrame([(1, "alpha"), (2, "beta delta"), (3, "gamma"), (4, "nothing"), (5, "alpha beta")], "query_id long, query string")
+    wide = retrieval.bm25(queries, index, len(docs), 1.9, 3, often=10_000)
+    best = lambda of: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in of.collect())
+    key = lambda rows: [tuple(map(str, x)) for x in rows]
+    got = best(retrieval.bm25(queries, index, len(docs), 1.9, 3, often=1))
+    assert key(got) == key(best(wide)) and [(q, i) for q, _, i, _ in got] == [(1, "e"), (1, None), (1, "d00"), (2, "f"), (2, "d00"), (2, "d01"), (3, None), (5, "d00"), (5, "d01"), (5, "d02")]
+    blocks = retrieval.bm25(queries, index, len(docs), 1.9, 3, often=1)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in blocks
