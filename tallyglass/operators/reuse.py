@@ -38,12 +38,11 @@ def distances(uses: DataFrame, keys: list[str], order: list[str], entry: str, mo
         return pdf.drop(columns="_top").assign(_stack=out)
 
     begun = tops.groupBy(*keys).applyInPandas(starts, f"{key_fields}, _block long, _stack array<string>")
-    joined = kept.alias("a").join(begun.alias("b"), folds.same([*keys, "_block"]), "left").select("a.*", "b._stack")
+    begun = begun.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, "_block")})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        first = pdf["_stack"].iloc[0]
-        stack, out = [] if first is None else list(first), []
+        stack, out = list(before["_stack"].iloc[0]) if len(before) else [], []
         for x in pdf["_entry"]:
             if x is None or x != x:
                 out.append(None)
@@ -58,7 +57,9 @@ def distances(uses: DataFrame, keys: list[str], order: list[str], entry: str, mo
         return pdf[names].assign(depth=pd.array(out, "Int32"))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in uses.schema)
-    return joined.groupBy(*keys, "_block").applyInPandas(run, f"{fields}, depth int")
+    # a block's stack meets its rows in the task, once: joined to each row, it made them many times as large
+    stacks = begun.groupBy(*[f"_of_{c}" for c in (*keys, "_block")])
+    return kept.groupBy(*keys, "_block").cogroup(stacks).applyInPandas(run, f"{fields}, depth int")
 
 
 def hit(depth: Column, capacity: int) -> Column:

@@ -179,3 +179,22 @@ def test_a_replay_prices_as_the_engine_does(spark):
     verdicts = {r["candidate"]: r["verdict"] for r in replay.compared(results, 0).collect()}
     assert set(verdicts) == {0, 5, 9} and "frontier" in verdicts.values()
     assert replay.evaluated(cases.filter("false"), grid, seeds).agg(F.sum("cases")).first()[0] in (None, 0)
+
+
+def test_a_blocks_stack_meets_its_rows_once(spark, monkeypatch):
+    """The stack that a block begins with was joined to each of its rows, which were shuffled and sorted with it."""
+    monkeypatch.setattr(folds, "BLOCK", 4)
+    uses = [(s, i, e) for s, entries in (("s", "abcdeabcdeedcbaxa"), (None, "aabbaabb")) for i, e in enumerate(entries)] + [("n", i, None) for i in range(9)]
+    df = spark.createDataFrame(uses, "scope string, at long, entry string")
+    out = reuse.distances(df, ["scope"], ["at"], "entry", 3)
+    got = {(r["scope"], r["at"]): r["depth"] for r in out.collect()}
+
+    def depth(scope, at, entry):
+        mine = [e for s, i, e in uses if s == scope and i < at]
+        if entry is None or entry not in mine:
+            return None
+        since = len(set(mine[len(mine) - mine[::-1].index(entry) :]))
+        return since if since < 3 else None
+
+    assert got == {(s, i): depth(s, i, e) for s, i, e in uses}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
